@@ -1,12 +1,15 @@
 """Denial categories.
 
-Everything is derived from one grouping by code and state: its result is small
-(codes times states), and totals, ranking and margins are re-aggregations of
-it, so the encounter rows are shuffled once, already combined per task.
+The rankings by state group encounter rows once, by code and state, combined
+per task before the shuffle. The cells of a code (one per state) then travel
+with its totals, so ranking the codes and breaking them down needs no second
+pass over the rows and no join back.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,65 +30,63 @@ def denied_rows(df: DataFrame) -> DataFrame:
     visit = e.raw("visit_id") if "visit_id" in e.columns else F.lit(1)
     description = X.squeeze(text)
     code = F.trim(F.split_part(description, F.lit(":"), F.lit(1)))
-    rows = (e.df.filter(text.isNotNull() & (text != "") & (F.lower(text) != "nan"))
+    excluded = "^(" + "|".join(re.escape(p) for p in EXCLUDED_PREFIXES) + ")"
+    return (e.df.filter(text.isNotNull() & (text != "") & (F.lower(text) != "nan"))
             .select(code.alias("code"), description.alias("description"),
                     e.raw(state).alias("state"), e.number(expected).alias("expected"),
-                    visit.alias("visit")))
-    for prefix in EXCLUDED_PREFIXES:
-        rows = rows.filter(~F.startswith(F.upper("code"), F.lit(prefix)))
-    return rows
-
-
-def by_code_and_state(df: DataFrame) -> DataFrame:
-    return denied_rows(df).groupBy("code", "state").agg(
-        F.count("visit").alias("visits"), F.count(F.lit(1)).alias("n"),
-        F.sum("expected").alias("expected"), F.min("description").alias("description"))
-
-
-def code_totals(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("code").agg(
-        F.sum("visits").alias("total_visits"), F.sum("n").alias("visit_count"),
-        X.total(F.col("expected")).alias("total_expected"),
-        F.min("description").alias("sample_description"))
+                    visit.alias("visit"))
+            .filter(~F.upper("code").rlike(excluded)))
 
 
 def denial_totals(df: DataFrame) -> DataFrame:
     """Per code: visits, expected payment and one description."""
-    return code_totals(by_code_and_state(df)).select(
-        "code", "total_visits", "total_expected", "sample_description")
+    return denied_rows(df).groupBy("code").agg(
+        F.count("visit").alias("total_visits"), X.total(F.col("expected")).alias("total_expected"),
+        F.min("description").alias("sample_description"))
 
 
-def top_codes(cells: DataFrame, n: int = TOP_CODES) -> DataFrame:
-    """The most frequent codes; ties go to the lower code."""
-    return code_totals(cells).orderBy(F.desc("total_visits"), F.asc("code")).limit(n)
+def _most_frequent(totals: DataFrame, n: int) -> DataFrame:
+    """Top-k by visits; ties go to the lower code."""
+    return totals.orderBy(F.desc("total_visits"), F.asc("code")).limit(n)
 
 
 def denial_top(df: DataFrame, n: int = TOP_CODES) -> DataFrame:
-    return top_codes(by_code_and_state(df), n).select(
-        "code", "total_visits", "total_expected", "sample_description")
+    return _most_frequent(denial_totals(df), n)
 
 
 def denial_states(df: DataFrame) -> DataFrame:
     """States with denials, sorted; all codes count, not only the top ones."""
-    cells = by_code_and_state(df)
-    return cells.select("state").filter(F.col("state").isNotNull()).distinct().orderBy("state")
+    return (denied_rows(df).select("state").filter(F.col("state").isNotNull())
+            .distinct().orderBy("state"))
+
+
+def top_codes_with_cells(df: DataFrame, n: int = TOP_CODES) -> DataFrame:
+    """The top codes, each with its cells: one (state, n, expected) per state."""
+    cells = denied_rows(df).groupBy("code", "state").agg(
+        F.count("visit").alias("visits"), F.count(F.lit(1)).alias("n"),
+        F.sum("expected").alias("expected"), F.min("description").alias("description"))
+    totals = cells.groupBy("code").agg(
+        F.sum("visits").alias("total_visits"), F.sum("n").alias("visit_count"),
+        X.total(F.col("expected")).alias("total_expected"),
+        F.min("description").alias("sample_description"),
+        F.collect_list(F.struct("state", "n", "expected")).alias("cells"))
+    return _most_frequent(totals, n)
 
 
-def top_cells(df: DataFrame, n: int = TOP_CODES) -> DataFrame:
-    cells = by_code_and_state(df)
-    return cells.join(top_codes(cells, n).select("code"), "code", "left_semi")
+def _top_cells(df: DataFrame, n: int) -> DataFrame:
+    return top_codes_with_cells(df, n).select("code", F.inline("cells"))
 
 
 def denial_by_state(df: DataFrame, n: int = TOP_CODES) -> DataFrame:
     """Top codes by state; pairs without denials have no row."""
-    return top_cells(df, n).filter(F.col("state").isNotNull()).select(
+    return _top_cells(df, n).filter(F.col("state").isNotNull()).select(
         "code", "state", F.col("n").alias("visit_count"),
         F.coalesce(X.to_double(F.col("expected")), F.lit(0.0)).alias("expected"))
 
 
 def denial_state_totals(df: DataFrame, n: int = TOP_CODES) -> DataFrame:
     """Totals of the top codes per state. Rows without a state are left out."""
-    return (top_cells(df, n).filter(F.col("state").isNotNull()).groupBy("state")
+    return (_top_cells(df, n).filter(F.col("state").isNotNull()).groupBy("state")
             .agg(F.sum("n").alias("visit_count"), X.total(F.col("expected")).alias("expected")))
 
 
@@ -93,15 +94,15 @@ def denial_margins(df: DataFrame, n: int = TOP_CODES) -> DataFrame:
     """Totals per top code, per state and overall.
 
     Code totals and the grand total include rows without a state; state totals
-    cannot. One grouping-sets pass over the small code-by-state result.
+    cannot.
     """
-    cells = top_cells(df, n)
-    code_only, state_only = F.lit("category"), F.lit("state")
+    cells = _top_cells(df, n)
     grouped = cells.groupingSets([["code"], ["state"], []], "code", "state").agg(
         F.grouping_id().alias("_id"), F.sum("n").alias("visit_count"),
         X.total(F.col("expected")).alias("expected"))
-    level = F.when(F.col("_id") == 1, code_only).when(F.col("_id") == 2, state_only).otherwise("grand")
+    level = (F.when(F.col("_id") == 1, "category").when(F.col("_id") == 2, "state")
+             .otherwise("grand"))
     return (grouped.select(level.alias("level"), F.coalesce("code", "state").alias("label"),
                            "visit_count", "expected")
-            .filter(~((F.col("level") == "state") & F.col("label").isNull()))
-            .filter((F.col("level") != "grand") | (F.col("visit_count").isNotNull())))
+            .filter((F.col("level") != "state") | F.col("label").isNotNull())
+            .filter(F.col("visit_count").isNotNull()))
