@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import names
-from tallymark.session import scratch_path
 from tallymark.sources.writers import write_parquet
 
 log = logging.getLogger(__name__)
@@ -19,6 +18,9 @@ log = logging.getLogger(__name__)
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
            "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+# Casts alone would also read a trailing "d" or "f" as a number.
+NUMBER_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 
 # --- parquet --------------------------------------------------------------------------
 
@@ -83,6 +85,8 @@ def infer_types(df: DataFrame, dates: bool = True) -> DataFrame:
 
     def reads(name: str, kind: str) -> Column:
         c = F.col(f"`{name}`")
+        if kind == "double":
+            return F.trim(c).rlike(NUMBER_TEXT) & c.try_cast(kind).isNotNull()
         if kind == "boolean":
             return F.lower(c).isin("true", "false")
         if kind == "timestamp_ntz":
@@ -119,13 +123,17 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], delimiter: st
         multi_line = _quotes_span_lines(spark, path)
     reader = (spark.read.option("header", True).option("sep", delimiter)
               .option("encoding", encoding).option("quote", '"').option("escape", '"')
-              .option("multiLine", multi_line).option("enforceSchema", False))
+              .option("multiLine", multi_line))
     if schema is not None:
         return reader.schema(schema).csv(path)
-    text = reader.csv(path)
-    text = text.select(*[
-        F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in text.columns])
-    return infer_types(text, dates)
+    header = reader.option("header", False).csv(path).first()
+    if header is None:
+        return spark.createDataFrame([], "value string").select()
+    raw = names.number_duplicates("" if cell is None else cell for cell in header)
+    # Plain positions as names until the types are known: headers may hold any text.
+    text = reader.option("header", True).csv(path).toDF(*[f"c{i}" for i in range(len(raw))])
+    text = text.select(*[F.when(~F.col(c).isin(*MISSING), F.col(c)).alias(c) for c in text.columns])
+    return infer_types(text, dates).toDF(*raw)
 
 
 def ingest_csv(spark: SparkSession, path: str, out: str, **options) -> dict:
@@ -139,7 +147,7 @@ def ingest_csv(spark: SparkSession, path: str, out: str, **options) -> dict:
 
 def clean_sheet(df: DataFrame) -> DataFrame:
     """Drop rows without any value and clean the header."""
-    return names.rename(df.na.drop("all"), names.sheet_column_name)
+    return names.rename(df, names.sheet_column_name).na.drop("all")
 
 
 def ingest_sheets(spark: SparkSession, folder: str, out: str, suffix: str = ".csv") -> list[dict]:
@@ -199,7 +207,3 @@ def read_jdbc(spark: SparkSession, url: str, query: str, max_rows: int | None =
               **options) -> DataFrame:
     df = spark.read.format("jdbc").options(**jdbc_options(url, query, **options)).load()
     return df if max_rows is None else df.limit(max_rows)
-
-
-def round_trip_folder(spark: SparkSession, label: str) -> str:
-    return scratch_path(spark, label)

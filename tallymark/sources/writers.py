@@ -58,9 +58,14 @@ PROVENANCE_SCHEMA = (
     "metadata string")
 
 
+# Microseconds are kept; records written without a fraction are read as well.
+WRITTEN_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+READ_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
+
 def append_provenance(log: DataFrame, path: str) -> None:
     """Append query records to the JSON log."""
-    log.write.mode("append").json(path)
+    log.write.mode("append").option("timestampNTZFormat", WRITTEN_TIME).json(path)
 
 
 def log_query(spark: SparkSession, path: str, chat_id: str, user_id: str, question: str,
@@ -75,7 +80,8 @@ def log_query(spark: SparkSession, path: str, chat_id: str, user_id: str, questi
 
 def read_provenance(spark: SparkSession, path: str) -> DataFrame:
     """The log without malformed lines."""
-    return spark.read.schema(PROVENANCE_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(PROVENANCE_SCHEMA).option("mode", "DROPMALFORMED").option(
+        "timestampNTZFormat", READ_TIME).json(path)
 
 
 def recent_queries(log: DataFrame, limit: int = 100, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallymark.sources.writers import PROVENANCE_SCHEMA
+from tallymark.sources.writers import PROVENANCE_SCHEMA, READ_TIME
 
 # A day stays open for one more day, so records may arrive that late.
 LATENESS = "1 day"
 
 
 def read_provenance_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(PROVENANCE_SCHEMA).json(path)
+    return spark.readStream.schema(PROVENANCE_SCHEMA).option(
+        "timestampNTZFormat", READ_TIME).json(path)
 
 
 def daily_outcomes(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
