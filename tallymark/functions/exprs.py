@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +59,8 @@ def total(c: Column, where: Column | None = None) -> Column:
 
 
 def positive_total(c: Column, where: Column | None = None) -> Column:
-    keep = c > 0 if where is None else (c > 0) & where
-    return total(c, keep)
+    """Sum of the positive values; ``c`` is evaluated once per row."""
+    return total(F.greatest(c, F.lit(0)), where)
 
 
 def count_where(where: Column) -> Column:
@@ -148,9 +150,12 @@ def contains_any(c: Column, words: Iterable[str], strict: bool = False) -> Colum
 
     ``strict`` asks for whole words, so "unbilled" no longer counts as "billed".
     """
-    edge = r"\b" if strict else ""
-    pattern = "|".join(f"{edge}{w}{edge}" for w in words)
-    return F.coalesce(F.lower(c.cast("string")).rlike(pattern), F.lit(False))
+    text = F.lower(c.cast("string"))
+    if strict:
+        found = text.rlike(rf"\b({'|'.join(words)})\b")
+    else:
+        found = reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+    return F.coalesce(found, F.lit(False))
 
 
 # --- encounter table ------------------------------------------------------------

@@ -1,9 +1,8 @@
 """Denial categories.
 
-The rankings by state group encounter rows once, by code and state, combined
-per task before the shuffle. The cells of a code (one per state) then travel
-with its totals, so ranking the codes and breaking them down needs no second
-pass over the rows and no join back.
+Encounter rows are read once and combined per task before the shuffle. The
+cells of a code (one per state) travel with its totals, so ranking the codes and
+breaking them down needs no second pass over the rows and no join back.
 """
 
 from __future__ import annotations
@@ -21,28 +20,44 @@ EXCLUDED_PREFIXES = ("CO-45", "CO45", "PR-1", "PR1", "PR-2", "PR2", "PR-3", "PR3
 TOP_CODES = 15
 
 
-def denied_rows(df: DataFrame) -> DataFrame:
-    """Denied rows with code, description, state, expected payment and visit."""
+def denied_texts(df: DataFrame, *keys: str) -> DataFrame:
+    """Denials per distinct text (and ``keys``), with code and description.
+
+    Texts repeat a code book, so rows are combined by raw text first and only
+    the distinct texts are cleaned and split. ``excluded`` marks the prefixes
+    left out; callers aggregate it and filter afterwards, because a filter here
+    would be pushed below the grouping and run its patterns on every row.
+    """
     e = Encounters.of(df)
     text = e.raw(e.need("denial", "default", "No denial description column found")).cast("string")
     state = e.need("state", "default", "No state column found")
     expected = e.need("expected", "denials", "No expected payment column found")
     visit = e.raw("visit_id") if "visit_id" in e.columns else F.lit(1)
-    description = X.squeeze(text)
-    code = F.trim(F.split_part(description, F.lit(":"), F.lit(1)))
+    texts = (e.df.select(text.alias("text"), e.raw(state).alias("state"),
+                         e.number(expected).alias("expected"), visit.alias("visit"))
+             .filter(F.col("text").isNotNull() & (F.col("text") != "")
+                     & (F.lower("text") != "nan"))
+             .groupBy("text", *keys)
+             .agg(F.count("visit").alias("visits"), F.count(F.lit(1)).alias("n"),
+                  F.sum("expected").alias("expected")))
+    described = texts.select(X.squeeze(F.col("text")).alias("description"), "visits", "n",
+                             "expected", *keys)
+    coded = described.withColumn(
+        "code", F.trim(F.split_part("description", F.lit(":"), F.lit(1))))
     excluded = "^(" + "|".join(re.escape(p) for p in EXCLUDED_PREFIXES) + ")"
-    return (e.df.filter(text.isNotNull() & (text != "") & (F.lower(text) != "nan"))
-            .select(code.alias("code"), description.alias("description"),
-                    e.raw(state).alias("state"), e.number(expected).alias("expected"),
-                    visit.alias("visit"))
-            .filter(~F.upper("code").rlike(excluded)))
+    return coded.withColumn("excluded", F.upper("code").rlike(excluded))
+
+
+def _kept(grouped: DataFrame) -> DataFrame:
+    return grouped.filter(~F.col("excluded")).drop("excluded")
 
 
 def denial_totals(df: DataFrame) -> DataFrame:
     """Per code: visits, expected payment and one description."""
-    return denied_rows(df).groupBy("code").agg(
-        F.count("visit").alias("total_visits"), X.total(F.col("expected")).alias("total_expected"),
-        F.min("description").alias("sample_description"))
+    return _kept(denied_texts(df).groupBy("code").agg(
+        F.max("excluded").alias("excluded"), F.sum("visits").alias("total_visits"),
+        X.total(F.col("expected")).alias("total_expected"),
+        F.min("description").alias("sample_description")))
 
 
 def _most_frequent(totals: DataFrame, n: int) -> DataFrame:
@@ -56,16 +71,17 @@ def denial_top(df: DataFrame, n: int = TOP_CODES) -> DataFrame:
 
 def denial_states(df: DataFrame) -> DataFrame:
     """States with denials, sorted; all codes count, not only the top ones."""
-    return (denied_rows(df).select("state").filter(F.col("state").isNotNull())
-            .distinct().orderBy("state"))
+    states = denied_texts(df, "state").filter(F.col("state").isNotNull()).groupBy("state").agg(
+        F.min("excluded").alias("excluded"))
+    return _kept(states).orderBy("state")
 
 
 def top_codes_with_cells(df: DataFrame, n: int = TOP_CODES) -> DataFrame:
     """The top codes, each with its cells: one (state, n, expected) per state."""
-    cells = denied_rows(df).groupBy("code", "state").agg(
-        F.count("visit").alias("visits"), F.count(F.lit(1)).alias("n"),
+    cells = denied_texts(df, "state").groupBy("code", "state").agg(
+        F.max("excluded").alias("excluded"), F.sum("visits").alias("visits"), F.sum("n").alias("n"),
         F.sum("expected").alias("expected"), F.min("description").alias("description"))
-    totals = cells.groupBy("code").agg(
+    totals = _kept(cells).groupBy("code").agg(
         F.sum("visits").alias("total_visits"), F.sum("n").alias("visit_count"),
         X.total(F.col("expected")).alias("total_expected"),
         F.min("description").alias("sample_description"),

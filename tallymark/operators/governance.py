@@ -119,20 +119,27 @@ def json_rows(df: DataFrame) -> DataFrame:
 
 def audit_sql_log(df: DataFrame, sql_column: str,
                   policy: Q.Policy = Q.Policy(pii=Q.PII_COLUMNS)) -> DataFrame:
-    """Policy findings for every statement of a log; no row leaves its task."""
-    sql = Q.strip(F.col(sql_column))
-    upper = F.upper(sql)
-    error = Q.verdict(sql, policy)
-    return df.select(
+    """Policy findings for every statement of a log; no row leaves its task.
+
+    Findings are columns of their own before the verdict reads them, so each
+    pattern runs once per statement.
+    """
+    text = df.withColumn("_sql", Q.strip(F.col(sql_column))).withColumn("_upper", F.upper("_sql"))
+    sql, upper = F.col("_sql"), F.col("_upper")
+    found = text.select(
         "*", Q.operation(sql).alias("operation"),
         Q.first_hit(upper, policy.forbidden).alias("forbidden_word"),
         Q.join_count(upper).cast("bigint").alias("join_count"),
         upper.rlike(Q.CROSS_JOIN).alias("has_cross_join"),
-        Q.first_hit(F.lower(sql), policy.pii).alias("pii_column"),
+        Q.first_hit(F.lower(sql), [p.lower() for p in policy.pii]).alias("pii_column"),
         Q.limit_value(upper).cast("bigint").alias("limit_value"),
-        error.isNull().alias("valid"), error.alias("error"),
-        F.when(error.isNull(), Q.capped_sql(sql, policy.max_rows)).alias("sanitized_sql"),
         F.array_join(Q.tables(sql), ",").alias("tables"))
+    error = Q.verdict(sql, policy, operation=F.col("operation"), word=F.col("forbidden_word"),
+                      cross=F.col("has_cross_join"), joins=F.col("join_count"),
+                      pii=F.col("pii_column"))
+    judged = found.withColumn("error", error).withColumn("valid", F.col("error").isNull())
+    return judged.withColumn("sanitized_sql", F.when(
+        F.col("valid"), Q.capped_sql(sql, policy.max_rows))).drop("_sql", "_upper")
 
 
 def sql_tables(df: DataFrame, sql_column: str) -> DataFrame:

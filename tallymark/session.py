@@ -7,14 +7,17 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Runtime settings every job relies on. Cluster sizing (executors, memory,
+# Settings every job relies on. Cluster sizing (executors, memory,
 # shuffle partitions) is left to the caller; AQE coalesces and splits at runtime.
-RUNTIME_CONF = {
+SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python call site of every expression makes plans of many
+    # columns slow to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -27,7 +30,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
     )
-    for key, value in RUNTIME_CONF.items():
+    for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

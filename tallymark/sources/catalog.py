@@ -41,10 +41,14 @@ def catalog_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def storage_usage(spark: SparkSession, root: str) -> DataFrame:
-    """Files and bytes per folder directly below ``root`` (a chat's workspace)."""
+def storage_usage(spark: SparkSession, root: str, chat: str | None = None) -> DataFrame:
+    """Files and bytes of each chat's workspace, the folders directly below ``root``.
+
+    Only names and sizes are listed, for one chat if asked.
+    """
     below = F.regexp_extract("path", rf"^.*{_tail(root)}/([^/]+)", 1)
-    return (list_files(spark, root).groupBy(below.alias("chat_id"))
+    folder = root if chat is None else f"{root.rstrip('/')}/{chat}"
+    return (list_files(spark, folder).groupBy(below.alias("chat_id"))
             .agg(F.count(F.lit(1)).alias("file_count"), F.sum("length").alias("total_bytes")))
 
 

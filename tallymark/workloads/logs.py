@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.workloads.views import table
+from tallymark.workloads.views import quote, table
 
 STAR_TABLES = ("patient_visit", "patient_visit_cpt", "cpt_codes", "payment", "visit_status")
 
@@ -54,10 +54,6 @@ EXTENSIONS = (".xlsb", ".XLSX", ".xls", ".csv", ".tsv", ".parquet", ".exe", ".pd
 SHEETS = ("Sheet {p}", "select", "   ", "A/B {p}", "Table", "Q1-2024_{p}", "net (gross) {p}")
 
 
-def quote(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 def fill_sql(template: str, mark: str, value: str) -> str:
     """Template as a SQL concatenation, the same text in both engines."""
     pieces = template.split(mark)

@@ -6,12 +6,6 @@ from tallymark.workloads import logs as L
 from tallymark.workloads import views as V
 
 
-def pick(key: str, values, otherwise: str) -> str:
-    whens = " ".join(
-        f"WHEN {i} THEN {'NULL' if v is None else L.quote(v)}" for i, v in enumerate(values))
-    return f"CASE CAST({key} AS INT) {whens} ELSE {L.quote(otherwise)} END"
-
-
 _P = "CAST(l_extendedprice AS DECIMAL(12,2))"
 _X = "CAST(l_tax AS DECIMAL(4,2))"
 _D = "CAST(l_discount AS DECIMAL(4,2))"
@@ -20,10 +14,10 @@ ENCOUNTERS = f"""
 enc AS (
   SELECT l_orderkey * 10 + l_linenumber AS visit_id, o_orderdate AS visit_date,
     l_shipdate AS visit_created_date, l_shipdate AS bill_date, l_shipdate AS transaction_date,
-    {pick('l_partkey % 17', V.VISIT_STATUSES, 'Claim Created')} AS visit_status,
-    {pick('l_suppkey % 10', V.CLAIM_STATUSES, 'Open')} AS claim_status,
+    {V.pick('l_partkey % 17', V.VISIT_STATUSES, 'Claim Created')} AS visit_status,
+    {V.pick('l_suppkey % 10', V.CLAIM_STATUSES, 'Open')} AS claim_status,
     CASE WHEN l_partkey % 29 <> 0 THEN l_partkey % 14 END AS status_code,
-    {pick('l_partkey % 23', V.CPT_CODES, '99214')} AS cpt_code,
+    {V.pick('l_partkey % 23', V.CPT_CODES, '99214')} AS cpt_code,
     CASE WHEN l_suppkey % 31 <> 0 THEN l_suppkey % 12 END AS transaction_type,
     CASE WHEN l_linenumber = 7 THEN -{_P} ELSE {_P} END AS charge,
     CASE WHEN l_linenumber <> 6 THEN {_P} * (1 - {_D}) END AS expected,
@@ -51,13 +45,13 @@ patient_visit_cpt AS (
     CASE WHEN l_linenumber = 4 AND l_suppkey % 5 = 0 THEN l_shipdate END AS deleted_at
   FROM lineitem),
 cpt_codes AS (
-  SELECT p_partkey AS id, {pick('p_partkey % 23', V.CPT_CODES, '99214')} AS cpt_code,
+  SELECT p_partkey AS id, {V.pick('p_partkey % 23', V.CPT_CODES, '99214')} AS cpt_code,
     CASE WHEN p_partkey % 37 = 0 THEN TIMESTAMP '2001-01-01' END AS deleted_at FROM part),
 payment AS (
   SELECT id AS encounter_id, COALESCE(cpt_amount, 0) AS amount, id % 12 AS transaction_type,
     CASE WHEN id % 41 = 0 THEN TIMESTAMP '2001-01-01' END AS deleted_at FROM patient_visit_cpt),
 visit_status AS (SELECT * FROM (VALUES {', '.join(
-    f"({i}, {L.quote(s)})" for i, s in enumerate(V.STAR_STATUSES))}) t(id, name))"""
+    f"({i}, {V.quote(s)})" for i, s in enumerate(V.STAR_STATUSES))}) t(id, name))"""
 
 PROVENANCE = f"""
 provenance AS (

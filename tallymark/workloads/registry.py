@@ -587,7 +587,7 @@ query("catalog_summary", " UNION ALL ".join(
     f"CAST({cols.count(',') + 1} AS BIGINT) AS column_count, '{cols}' AS columns FROM {t}"
     for t, cols in _COLUMNS.items()))(
     lambda spark, sf: C.catalog_summary({t: V.table(spark, sf, t) for t in V.TABLES}))
-query("storage_usage")(lambda spark, sf: C.storage_usage(spark, sf.rstrip("/").rsplit("/", 1)[0]))
+query("storage_usage")(lambda spark, sf: C.storage_usage(spark, *sf.rstrip("/").rsplit("/", 1)))
 
 
 @query("profile_sink", """
