@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import sqltext as Q
 from tallymark.functions import text as X
-from tallymark.operators.running import running_totals
+from tallymark.operators.running import Running, running_totals
 
 MEGABYTE = 1024 * 1024
 MAX_FILE_BYTES = 200 * MEGABYTE
@@ -184,8 +184,8 @@ def validate_uploads(manifest: DataFrame, bucket: Column, order: Sequence[str] =
                             suffix.alias("extension"), sound.alias("_sound"))
     charged_file = F.when(F.col("_sound"), 1).otherwise(0)
     charged_bytes = F.when(F.col("_sound"), F.col("size_bytes")).otherwise(0)
-    files = running_totals(files, ["chat_id"], order, bucket, {"_files": charged_file})
-    files = running_totals(files, ["user_id"], order, bucket, {"_bytes": charged_bytes})
+    files = running_totals(files, order, bucket, Running(["chat_id"], {"_files": charged_file}),
+                           Running(["user_id"], {"_bytes": charged_bytes}))
     files = (files.withColumn("prior_files", F.col("_files") - charged_file)
              .withColumn("prior_bytes", F.col("_bytes") - charged_bytes))
     verdict = (F.when(F.col("size_bytes") == 0, "empty")

@@ -57,6 +57,22 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def _spans(df: DataFrame, columns: Sequence[str]) -> dict[str, _Bracket]:
+    """Count and range of each column that has values, in one aggregation."""
+    aggregates = []
+    for i, name in enumerate(columns):
+        x = F.col(f"`{name}`").cast("double")
+        x = F.when(~F.isnan(x), x)
+        aggregates += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    row = df.agg(*aggregates).first()
+    out = {}
+    for i, name in enumerate(columns):
+        n, lo, hi = row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]
+        if n:
+            out[name] = _Bracket(n, lo, hi, 0, n, lo if lo == hi else None)
+    return out
+
+
 def _in_brackets(brackets: dict[str, _Bracket]) -> Column:
     keep = F.lit(False)
     for name, b in brackets.items():
@@ -91,11 +107,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str], limit: int = MAX_ORDERE
                   bins: int = BINS) -> DataFrame:
     """(column_name, median): the middle value, or the mean of the middle two."""
     long = _long(df, columns)
-    spans = long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    brackets = {r["column_name"]: _Bracket(r["n"], r["lo"], r["hi"], 0, r["n"],
-                                           r["lo"] if r["lo"] == r["hi"] else None)
-                for r in spans.collect()}
+    brackets = _spans(df, columns)
     while True:
         wide = {name: b for name, b in brackets.items() if b.found is None and b.inside > limit}
         if not wide:

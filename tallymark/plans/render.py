@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.exprs import Encounters, MissingColumns
+from tallymark.functions.roles import CANDIDATES, resolve
 from tallymark.operators import denials as D
+from tallymark.operators import metrics as M
 from tallymark.plans import reports as R
 
 # Wording and layout of the report text.
@@ -277,6 +279,15 @@ SLIDES = {
 }
 
 
+def deck_columns(e: Encounters) -> list[str]:
+    """The columns some slide may read, so that staging a view writes no others."""
+    fixed = {"visit_id", "visit_status", "claim_status", "total_payment", "primary_payment",
+             "secondary_payment", "tertiary_payment", "patient_payment", "charges_submitted",
+             "year", "quarter"}
+    found = {resolve(e.columns, role, context) for role, context in CANDIDATES}
+    return [c for c in e.columns if c in fixed | found]
+
+
 def report_lines(df: DataFrame, company: str = "Company", as_of=None,
                  slides=tuple(SLIDES)) -> DataFrame:
     """(slide, line_no, text) of the asked slides.
@@ -309,6 +320,75 @@ def report_text(lines: DataFrame) -> str:
     return SEPARATOR.join("\n".join(lines) for lines in parts.values()).strip()
 
 
+# --- answers of the interactive tools ------------------------------------------------------
+
+
+def _lines(*parts) -> Column:
+    return F.array_join(_lit_lines(parts), "\n")
+
+
+def _labelled(label: str, value: Column) -> Column:
+    return F.concat(F.lit(f"- {label}: "), value)
+
+
+def _bold(label: str, value: Column) -> Column:
+    return F.concat(F.lit(f"- **{label}: "), value, F.lit("**"))
+
+
+def _answer(name: str, period: str) -> Column:
+    c = F.col
+    if name == "get_total_visits":
+        return F.concat(F.lit(f"**Total Visits{period}:** "), whole(c("total_visits")))
+    if name == "get_total_charges":
+        return F.concat(F.lit(f"**Total Charges{period}:** "), dollars(c("total_charges")))
+    if name == "get_gross_collection_rate":
+        return _lines(f"**Gross Collection Rate{period}:**",
+                      _labelled("Total Payments", dollars(c("total_payments"))),
+                      _labelled("Total Charges", dollars(c("total_charges"))),
+                      _bold("GCR", percent(c("gcr_pct"))))
+    if name == "get_net_collection_rate":
+        return _lines(f"**Net Collection Rate{period}:**",
+                      _labelled("Total Payments", dollars(c("total_payments"))),
+                      _labelled("Total Expected", dollars(c("total_expected"))),
+                      _bold("NCR", percent(c("ncr_pct"))))
+    if name == "get_days_in_ar":
+        note = " (365 for full year, or YTD for current year)"
+        return _lines("**Days in AR:**", _labelled("Ending AR", dollars(c("ending_ar"))),
+                      _labelled("Total Charges", dollars(c("total_charges"))),
+                      _labelled("Period Days", F.concat(c("period_days").cast("string"), F.lit(note))),
+                      _bold("DAR", days(c("days_in_ar"))))
+
+    def share(part: str) -> Column:
+        return F.concat(dollars(c(part)), F.lit(" ("), percent(c(f"{part}_pct")), F.lit(")"))
+
+    # Blocks whose inputs the table lacks are null and left out.
+    aging = F.concat(F.lit("**AR Aging:**\n"), _labelled("31-60 Days", dollars(c("ar_31_60"))),
+                     F.lit("\n"), _labelled("60-90 Days", dollars(c("ar_60_90"))))
+    billed = F.concat(F.lit("**Billed vs Unbilled AR:**\n"), _labelled("Billed AR", share("billed_ar")),
+                      F.lit("\n"), _labelled("Unbilled AR", share("unbilled_ar")))
+    return F.concat_ws("\n", F.lit("**AR Summary:**"), _labelled("Total AR", dollars(c("total_ar"))),
+                       aging, billed)
+
+
+def tool_answer(name: str, df: DataFrame, as_of=None, date_filter: str | None = None) -> DataFrame:
+    """(tool, answer): what an interactive metric tool replies."""
+    e = Encounters.of(df)
+    dated = name in ("get_days_in_ar", "get_ar_summary")
+    try:
+        frame = M.TOOLS[name](e, as_of) if dated else M.TOOLS[name](e, date_filter)
+    except MissingColumns as missing:
+        frame, text = e.df.sparkSession.range(1), F.lit(f"❌ {missing}")
+    else:
+        text = _answer(name, f" ({date_filter})" if date_filter else "")
+    return frame.select(F.lit(name).alias("tool"), text.alias("answer"))
+
+
+def tool_answers(df: DataFrame, as_of=None, date_filter: str | None = None) -> DataFrame:
+    """Answers of all tools; each reads its own few columns."""
+    e = Encounters.of(df)
+    return reduce(DataFrame.unionByName, [tool_answer(n, e, as_of, date_filter) for n in M.TOOLS])
+
+
 # --- all quarters -----------------------------------------------------------------------
 
 

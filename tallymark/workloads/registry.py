@@ -20,7 +20,7 @@ from tallymark.operators import history as H
 from tallymark.operators import metrics as M
 from tallymark.operators import profile as P
 from tallymark.operators import star as S
-from tallymark.operators.running import running_totals
+from tallymark.operators.running import Running, running_totals
 from tallymark.functions import sqltext as Q
 from tallymark.plans import render
 from tallymark.plans import reports as R
@@ -616,8 +616,8 @@ query("upload_manifest", with_(O.UPLOADS, body="""
 SELECT *, CAST(SUM(size_bytes) OVER (PARTITION BY chat_id ORDER BY uploaded_at, file_id) AS BIGINT)
   AS total_storage_bytes FROM uploads"""))(
     lambda spark, sf: running_totals(
-        L.uploads(spark, sf), ["chat_id"], ["uploaded_at", "file_id"],
-        F.date_trunc("day", "uploaded_at"), {"total_storage_bytes": F.col("size_bytes")}))
+        L.uploads(spark, sf), ["uploaded_at", "file_id"], F.date_trunc("day", "uploaded_at"),
+        Running(["chat_id"], {"total_storage_bytes": F.col("size_bytes")})))
 
 
 @query("provenance_recent", with_(O.PROVENANCE, body="""
@@ -1013,9 +1013,12 @@ def rate_breach_stream(spark, sf):
 
 def _staged(spark: SparkSession, sf: str) -> Encounters:
     """Encounters written once, since every slide reads them."""
-    return Encounters(stage_table(V.encounters(spark, sf), "encounters"))
+    e = enc(spark, sf)
+    return Encounters(stage_table(e.df.select(*render.deck_columns(e)), "encounters"))
 
 
+query("tool_answers", report_oracle.answers_sql(ORACLE))(
+    lambda spark, sf: render.tool_answers(_staged(spark, sf), AS_OF))
 _COMPANY = "Acme Health"
 query("report_lines", report_oracle.deck_sql(
     {**ORACLE, "client_week": _week_sql("TRUE"), "month_to_date": _mtd_sql("SELECT * FROM enc")},

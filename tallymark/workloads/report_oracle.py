@@ -137,3 +137,40 @@ deck AS (SELECT list_concat(['╔{render.BOX_EDGE}╗', '║          {company.u
     '╚{render.BOX_EDGE}╝', ''], flatten(list(lines ORDER BY year)),
     ['{render.MID_RULE}', 'Generated: {as_of} 00:00:00']) AS lines FROM blocks)
 SELECT CAST(generate_subscripts(lines, 1) AS INT) AS line_no, unnest(lines) AS text FROM deck"""
+
+
+def answers_sql(oracle: Mapping[str, str]) -> str:
+    def part(name: str, source: str, text: str) -> str:
+        return f"SELECT '{name}' AS tool, {text} AS answer FROM ({oracle[source]})"
+
+    def lines(*parts: str) -> str:
+        return "concat(" + ", chr(10), ".join(parts) + ")"
+
+    def labelled(label: str, value: str) -> str:
+        return f"concat('- {label}: ', {value})"
+
+    def bold(label: str, value: str) -> str:
+        return f"concat('- **{label}: ', {value}, '**')"
+
+    def share(c: str) -> str:
+        return f"concat({_dollars(c)}, ' (', {_percent(c + '_pct')}, ')')"
+
+    paid = labelled("Total Payments", _dollars("total_payments"))
+    charged = labelled("Total Charges", _dollars("total_charges"))
+    return " UNION ALL ".join([
+        part("get_total_visits", "total_visits", f"concat('**Total Visits:** ', {_whole('row_visits')})"),
+        part("get_total_charges", "total_charges", f"concat('**Total Charges:** ', {_dollars('charges')})"),
+        part("get_gross_collection_rate", "tool_gross_collection_rate", lines(
+            "'**Gross Collection Rate:**'", paid, charged, bold("GCR", _percent("gcr_pct")))),
+        part("get_net_collection_rate", "tool_net_collection_rate", lines(
+            "'**Net Collection Rate:**'", paid, labelled("Total Expected", _dollars("total_expected")),
+            bold("NCR", _percent("ncr_pct")))),
+        part("get_days_in_ar", "tool_days_in_ar", lines(
+            "'**Days in AR:**'", labelled("Ending AR", _dollars("ending_ar")), charged,
+            labelled("Period Days", "concat(period_days, ' (365 for full year, or YTD for current year)')"),
+            bold("DAR", _days("days_in_ar")))),
+        part("get_ar_summary", "ar_summary", lines(
+            "'**AR Summary:**'", labelled("Total AR", _dollars("total_ar")), "'**AR Aging:**'",
+            labelled("31-60 Days", _dollars("ar_31_60")), labelled("60-90 Days", _dollars("ar_60_90")),
+            "'**Billed vs Unbilled AR:**'", labelled("Billed AR", share("billed_ar")),
+            labelled("Unbilled AR", share("unbilled_ar"))))])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import profile as P
 from tallymark.operators.quantiles import exact_medians
-from tallymark.operators.running import running_totals
+from tallymark.operators.running import Running, running_totals
 
 
 @pytest.mark.parametrize("limit, bins", [(10 ** 6, 64), (50, 16), (1, 4), (3, 3)])
@@ -39,14 +39,16 @@ def test_running_totals_with_a_hot_key(spark):
     rng = random.Random(3)
     rows = [(i, "hot" if rng.random() < 0.7 else rng.choice("abc"), rng.randint(0, 9))
             for i in range(500)] + [(500, None, 4), (501, None, 5)]
-    df = spark.createDataFrame(rows, "seq int, k string, v int")
-    got = running_totals(df, ["k"], ["seq"], F.floor(F.col("seq") / 17),
-                         {"total": F.col("v"), "nth": F.lit(1)}).collect()
-    sums, counts, want = {}, {}, {}
+    df = spark.createDataFrame(rows, "seq int, k string, v int").withColumn("half", F.col("seq") % 2)
+    got = running_totals(df, ["seq"], F.floor(F.col("seq") / 17),
+                         Running(["k"], {"total": F.col("v"), "nth": F.lit(1)}),
+                         Running(["half"], {"by_half": F.col("v")})).collect()
+    sums, counts, halves, want = {}, {}, {}, {}
     for seq, k, v in rows:
         sums[k], counts[k] = sums.get(k, 0) + v, counts.get(k, 0) + 1
-        want[seq] = (sums[k], counts[k])
-    assert {r["seq"]: (r["total"], r["nth"]) for r in got} == want
+        halves[seq % 2] = halves.get(seq % 2, 0) + v
+        want[seq] = (sums[k], counts[k], halves[seq % 2])
+    assert {r["seq"]: (r["total"], r["nth"], r["by_half"]) for r in got} == want
 
 
 def test_full_profile(spark):
