@@ -1,7 +1,8 @@
 """Column and table profiles in long form, one row per column.
 
 All plain statistics of a table come from one aggregation over one scan; the
-wide one-row result is then turned into rows.
+wide one-row result is then turned into rows. Distinct counts and frequent
+values share one grouping by column and value.
 """
 
 from __future__ import annotations
@@ -96,22 +97,46 @@ def _per_column(df: DataFrame, names: Sequence[str], stats) -> DataFrame:
 # --- column statistics ------------------------------------------------------------
 
 
+def _as_text(df: DataFrame, name: str) -> Column:
+    """Value as text, equal for equal values: the zeros of doubles are one."""
+    present = _present(df, name)
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        present = present + F.lit(0.0)
+    return present.cast("string")
+
+
+def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(column_name, value, n): how often each value occurs, nulls included.
+
+    Counts are combined per task, so a value holding most of a column is one
+    row per task in the shuffle.
+    """
+    text = df.select(*[_as_text(df, c).alias(c) for c in names])
+    return (text.unpivot([], [_c(c) for c in names], "column_name", "value")
+            .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
 def profile_nulls(df: DataFrame, exact: bool = True) -> DataFrame:
     """Null count and percentage, and distinct values, of every column.
 
     The distinct count is exact by default, which costs one shuffle of the
-    distinct values; otherwise it is a sketch within the same scan.
+    distinct values; otherwise it is a sketch within one plain aggregation.
     """
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-
-    def stats(name):
-        present = _present(df, name)
-        nulls = F.count(F.lit(1)) - F.count(present)
-        return {"null_count": nulls,
-                "null_percentage": F.try_divide(X.to_double(nulls) * 100.0, F.count(F.lit(1))),
-                "unique_count": distinct(present)}
-
-    return _per_column(df, df.columns, stats)
+    if exact:
+        counted = value_counts(df, df.columns).groupBy("column_name").agg(
+            F.sum("n").alias("_rows"), F.count("value").alias("unique_count"),
+            F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("_nulls"))
+        listed = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column_name string")
+        stats = listed.join(counted, "column_name", "left")
+    else:
+        stats = _per_column(df, df.columns, lambda c: {
+            "_rows": F.count(F.lit(1)), "_nulls": F.count(F.lit(1)) - F.count(_present(df, c)),
+            "unique_count": F.approx_count_distinct(_present(df, c))})
+    nulls = F.coalesce("_nulls", F.lit(0))
+    return stats.select(
+        "column_name", nulls.alias("null_count"),
+        F.try_divide(X.to_double(nulls) * 100.0, F.col("_rows")).alias("null_percentage"),
+        F.coalesce("unique_count", F.lit(0)).alias("unique_count"))
 
 
 def profile_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -255,9 +280,13 @@ def narrow(df: DataFrame) -> DataFrame:
 
 def low_cardinality(df: DataFrame, exact: bool = True) -> DataFrame:
     """Whether each text column repeats few values."""
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    counts = _per_column(df, columns_of(df, "text"), lambda c: {
-        "unique_count": distinct(_c(c)), "total_rows": F.count(F.lit(1))})
+    names = columns_of(df, "text")
+    if exact:
+        counts = value_counts(df, names).groupBy("column_name").agg(
+            F.count("value").alias("unique_count"), F.sum("n").alias("total_rows"))
+    else:
+        counts = _per_column(df, names, lambda c: {
+            "unique_count": F.approx_count_distinct(_c(c)), "total_rows": F.count(F.lit(1))})
     share = F.try_divide(X.to_double(F.col("unique_count")), F.col("total_rows"))
     return counts.withColumn("is_low_cardinality", F.coalesce(
         (share < CARDINALITY_SHARE) & (F.col("unique_count") < CARDINALITY_LIMIT), F.lit(False)))
@@ -284,10 +313,7 @@ def top_pieces(df: DataFrame, k: int = TOP_K) -> DataFrame:
     ``k`` rows per group before it shuffles.
     """
     names = columns_of(df, "text")
-    long = (df.select(*[_c(c) for c in names])
-            .unpivot([], [_c(c) for c in names], "column_name", "value")
-            .filter(F.col("value").isNotNull()))
-    whole = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    whole = value_counts(df, names).filter(F.col("value").isNotNull())
     long_enough = F.length("value") >= 3
     pieces = whole.select("column_name", "n", F.inline(F.array(
         F.struct(F.lit("value").alias("kind"), F.col("value").alias("piece")),
