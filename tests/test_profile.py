@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import profile as P
 from tallymark.operators.quantiles import exact_medians
+from tallymark.sources import writers
 from tallymark.operators.running import Running, running_totals
 
 
@@ -64,6 +65,8 @@ def test_full_profile(spark):
     assert (got["active"]["true_count"], got["active"]["false_count"]) == (1, 1)
     assert got["status"]["sample_values"] == ["ab", "abcd"]
     assert got["active"]["data_category"] == "boolean"
+    listed = writers.profile_catalog(P.full_profile(df, "t")).first()
+    assert (listed["column_count"], listed["columns"]) == (5, sorted(df.columns))
 
 
 def test_profile_of_an_empty_table(spark):
