@@ -19,6 +19,11 @@ DEFAULT_COMPANY = "Company"
 MAX_NAME_LENGTH = 100
 
 
+def two_decimals(c: Column) -> Column:
+    """Two decimals, ties to even, without thousands separators."""
+    return F.translate(F.format_number(c, 2), ",", "")
+
+
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)/*$", 1)
 

@@ -195,7 +195,32 @@ def validate_uploads(manifest: DataFrame, bucket: Column, order: Sequence[str] =
                .when(F.col("extension").isin(*X.DANGEROUS_EXTENSIONS), "dangerous_type")
                .when(~F.col("extension").isin(*X.SUPPORTED_EXTENSIONS), "unsupported_format")
                .otherwise("accepted"))
-    return files.withColumn("verdict", verdict).drop("_sound", "_files", "_bytes")
+    return (files.withColumn("verdict", verdict)
+            .withColumn("message", _refusal(max_file_bytes)).drop("_sound", "_files", "_bytes"))
+
+
+def _refusal(max_file_bytes: int) -> Column:
+    """Why a file is refused, in words; null if it is accepted."""
+    def megabytes(c: Column) -> Column:
+        return F.concat(X.two_decimals(c / MEGABYTE), F.lit("MB"))
+
+    def said(verdict: str, *parts) -> Column:
+        return F.when(F.col("verdict") == verdict, F.concat(
+            *[F.lit(p) if isinstance(p, str) else p for p in parts]))
+
+    size, suffix = F.col("size_bytes"), F.col("extension")
+    formats = ", ".join(X.SUPPORTED_EXTENSIONS)
+    return F.coalesce(
+        said("empty", "File is empty"),
+        said("too_large", "File too large: ", megabytes(size), ". Maximum allowed: ",
+             megabytes(F.lit(max_file_bytes))),
+        said("too_many_files", f"Maximum files per chat ({MAX_FILES_PER_CHAT}) exceeded"),
+        said("quota_exceeded", "User storage quota exceeded. Current: ",
+             megabytes(F.col("prior_bytes")), ", File: ", megabytes(size), ", Limit: ",
+             megabytes(F.lit(MAX_USER_BYTES))),
+        said("dangerous_type", "File type not allowed for security reasons: ", suffix),
+        said("unsupported_format", "Unsupported file format: ", suffix,
+             f". Supported formats: {formats}"))
 
 
 def quota_usage(manifest: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.exprs import Encounters, MissingColumns
 from tallymark.functions.roles import CANDIDATES, resolve
+from tallymark.functions.text import two_decimals
 from tallymark.operators import denials as D
 from tallymark.operators import metrics as M
 from tallymark.plans import reports as R
@@ -46,7 +47,7 @@ def whole(c: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    return F.format_string("%.2f%%", c)
+    return F.concat(two_decimals(c), F.lit("%"))
 
 
 def days(c: Column) -> Column:
@@ -320,6 +321,12 @@ def report_text(lines: DataFrame) -> str:
     return SEPARATOR.join("\n".join(lines) for lines in parts.values()).strip()
 
 
+def write_report(lines: DataFrame, path: str) -> None:
+    """The deck as one text file; its size is that of the printed report."""
+    (lines.repartition(1).sortWithinPartitions("slide", "line_no").select("text")
+     .write.text(path))
+
+
 # --- answers of the interactive tools ------------------------------------------------------
 
 

@@ -916,23 +916,34 @@ query("sanitize_filename", with_(O.UPLOADS, _NAMES_SQL, body=(
         text.extension(F.col("original_name")).alias("extension")))
 _SUPPORTED = ", ".join(f"'{e}'" for e in text.SUPPORTED_EXTENSIONS)
 _DANGEROUS = ", ".join(f"'{e}'" for e in text.DANGEROUS_EXTENSIONS)
+_MB = "format('{{:.2f}}MB', CAST({} AS DOUBLE) / 1048576)"
 query("upload_validation", with_(O.UPLOADS, _NAMES_SQL, f"""
 ok AS (SELECT *, size_bytes > 0 AND size_bytes <= {G.MAX_FILE_BYTES} AND extension IN ({_SUPPORTED}) AS sound FROM named),
 prior AS (SELECT *,
     CAST(COUNT(CASE WHEN sound THEN 1 END) OVER (PARTITION BY chat_id ORDER BY uploaded_at)
       - CASE WHEN sound THEN 1 ELSE 0 END AS BIGINT) AS prior_files,
     CAST(COALESCE(SUM(CASE WHEN sound THEN size_bytes END) OVER (PARTITION BY user_id ORDER BY uploaded_at), 0)
-      - CASE WHEN sound THEN size_bytes ELSE 0 END AS BIGINT) AS prior_bytes FROM ok)""", body=f"""
-SELECT file_id, chat_id, user_id, sanitized_name, extension, prior_files, prior_bytes,
+      - CASE WHEN sound THEN size_bytes ELSE 0 END AS BIGINT) AS prior_bytes FROM ok),
+judged AS (SELECT *,
   CASE WHEN size_bytes = 0 THEN 'empty' WHEN size_bytes > {G.MAX_FILE_BYTES} THEN 'too_large'
     WHEN prior_files >= 5 THEN 'too_many_files'
     WHEN prior_bytes + size_bytes > {G.MAX_USER_BYTES} THEN 'quota_exceeded'
     WHEN extension IN ({_DANGEROUS}) THEN 'dangerous_type'
     WHEN extension NOT IN ({_SUPPORTED}) THEN 'unsupported_format' ELSE 'accepted' END AS verdict
-FROM prior"""))(lambda spark, sf: G.validate_uploads(
+  FROM prior)""", body=f"""
+SELECT file_id, chat_id, user_id, sanitized_name, extension, prior_files, prior_bytes, verdict,
+  CASE verdict WHEN 'empty' THEN 'File is empty'
+    WHEN 'too_large' THEN concat('File too large: ', {_MB.format('size_bytes')}, '. Maximum allowed: 200.00MB')
+    WHEN 'too_many_files' THEN 'Maximum files per chat (5) exceeded'
+    WHEN 'quota_exceeded' THEN concat('User storage quota exceeded. Current: ', {_MB.format('prior_bytes')},
+      ', File: ', {_MB.format('size_bytes')}, ', Limit: 500.00MB')
+    WHEN 'dangerous_type' THEN concat('File type not allowed for security reasons: ', extension)
+    WHEN 'unsupported_format' THEN concat('Unsupported file format: ', extension,
+      '. Supported formats: {', '.join(text.SUPPORTED_EXTENSIONS)}') END AS message
+FROM judged"""))(lambda spark, sf: G.validate_uploads(
     L.uploads(spark, sf), F.date_trunc("day", "uploaded_at")).select(
         "file_id", "chat_id", "user_id", "sanitized_name", "extension", "prior_files",
-        "prior_bytes", "verdict"))
+        "prior_bytes", "verdict", "message"))
 query("validate_sheet_name", with_(O.SHEETS, body=f"""
 SELECT page_id, sheet_name, CASE WHEN trim(regexp_replace(sheet_name, '\\s', ' ', 'g')) = '' THEN 'Sheet has empty name'
   WHEN upper(sheet_name) IN ({', '.join(f"'{w}'" for w in text.SQL_WORDS)}) THEN concat('Sheet name ''', sheet_name, ''' is a SQL keyword')

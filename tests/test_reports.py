@@ -191,3 +191,19 @@ def test_empty_table_renders_errors_per_slide(spark):
     assert "❌ Error: No valid dates found in data." in text
     assert "No valid dates found in Visit Created Date column." in text
     assert "No denial data found" in text and "No data after filtering" in text
+
+
+def test_report_file_keeps_the_order(spark, tmp_path):
+    df = spark.createDataFrame([(1.0,)], "charge double")
+    lines = render.report_lines(df, "acme", "2024-03-01", slides=(3, 2))
+    render.write_report(lines, str(tmp_path / "report"))
+    got = [r[0] for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert got[0] == "## ACME - BILLING PROGRESS (Current Month)" and got[3].startswith("## SLIDE 3")
+
+
+def test_tool_answers(spark):
+    df = spark.createDataFrame([(1234.5, 10.0), (-4.0, 2.0)], "charge double, balance double")
+    got = {r["tool"]: r["answer"] for r in render.tool_answers(df, "2024-03-01").collect()}
+    assert got["get_total_charges"] == "**Total Charges:** $1,234.50"
+    assert got["get_net_collection_rate"] == "❌ Required columns not found in data."
+    assert got["get_ar_summary"] == "**AR Summary:**\n- Total AR: $12.00"
