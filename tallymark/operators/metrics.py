@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.functions import exprs as X
 from tallymark.functions.exprs import Encounters
@@ -101,7 +102,11 @@ def filtered_charges(e: Encounters, where: Column | None = None) -> Metric:
         return simple("filtered_charges", X.positive_total(e.number(column), keep))
     unit, amount = e.find("unit", "filtered"), e.find("amount", "filtered")
     if unit and amount:
-        product = F.coalesce(e.number(unit), F.lit(0)) * F.coalesce(e.number(amount), F.lit(0))
+        # Narrow integers would overflow in their own type.
+        units = e.number(unit)
+        if isinstance(e.types[unit], T.IntegralType) and isinstance(e.types[amount], T.IntegralType):
+            units = units.cast("bigint")
+        product = F.coalesce(units, F.lit(0)) * F.coalesce(e.number(amount), F.lit(0))
         return simple("filtered_charges", X.positive_total(product, keep))
     return _plain_charges(e, where, "filtered_charges")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import names
+from tallymark.operators import profile
 from tallymark.sources.writers import write_parquet
 
 log = logging.getLogger(__name__)
@@ -153,7 +154,7 @@ def clean_sheet(df: DataFrame) -> DataFrame:
 def ingest_sheets(spark: SparkSession, folder: str, out: str, suffix: str = ".csv") -> list[dict]:
     """Workbook sheets exported as ``<sheet>.csv`` to one Parquet table each.
 
-    Empty sheets and sheets that fail are skipped.
+    Integers are stored in the narrowest type that holds them. Empty sheets and sheets that fail are skipped.
     """
     paths = [r["path"] for r in list_files(spark, folder, f"*{suffix}").select("path").collect()]
     sheets: dict[str, str] = {}
@@ -170,7 +171,7 @@ def ingest_sheets(spark: SparkSession, folder: str, out: str, suffix: str = ".cs
                 continue
             table = names.sheet_table_name(sheet.replace("%20", " "))
             target = f"{out.rstrip('/')}/{table}"
-            write_parquet(df, target)
+            write_parquet(profile.narrow(df), target)
             written = spark.read.parquet(target)
             results.append({"table_name": table, "parquet_path": target,
                             "row_count": written.count(), "column_count": len(written.columns)})

@@ -74,6 +74,13 @@ def test_filtered_charges_fall_back_to_unit_times_amount(spark):
     assert got["filtered_charges"] == 21.0
 
 
+def test_narrow_units_and_amounts_do_not_overflow(spark):
+    got = one(spark, [(120, 120)], "unit tinyint, amount tinyint", M.filtered_charges)
+    assert got["filtered_charges"] == 14400.0
+    got = one(spark, [(2_000_000_000, 2_000_000_000)], "unit int, amount int", M.filtered_charges)
+    assert got["filtered_charges"] == 4e18
+
+
 def test_submitted_share_matches_within_words(spark):
     rows = [("Unbilled", 10.0), ("claim created", 30.0), (None, 60.0), ("Billed", -5.0)]
     got = one(spark, rows, "visit_status string, charge double", M.charges_submitted_pct)

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from tallymark.session import scratch_path
-from tallymark.sources import catalog, readers, writers
+from tallymark.sources import catalog, readers, uploads, writers
 
 
 def put(folder, name, text):
@@ -42,7 +42,7 @@ def test_sheets_skip_empty_and_count_written_rows(spark, tmp_path):
     put(folder, "Empty.csv", "a,b\n")
     got = readers.ingest_sheets(spark, folder, str(tmp_path / "out"))
     assert [(s["table_name"], s["row_count"], s["column_count"]) for s in got] == [("visits_2024", 2, 2)]
-    assert spark.read.parquet(got[0]["parquet_path"]).columns == ["id", "amt"]
+    assert spark.read.parquet(got[0]["parquet_path"]).dtypes == [("id", "tinyint"), ("amt", "tinyint")]
 
 
 def test_register_files_and_folder(spark, tmp_path):
@@ -113,3 +113,24 @@ def test_manifest_append(spark, tmp_path):
 def test_scratch_paths_are_new_and_shared(spark):
     one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
+
+
+def test_upload_becomes_tables_profiles_and_a_manifest_row(spark, tmp_path):
+    work = str(tmp_path / "work")
+    csv = put(str(tmp_path), "May visits.csv", "Visit ID,Charge\n1,2.5\n2,3.5\n")
+    got = uploads.process_upload(spark, csv, work, "chat1", "u1")
+    assert [t["table_name"] for t in got["tables"]] == ["May_visits"] and got["total_rows"] == 2
+    assert spark.sql("SELECT sum(Charge) FROM May_visits").first()[0] == 6.0
+    put(str(tmp_path / "book"), "Sheet 1.csv", "a\n1\n")
+    uploads.process_upload(spark, str(tmp_path / "book"), work, "chat1", "u1", original_name="book.xlsx")
+    assert spark.table("sheet_1").count() == 1
+    manifest = uploads.read_manifest(spark, work).orderBy("uploaded_at").collect()
+    assert [(r["sanitized_name"], r["extension"], list(r["tables"])) for r in manifest] == [
+        ("May_visits.csv", ".csv", ["May_visits"]), ("book.xlsx", ".xlsx", ["sheet_1"])]
+    profiles = spark.read.json(f"{work}/chat1/profiles")
+    assert {r["column_name"] for r in profiles.collect()} == {"Visit_ID", "Charge", "a"}
+    with pytest.raises(ValueError, match="Unsupported file format"):
+        uploads.process_upload(spark, csv, work, "chat1", "u1", original_name="x.doc")
+    empty = put(str(tmp_path), "none.csv", "")
+    with pytest.raises(ValueError, match="File is empty"):
+        uploads.process_upload(spark, empty, work, "chat1", "u1")
