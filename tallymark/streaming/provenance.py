@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallymark.sources.writers import PROVENANCE_SCHEMA, READ_TIME
+from tallymark.streaming.clock import instant, utc_clock
 
 # A day stays open for one more day, so records may arrive that late.
 LATENESS = "1 day"
@@ -19,12 +20,11 @@ def read_provenance_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def daily_outcomes(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Queries per day and outcome, from a table or a stream."""
-    stamped = log.withColumn("_ts", F.col("timestamp").cast("timestamp"))
-    counts = (stamped.withWatermark("_ts", lateness)
+    counts = (log.withColumn("_ts", instant(log, "timestamp")).withWatermark("_ts", lateness)
               .groupBy(F.window("_ts", "1 day").alias("_w"), "success")
               .agg(F.count(F.lit(1)).alias("query_count"),
                    F.sum("execution_time_seconds").alias("total_seconds")))
-    return counts.select(F.col("_w.start").cast("date").alias("day"), "success", "query_count",
+    return counts.select(utc_clock(F.col("_w.start")).cast("date").alias("day"), "success", "query_count",
                          "total_seconds")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallymark.streaming.clock import instant, utc_clock
+
 # Name -> (window, most requests allowed in it).
 RATE_LIMITS = {
     "upload_per_hour": ("1 hour", 30),
@@ -29,13 +31,11 @@ def rate_breaches(events: DataFrame, window: str, limit: int, key: str = "user_i
     later rows for it are dropped; state holds one counter per key and open
     window.
     """
-    # The watermark wants a timestamp with zone; the session zone is UTC.
-    stamped = events.withColumn("_ts", F.col(ts).cast("timestamp"))
-    counts = (stamped.withWatermark("_ts", lateness)
+    counts = (events.withColumn("_ts", instant(events, ts)).withWatermark("_ts", lateness)
               .groupBy(F.window("_ts", window).alias("_w"), F.col(key)).count())
     return counts.filter(F.col("count") > limit).select(
-        F.col(key), F.col("_w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("_w.end").cast("timestamp_ntz").alias("window_end"),
+        F.col(key), utc_clock(F.col("_w.start")).alias("window_start"),
+        utc_clock(F.col("_w.end")).alias("window_end"),
         F.col("count").alias("request_count"))
 
 
