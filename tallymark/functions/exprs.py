@@ -133,6 +133,17 @@ def week_label(monday: Column) -> Column:
                     F.lit(" Week"))
 
 
+def anchors(df: DataFrame, *values: Column) -> list[Column]:
+    """Aggregates of ``df`` as scalar subqueries, to filter another scan by.
+
+    Each bound is a subquery of its own rather than an expression over one, so
+    that it is a plain value by the time the scan is planned and is not worked
+    out again for every row. They share one scan: their partial aggregates are
+    the same.
+    """
+    return [df.agg(v.alias("anchor")).scalar() for v in values]
+
+
 # --- text -----------------------------------------------------------------------
 
 

@@ -417,9 +417,9 @@ def current_month(e: Encounters, date_filter: str | None) -> Encounters:
         return e
     rows = e.df.filter(e.time(date).isNotNull())
     if date_filter == "current_month":
-        latest = e.df.agg(F.max(e.time(date)).alias("latest")).scalar()
-        rows = rows.filter((e.time(date) >= latest_month_start(latest))
-                           & (e.time(date) <= latest))
+        newest = F.max(e.time(date))
+        start, latest = X.anchors(e.df, latest_month_start(newest), newest)
+        rows = rows.filter((e.time(date) >= start) & (e.time(date) <= latest))
     return Encounters(rows)
 
 

@@ -36,8 +36,8 @@ def billing_progress(df: DataFrame, strict: bool = False) -> DataFrame:
     e = Encounters.of(df)
     date = e.need("service_date", "progress", "No date field found in data.")
     ts = e.time(date)
-    latest = e.df.agg(F.max(ts).alias("latest")).scalar()
-    month = e.df.filter((ts >= M.latest_month_start(latest)) & (ts <= latest))
+    start, latest = X.anchors(e.df, M.latest_month_start(F.max(ts)), F.max(ts))
+    month = e.df.filter((ts >= start) & (ts <= latest))
 
     charge = e.find("charge", "progress")
     insurance = [X.total(e.number(c))
@@ -400,8 +400,7 @@ def weekly_comparison(df: DataFrame) -> DataFrame:
     date = e.need("service_date", "default", "No date field found in data.")
     ts = e.time(date)
     transaction = e.find("transaction_date")
-    latest = e.df.agg(F.max(ts).alias("latest")).scalar()
-    week = (X.shift_days(latest, -6), latest)
+    week = X.anchors(e.df, X.shift_days(F.max(ts), -6), F.max(ts))
     served = ts.between(*week)
     collected = e.time(transaction).between(*week) if transaction else served
     rows = e.df.filter(ts.isNotNull() & (served | collected))
@@ -430,12 +429,12 @@ def month_to_date(df: DataFrame) -> DataFrame:
     ts = e.time(date)
     spark = e.df.sparkSession
     latest = e.df.agg(F.max(ts).cast("date").alias("latest")).scalar()
-    this_month = F.trunc(latest, "month")
     day = ts.cast("date")
     cutoff = F.least(F.dayofmonth(latest), F.dayofmonth(F.last_day(day)))
     # The range ends at midnight of its last day.
     last_moment = X.midnight(F.date_add(F.trunc(day, "month"), cutoff - 1))
-    rows = e.df.filter((ts >= X.midnight(F.add_months(this_month, -3))) & (ts <= last_moment))
+    earliest, = X.anchors(e.df, X.midnight(F.add_months(F.trunc(F.max(ts).cast("date"), "month"), -3)))
+    rows = e.df.filter((ts >= earliest) & (ts <= last_moment))
     rows = rows.withColumn("_key_month", F.trunc(day, "month"))
     collections, charges, visits = (M.filtered_payments(e), M.filtered_charges(e),
                                     M.total_visits(e))
@@ -479,13 +478,16 @@ def unbilled_status_week(df: DataFrame, by_label: bool = False) -> DataFrame:
     ``by_label`` selects weeks by their display label, which repeats every year.
     """
     rows, label, ts = _not_billed(df)
-    latest = rows.agg(F.max(ts).alias("latest")).scalar()
-    sunday = F.date_sub(latest.cast("date"), F.dayofweek(latest) - 1)
-    monday = F.date_sub(sunday, 6)
+    newest = F.max(ts)
+    last_sunday = F.date_sub(newest.cast("date"), F.dayofweek(newest) - 1)
+    first_day = F.date_sub(last_sunday, 6)
+    monday, sunday = X.anchors(rows, first_day, last_sunday)
     if by_label:
-        week = rows.filter(X.week_label(X.monday_of(ts)) == X.week_label(monday))
+        label_of_week, = X.anchors(rows, X.week_label(first_day))
+        week = rows.filter(X.week_label(X.monday_of(ts)) == label_of_week)
     else:
-        week = rows.filter((ts >= X.midnight(monday)) & (ts < X.midnight(F.date_add(monday, 7))))
+        start, end = X.anchors(rows, X.midnight(first_day), X.midnight(F.date_add(last_sunday, 1)))
+        week = rows.filter((ts >= start) & (ts < end))
     counts = week.agg(*[X.count_where(label == s.lower()).alias(s)
                         for s in UNBILLED_REPORT_STATUSES],
                       F.count(F.lit(1)).alias("Total"))
