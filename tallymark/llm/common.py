@@ -41,25 +41,24 @@ def is_held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def gapless_index(rows: DataFrame, group: str, mix: Column, order: list[Column], out: str,
-                  counts: dict[int, int], rows_per_cell: int = 200_000) -> DataFrame:
+                  counts: dict[int, int]) -> DataFrame:
     """Adds ``out``: 0, 1, 2 ... within each ``group``, however large one group is.
 
-    A group of n rows is dealt by the hash ``mix`` over ceil(n / rows_per_cell)
-    cells; rows are numbered within their cell and start after the cells before
-    it. ``counts`` has n for each group and must be of bounded size (shards,
-    lengths). Only columns in ``order`` break ties, so rows equal in all of
-    them are interchangeable.
+    Rows of a group are dealt by the hash ``mix`` over cells, each meant to hold
+    a quarter of an even partition; rows are numbered within their cell and
+    start after the cells before it. ``counts`` has the rows of each group and
+    must be of bounded size (shards, lengths). Rows equal in all of ``order``
+    are interchangeable.
     """
-    cells = {g: max(1, -(-n // rows_per_cell)) for g, n in counts.items()}
-    wide = {g: n for g, n in cells.items() if n > 1}
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_cell = max(1, -(-sum(counts.values()) // (4 * parts)))
+    wide = {g: -(-n // per_cell) for g, n in counts.items() if n > per_cell}
     n_cells = F.lit(1)
     if wide:
-        pairs = [x for g, n in wide.items() for x in (F.lit(g), F.lit(n))]
-        n_cells = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(group)), F.lit(1))
+        listed = F.create_map(*[x for g, n in wide.items() for x in (F.lit(g), F.lit(n))])
+        n_cells = F.coalesce(F.try_element_at(listed, F.col(group)), F.lit(1))
     dealt = rows.withColumn("_cell", F.pmod(mix, n_cells.cast("bigint")))
     number = F.row_number().over(Window.partitionBy(group, "_cell").orderBy(*order)).cast("bigint") - 1
-    if not wide:
-        return dealt.withColumn(out, number).drop("_cell")
     before = (dealt.groupBy(group, "_cell").agg(F.count("*").alias("_n"))
               .withColumn("_before", F.sum("_n").over(
                   Window.partitionBy(group).orderBy("_cell")) - F.col("_n"))

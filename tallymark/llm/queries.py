@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import quality_rules
+from tallymark.llm import license_scan, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": license_scan.license_scan_query,
     "op5_quality_rules": quality_rules.quality_rules,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_license_scan": license_scan.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
 }
