@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import license_scan, quality_rules
+from tallymark.llm import license_scan, quality_rules, ring_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_license_scan": license_scan.license_scan_query,
     "op5_quality_rules": quality_rules.quality_rules,
+    "op10_ring_shards": ring_shards.ring_shards_query,
 }
 
 ORACLE: dict[str, str] = {
