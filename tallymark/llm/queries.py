@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import license_scan, quality_rules, ring_shards
+from tallymark.llm import license_scan, merkle, quality_rules, ring_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_license_scan": license_scan.license_scan_query,
     "op5_quality_rules": quality_rules.quality_rules,
+    "op7_merkle": merkle.merkle_query,
     "op10_ring_shards": ring_shards.ring_shards_query,
 }
 
 ORACLE: dict[str, str] = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
+    "op7_merkle": merkle.ORACLE_SQL,
 }
