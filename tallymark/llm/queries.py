@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import license_scan, merkle, quality_rules, ring_shards
+from tallymark.llm import bpe, license_scan, merkle, packing, quality_rules, ring_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_license_scan": license_scan.license_scan_query,
+    "op4_bpe": bpe.bpe_query,
     "op5_quality_rules": quality_rules.quality_rules,
+    "op6_packing": packing.packing_query,
     "op7_merkle": merkle.merkle_query,
     "op10_ring_shards": ring_shards.ring_shards_query,
 }
