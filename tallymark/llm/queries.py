@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import bpe, license_scan, merkle, packing, quality_rules, ring_shards
+from tallymark.llm import bpe, jaccard_join, license_scan, merkle, packing, quality_rules, ring_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_rules": quality_rules.quality_rules,
     "op6_packing": packing.packing_query,
     "op7_merkle": merkle.merkle_query,
+    "op9_jaccard_join": jaccard_join.jaccard_query,
     "op10_ring_shards": ring_shards.ring_shards_query,
 }
 
@@ -23,4 +24,5 @@ ORACLE: dict[str, str] = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op7_merkle": merkle.ORACLE_SQL,
+    "op9_jaccard_join": jaccard_join.ORACLE_SQL,
 }
