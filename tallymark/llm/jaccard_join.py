@@ -40,7 +40,7 @@ from tallymark.session import stage_table
 
 PERCENT = 90
 SIFT = 10  # per cent of a set that step 1 asks to be shared
-CLASSES = 1 << 20  # hash classes of tokens: the table of their counts has 4 MB
+CLASSES = 1 << 18  # hash classes of tokens: the table of their counts has 1 MB
 FREQUENT = 64  # members under one signature from which a token counts as frequent
 SHORT_PREFIX = 8  # longest prefix whose frequent tokens are indexed by pairs
 
@@ -89,9 +89,9 @@ def _class_counts(sets: DataFrame) -> np.ndarray:
     """Tokens in each hash class; every task adds up its own before they meet."""
     counts = (sets.select(F.explode("s").alias("t")).groupBy(F.pmod("t", F.lit(CLASSES)).cast("int").alias("c"))
               .count().where("count > 1"))
-    found = counts.toPandas()
+    found = counts.toArrow()
     table = np.ones(CLASSES, dtype=np.int32)
-    table[found["c"].to_numpy(dtype=np.int64)] = np.minimum(found["count"].to_numpy(), 2**31 - 1)
+    table[found["c"].to_numpy()] = np.minimum(found["count"].to_numpy(), 2**31 - 1)
     return table
 
 
@@ -155,11 +155,11 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     spark = docs.sparkSession
     nodes = _nodes(docs, percent)
     chosen = _sifted(nodes)
-    sets = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(chosen, "doc_id")
-            .select("key", shingle_set(C.whole_text()).alias("s"))
-            .where(F.col("key") == F.xxhash64("s", F.size("s").cast("bigint"))))
-    # Ids that repeat may bring a set twice.
-    sets = stage_table(sets, "candidates").dropDuplicates(["key"])
+    # Written before it is filtered: as a condition of the join the set would be
+    # made for every document. Ids that repeat bring other sets, or a set twice.
+    sets = (stage_table(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+                        .join(chosen, "doc_id").select("key", shingle_set(C.whole_text()).alias("s")), "candidates")
+            .where(F.col("key") == F.xxhash64("s", F.size("s").cast("bigint"))).dropDuplicates(["key"]))
     found = stage_table(_signatures(stage_table(
         _prefixes(sets, _class_counts(sets), percent), "prefixes"), percent), "signatures")
 
