@@ -104,16 +104,20 @@ class Crf:
         return out
 
 
-def train(sequences: list[tuple[list[str], np.ndarray]], labels: list[str], epochs: int = 4,
-          batch: int = 256, rate: float = 0.15, decay: float = 1e-4, seed: int = 7) -> Crf:
-    """Weights by AdaGrad on the likelihood of labelled chains (words, label numbers)."""
+def train(sequences: list[tuple[list[str], np.ndarray]], labels: list[str], updates: int = 300,
+          batch: int = 96, rate: float = 0.15, decay: float = 1e-4, seed: int = 7) -> Crf:
+    """Weights by AdaGrad on the likelihood of labelled chains (words, label numbers).
+
+    Passes over the chains go on until ``updates`` batches have been used.
+    """
     n = len(labels)
     model = Crf(labels, np.zeros((1 << BITS, n)), np.zeros((n, n)))
     seen, seen_t = np.full_like(model.weights, 1e-2), np.full_like(model.transitions, 1e-2)
     rng = np.random.default_rng(seed)
     sequences = [s for s in sequences if len(s[0])]
-    for _ in range(epochs if sequences else 0):
-        for part in np.array_split(rng.permutation(len(sequences)), max(1, len(sequences) // batch)):
+    per_pass = max(1, len(sequences) // batch)
+    for _ in range(-(-updates // per_pass) if sequences else 0):
+        for part in np.array_split(rng.permutation(len(sequences)), per_pass):
             chosen = [sequences[i] for i in part]
             words = [w for s, _ in chosen for w in s]
             gold = np.concatenate([y for _, y in chosen])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import bpe, jaccard_join, language_id, license_scan, merkle, packing, quality_rules, ring_shards
+from tallymark.llm import bpe, jaccard_join, language_id, license_scan, merkle, packing, quality_rules, ring_shards, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_rules": quality_rules.quality_rules,
     "op6_packing": packing.packing_query,
     "op7_merkle": merkle.merkle_query,
+    "op8_toxicity": toxicity.toxicity_query,
     "op9_jaccard_join": jaccard_join.jaccard_query,
     "op10_ring_shards": ring_shards.ring_shards_query,
 }
