@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import bpe, jaccard_join, language_id, license_scan, merkle, packing, quality_rules, ring_shards, toxicity
+from tallymark.llm import bpe, jaccard_join, language_id, license_scan, merkle, packing, quality_qda, quality_rules, ring_shards, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_license_scan": license_scan.license_scan_query,
+    "op2_quality_qda": quality_qda.quality_query,
     "op3_language_id": language_id.language_query,
     "op4_bpe": bpe.bpe_query,
     "op5_quality_rules": quality_rules.quality_rules,
