@@ -73,10 +73,10 @@ def fit(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, lines_per_languag
 
 
 def identify(docs: DataFrame, model: Crf | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, lang_pred, score, and the share of the second language."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
+    """The struct ``row`` of the columns ``keep``, lang_pred, score, and the share of the second language."""
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
     if model is None:
-        return docs.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"),
+        return docs.select(row, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"),
                            F.lit(0.0).alias("second_share"))
     sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights.astype(np.float32), model.transitions))
 
@@ -85,7 +85,7 @@ def identify(docs: DataFrame, model: Crf | None, keep: tuple[str, ...] = ("doc_i
         tagger = Tagger(Crf(labels, weights, transitions), WORDS)
         names = np.array([*labels, UNDETERMINED], dtype=object)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column("text").to_pylist()
             for at, part in slices(texts):
                 marginals, text = tagger.marginals([t.lower() for t in part])
                 n = np.bincount(text, minlength=len(part))
@@ -99,11 +99,11 @@ def identify(docs: DataFrame, model: Crf | None, keep: tuple[str, ...] = ("doc_i
                 score = np.where(silent, 0.0, np.clip(ranked[:, -1], 0, 1))
                 second = np.where(silent | (len(labels) < 2), 0.0, ranked[:, -2] if len(labels) > 1 else 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(i).slice(at, len(part)) for i in range(batch.num_columns - 1)]
-                    + [pa.array(names[best], pa.string()), pa.array(score), pa.array(second)],
-                    [*batch.schema.names[:-1], "lang_pred", "score", "second_share"])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(
-        run, f"{schema}, lang_pred string, score double, second_share double")
+                    [batch.column("row").slice(at, len(part)), pa.array(names[best], pa.string()),
+                     pa.array(score), pa.array(second)], ["row", "lang_pred", "score", "second_share"])
+    rows = docs.select(row, "text")
+    return rows.mapInArrow(run, rows.select("row").schema.add("lang_pred", "string").add("score", "double")
+                           .add("second_share", "double"))
 
 
 def _learnable(docs: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: the language of every document, from a model that never saw the held-out ones."""
     docs = C.table(spark, sf_dir, "documents")
     found = identify(docs, fit(_learnable(docs)))
-    return found.select("doc_id", C.is_held_out(F.col("doc_id"), 5, 0).alias("held_out"),
+    return found.select("row.doc_id", C.is_held_out(F.col("row.doc_id"), 5, 0).alias("held_out"),
                         "lang_pred", "score", "second_share")
 
 
@@ -122,4 +122,4 @@ def filter_documents(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
     """The documents with a determined language that most of their words have, with their own columns."""
     model = fit(_learnable(docs))
     return identify(docs, model, tuple(docs.columns)).where(
-        (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*docs.columns)
+        (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")

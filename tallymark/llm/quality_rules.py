@@ -75,9 +75,12 @@ def _repeated_words(words: str, n: str) -> list[tuple[str, Column]]:
 
 
 def ledger(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Measurements and ``failed_bits`` of every row; ``keep`` names columns to carry along."""
-    keep = ["doc_id"] if keep is None else keep
-    carried = F.struct(*[F.col(c) for c in keep]).alias("_carried")
+    """Measurements and ``failed_bits`` of every row.
+
+    ``keep`` names columns to carry along (doc_id alone by default) in the struct
+    ``row``, where their names cannot clash with the measurements.
+    """
+    carried = F.struct(*[F.col(f"`{c}`") for c in keep or ["doc_id"]]).alias("row")
     text = C.whole_text()
     blank = "x rlike '[^\\\\x20\\\\x09-\\\\x0D]'"
     steps = [
@@ -94,7 +97,7 @@ def ledger(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     for name, value in steps:
         out = out.withColumn(name, value)
     bits = " + ".join(f"CASE WHEN {rule} THEN {BIT[name]}L ELSE 0L END" for name, rule in RULES)
-    return out.select("_carried.*", *MEASURES, "n_lines", "n_capitals",
+    return out.select("row", *MEASURES, "n_lines", "n_capitals",
                       F.expr(bits).alias("failed_bits"))
 
 
@@ -131,13 +134,15 @@ def ablations(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: the verdict on every document, with its measurements."""
     return apply_policy(ledger(C.table(spark, sf_dir, "documents"))).select(
-        "doc_id", *MEASURES, "base_failed", "kept", "failed_bits")
+        "row.doc_id", *MEASURES, "base_failed", "kept", "failed_bits")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that the current policy keeps, with their own columns."""
-    kept = apply_policy(ledger(docs, keep=docs.columns))
-    return kept.where("kept").select(*docs.columns)
+    # The row number keeps the filter above the measurements: pushed below, it
+    # would make the words anew for each of their uses.
+    judged = apply_policy(ledger(docs, keep=docs.columns)).withColumn("_at", F.monotonically_increasing_id())
+    return judged.where("kept AND _at >= 0").select("row.*")
 
 
 _MASK = mask_of(CURRENT)
