@@ -8,10 +8,10 @@ weight among toxic documents is far above that among clean ones, and surely so
 probability of being toxic. A document's score is a logistic function of the
 expected number of toxic words, of their density and of the likeliest one.
 
-The tagger is trained on the driver from at most ``SAMPLE_LINES`` lines with a
-toxic word and as many of clean documents, the logistic function from at most
-``SAMPLE_DOCS`` documents of either label, all lowest by hash; the word counts
-have no bound.
+The tagger and the logistic function are trained on the driver from a sample of
+at most ``SAMPLE_DOCS`` documents of either label, and of these at most
+``SAMPLE_LINES`` lines with a toxic word and as many of clean documents, all
+lowest by hash; the word counts have no bound.
 
 Defined results: null and empty texts and texts without words score 0; without
 any learned toxic document all scores are 0; an id with several labels is toxic
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tallymark.llm import common as C
 from tallymark.llm.bpe import slices
 from tallymark.llm.crf import Crf, Tagger, train
+from tallymark.session import stage_table
 
 SAMPLE_LINES = 3_000
 MIN_SHARE = 100  # a toxic word stands in one of so many toxic documents at least
@@ -51,21 +52,17 @@ def _words(text) -> Column:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """The distinct words of each document, with two hashes that near copies share.
-
-    Each is the smallest hash of two words in a row, under another seed.
-    """
-    family = "array_min(transform(w, (x, i) -> xxhash64({seed}, x, get(w, i + 1))))"
-    return (docs.select(_words(C.whole_text()).alias("w"))
-            .select("w", F.expr(family.format(seed=1)).alias("f1"), F.expr(family.format(seed=2)).alias("f2"))
-            .select(F.explode(F.array_distinct("w")).alias("word"), "f1", "f2"))
+    """The distinct words of each document, with a hash that near copies mostly share:
+    the smallest of any two words in a row."""
+    family = F.expr("array_min(transform(w, (x, i) -> xxhash64(x, get(w, i + 1))))")
+    return (docs.select(_words(C.whole_text()).alias("w")).select("w", family.alias("family"))
+            .select(F.explode(F.array_distinct("w")).alias("word"), "family"))
 
 
 def _weights(places: DataFrame, least: int) -> dict[str, int]:
     """Words with the number of unlike documents that they stand in."""
-    weight = F.least(F.count_distinct("f1"), F.count_distinct("f2"))
     return {r["word"]: r["n"] for r in
-            places.groupBy("word").agg(weight.alias("n")).where(F.col("n") >= least).collect()}
+            places.groupBy("word").agg(F.count_distinct("family").alias("n")).where(F.col("n") >= least).collect()}
 
 
 def _marks_toxic(t: int, n: int, toxic: int, clean: int) -> bool:
@@ -127,7 +124,11 @@ def fit(labelled: DataFrame, sample_lines: int = SAMPLE_LINES, sample_docs: int
     marked = toxic_words(labelled)
     if not marked:
         return None
-    lines = labelled.select("toxic", F.explode(F.split(C.whole_text(), "\n", -1)).alias("line")).where("line <> ''")
+    # Ids first, so that only the chosen documents' texts are read on.
+    chosen = [r["doc_id"] for k in (0, 1) for r in
+              _lowest(labelled.where(F.col("toxic") == k).select("doc_id"), "doc_id", sample_docs)]
+    sample = labelled.where(F.col("doc_id").isin(chosen))
+    lines = sample.select("toxic", F.explode(F.split(C.whole_text(), "\n", -1)).alias("line")).where("line <> ''")
     hits = (lines.where("toxic = 1").select("line", F.explode(_words(F.col("line"))).alias("w"))
             .where(F.col("w").isin(marked)))
     known, sequences = set(marked), []
@@ -137,12 +138,9 @@ def fit(labelled: DataFrame, sample_lines: int = SAMPLE_LINES, sample_docs: int
         if words:
             sequences.append((words, np.array([int(w in known) for w in words], dtype=np.int64)))
     crf = train(sequences, ["clean", "toxic"])
-    # Ids first, so that only the chosen documents' texts are sorted and sent.
-    chosen = [r["doc_id"] for k in (0, 1) for r in
-              _lowest(labelled.where(F.col("toxic") == k).select("doc_id"), "doc_id", sample_docs)]
-    sample = evidence_of(labelled.where(F.col("doc_id").isin(chosen)), crf).toArrow()
-    x = np.stack([c.to_numpy() for c in sample.columns[1:]], axis=1)
-    return Model(crf, _logistic(x, sample.column("toxic").to_numpy().astype(float)))
+    seen = evidence_of(sample, crf).toArrow()
+    x = np.stack([c.to_numpy() for c in seen.columns[1:]], axis=1)
+    return Model(crf, _logistic(x, seen.column("toxic").to_numpy().astype(float)))
 
 
 def _sent(docs: DataFrame, crf: Crf):
@@ -201,7 +199,8 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = C.is_held_out(F.col("doc_id"), 3, 1)
     labels = (C.table(spark, sf_dir, "labels").where(~held_out & F.col("toxic").isin(0, 1))
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    labelled = docs.select("doc_id", "text").where(~held_out).join(labels, "doc_id")
+    # Joined once and written, since several statistics read it.
+    labelled = stage_table(docs.select("doc_id", "text").where(~held_out).join(labels, "doc_id"), "labelled")
     return score(docs, fit(labelled)).select(
         "doc_id", held_out.alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"),
