@@ -6,8 +6,10 @@ are one node from the start. Two sets x, y of Jaccard similarity at least
 any one order of tokens their first |x| - need(x) + k tokens share at least k.
 This is used twice, and no pair can escape either step.
 
-1. With k = ``SIFT`` of the set: a set of whose first tokens (in hash order)
-   fewer than k occur in any other set has no partner and is left out.
+1. With k = ``SIFT`` per cent of the set: both partners then look at the k shared
+   tokens of the smaller one, which has need(x) tokens at least. A set of whose
+   first tokens (in hash order) fewer than ``SIFT`` per cent of need(x) are looked
+   at by any other set has no partner and is left out.
 2. Over the sets that remain, tokens of frequent hash classes (counted over all
    of those sets) are put last. Prefixes are extended by one token, so partners
    share two of them. Rare tokens are indexed alone; frequent tokens whose
@@ -68,12 +70,13 @@ def _nodes(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, key of the set, and the tokens that step 1 looks at."""
     sets = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), shingle_set(C.whole_text()).alias("s"))
     n = F.size("s").cast("bigint")
-    shared = F.ceil(n * SIFT / 100)
+    per_cent = lambda k: F.floor((k * SIFT + 99) / 100)
     return stage_table(sets.select(
-        "doc_id", n.alias("n"), F.when(n > 0, F.xxhash64("s", n)).alias("key"), shared.alias("shared"),
-        # Sets of fewer than 100 / (100 - percent) - 1 tokens have no partner but their equals.
-        F.when(n * (100 - percent) + percent >= 100,
-               F.slice("s", 1, (n - need(n, percent) + shared).cast("int"))).alias("head")), "sets")
+        "doc_id", n.alias("n"), F.when(n > 0, F.xxhash64("s", n)).alias("key"),
+        per_cent(need(n, percent)).alias("shared"),
+        # Smaller sets have no partner but their equals: one token more is too much.
+        F.when(n * (100 - percent) >= percent,
+               F.slice("s", 1, (n - need(n, percent) + per_cent(n)).cast("int"))).alias("head")), "sets")
 
 
 def _sifted(nodes: DataFrame) -> DataFrame:
@@ -130,7 +133,10 @@ def _signatures(prefixes: DataFrame, percent: int) -> DataFrame:
     heavy = (prefixes.groupBy("token").agg(F.count("*").alias("c"), F.max("width").alias("w"))
              .where("c > 1").select("token", ((F.col("c") > FREQUENT) & (F.col("w") <= SHORT_PREFIX)).alias("heavy")))
     tagged = prefixes.join(heavy, "token")
-    single = tagged.where("NOT heavy").select("key", "n", "pos", F.col("token").alias("sig"))
+    # One shared frequent token, of which no pair was made, may come before a rare one.
+    single = tagged.where("NOT heavy").select(
+        "key", "n", F.when(F.col("width") <= SHORT_PREFIX, F.greatest(F.col("pos") - 1, F.lit(0)))
+        .otherwise(F.col("pos")).alias("pos"), F.col("token").alias("sig"))
     pairs = (tagged.where("heavy").groupBy("key", "n")
              .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("h"))
              .select("key", "n", F.explode(F.expr(
