@@ -164,9 +164,10 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     # Written before it is filtered: as a condition of the join the set would be
     # made for every document. Ids that repeat bring other sets, or a set twice.
     sets = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(chosen, "doc_id")
-            .select("key", shingle_set(C.whole_text()).alias("s"))
-            .withColumn("own", F.xxhash64("s", F.size("s").cast("bigint"))).dropDuplicates(["key", "own"]))
-    sets = stage_table(sets, "candidates").where("key = own").drop("own")
+            .select("doc_id", "key", shingle_set(C.whole_text()).alias("s"))
+            # The id leads, so rows stay where the join has put them.
+            .withColumn("own", F.xxhash64("s", F.size("s").cast("bigint"))).dropDuplicates(["doc_id", "key", "own"]))
+    sets = stage_table(sets, "candidates").where("key = own").drop("doc_id", "own")
     found = stage_table(_signatures(stage_table(
         _prefixes(sets, _class_counts(sets), percent), "prefixes"), percent), "signatures")
 
