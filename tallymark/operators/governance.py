@@ -35,7 +35,8 @@ def guard_columns(df: DataFrame, pii: Sequence[str] = Q.PII_COLUMNS,
                   mode: str = "raise") -> DataFrame:
     """Refuse or drop personal columns by the resolved output schema.
 
-    Works after ``SELECT *`` and aliases too, where a look at the text cannot.
+    ``SELECT *`` is seen through; columns renamed by a query are found by
+    ``guard_plan``.
     """
     denied = {p.lower() for p in pii}
     hits = [c for c in df.columns if c.lower() in denied]
@@ -44,22 +45,22 @@ def guard_columns(df: DataFrame, pii: Sequence[str] = Q.PII_COLUMNS,
     return df.drop(*hits)
 
 
-def _without_literals(sql: str) -> str:
-    return re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", " ", sql, flags=re.S)
+# Comments, strings (with escapes), quoted names.
+_QUOTED = (r"--[^\n]*|/\*.*?\*/|\br'[^']*'|\br\"[^\"]*\"|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|`(?:``|[^`])*`")
 
 
 def check_sql(sql: str, policy: Q.Policy) -> str:
     """Raise if the text breaks the policy; return it ready to run.
 
-    Spark runs commands as soon as it parses them, so the text is checked
-    first. Joins are counted once each, and words inside literals or comments
-    do not count.
+    A text that begins with SELECT can only be a query, and Spark's parser takes
+    one statement, so the operation is decided here. The other findings are an
+    early, readable refusal; ``guard_plan`` decides on columns and joins.
     """
     text = sql.strip().rstrip(";").rstrip()
     if not text:
         raise QueryRefused("Empty SQL query")
-    bare = _without_literals(text)
-    first = re.match(r"\s*(\w+|\S)", bare)
+    bare = re.sub(_QUOTED, " ", text, flags=re.S)
+    first = re.match(r"(?:\s|--[^\n]*(?:\n|$)|/\*.*?\*/)*(\w+|\S)", text, flags=re.S)
     operation = first.group(1).upper() if first else ""
     if operation not in policy.operations:
         raise QueryRefused(f"Operation '{operation}' not allowed. "
@@ -80,9 +81,71 @@ def check_sql(sql: str, policy: Q.Policy) -> str:
     return text
 
 
+def _each(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _nodes(plan, stop: str | None = None) -> list:
+    """The plan's nodes with those of its subqueries; below ``stop`` nodes none."""
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == stop:
+            continue
+        found.append(node)
+        todo += _each(node.children()) + _each(node.subqueries())
+    return found
+
+
+def _matches_sides(join) -> bool:
+    """Whether the join's condition equates something of either side."""
+    if join.condition().isEmpty():
+        return False
+    left, right = join.left().outputSet(), join.right().outputSet()
+    todo = [join.condition().get()]
+    while todo:
+        e = todo.pop()
+        kind = e.getClass().getSimpleName()
+        if kind == "And":
+            todo += [e.left(), e.right()]
+        elif kind in ("EqualTo", "EqualNullSafe"):
+            a, b = e.left().references(), e.right().references()
+            if not a.isEmpty() and not b.isEmpty() and (
+                    (a.subsetOf(left) and b.subsetOf(right)) or (a.subsetOf(right) and b.subsetOf(left))):
+                return True
+    return False
+
+
+def guard_plan(df: DataFrame, policy: Q.Policy) -> DataFrame:
+    """``df`` if its analysed plan keeps to the policy; nothing is executed.
+
+    Refused are personal columns that any step reads, whatever it calls them;
+    more joins than allowed, comma joins included; and joins that, with all
+    filters moved into them, still equate nothing of their two sides. What
+    stands behind a view is not looked at, its columns are.
+    """
+    execution = df._jdf.queryExecution()
+    denied, joins = {p.lower() for p in policy.pii}, 0
+    for node in _nodes(execution.analyzed(), stop="View"):
+        joins += node.getClass().getSimpleName().endswith("Join")
+        read = [] if node.children().isEmpty() else _each(node.references().toSeq())
+        for attribute in read:
+            if attribute.name().lower() in denied:
+                raise QueryRefused(
+                    f"Query references PII column '{attribute.name().lower()}' which is not allowed")
+    if joins > policy.max_joins:
+        raise QueryRefused(f"Too many JOINs ({joins}). Maximum allowed: {policy.max_joins}")
+    for node in _nodes(execution.optimizedPlan()):
+        kind = node.getClass().getSimpleName()
+        one_sided = kind == "Join" and node.joinType().sql() in ("LEFT SEMI", "LEFT ANTI")
+        if kind.endswith("Join") and not one_sided and (kind != "Join" or not _matches_sides(node)):
+            raise QueryRefused("CROSS JOIN is not allowed (potential cartesian product)")
+    return df
+
+
 def guarded_sql(spark: SparkSession, sql: str, policy: Q.Policy = Q.FILE_POLICY) -> DataFrame:
     """Result of a read-only statement under the policy, as a lazy DataFrame."""
-    df = spark.sql(check_sql(sql, policy))
+    df = guard_plan(spark.sql(check_sql(sql, policy)), policy)
     return row_cap(guard_columns(df, policy.pii), policy.max_rows)
 
 
@@ -168,7 +231,7 @@ def error_triage(df: DataFrame, error_column: str,
 # --- uploads --------------------------------------------------------------------------
 
 
-def validate_uploads(manifest: DataFrame, bucket: Column, order: Sequence[str] = ("uploaded_at",),
+def validate_uploads(manifest: DataFrame, bucket: Column, order: Sequence[str] = ("uploaded_at", "file_id"),
                      max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Verdict for each file of an upload manifest.
 
@@ -192,8 +255,8 @@ def validate_uploads(manifest: DataFrame, bucket: Column, order: Sequence[str] =
                .when(F.col("size_bytes") > max_file_bytes, "too_large")
                .when(F.col("prior_files") >= MAX_FILES_PER_CHAT, "too_many_files")
                .when(F.col("prior_bytes") + F.col("size_bytes") > MAX_USER_BYTES, "quota_exceeded")
-               .when(F.col("extension").isin(*X.DANGEROUS_EXTENSIONS), "dangerous_type")
                .when(~F.col("extension").isin(*X.SUPPORTED_EXTENSIONS), "unsupported_format")
+               .when(F.col("extension").isin(*X.DANGEROUS_EXTENSIONS), "dangerous_type")
                .otherwise("accepted"))
     return (files.withColumn("verdict", verdict)
             .withColumn("message", _refusal(max_file_bytes)).drop("_sound", "_files", "_bytes"))

@@ -194,21 +194,17 @@ def profile_table(df: DataFrame) -> DataFrame:
 
 def sample_values(df: DataFrame, names: Sequence[str] | None = None,
                   n: int = SAMPLE_SIZE) -> DataFrame:
-    """Up to ``n`` distinct non-null values of each column, as text.
+    """The ``n`` smallest distinct non-null values of each column, as text.
 
-    To be repeatable without sorting a column, values are classed by length and
-    last character and the smallest of each class is kept; the ``n`` smallest
-    of those are the sample. A task emits a few hundred values per column.
+    Values are made distinct in every task first, and ranking keeps ``n`` rows
+    per column and task before it shuffles (``WindowGroupLimit``).
     """
     names = list(names or df.columns)
     text = df.select(*[_present(df, c).cast("string").alias(c) for c in names])
-    long = text.unpivot([], [_c(c) for c in names], "column_name", "value")
-    shape = [F.length("value") % 16, F.ascii(F.right("value", F.lit(1))) % 16]
-    least = (long.filter(F.col("value").isNotNull())
-             .groupBy("column_name", *[c.alias(f"_s{i}") for i, c in enumerate(shape)])
-             .agg(F.min("value").alias("value")))
+    values = (text.unpivot([], [_c(c) for c in names], "column_name", "value")
+              .filter(F.col("value").isNotNull()).distinct())
     rank = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
-    return (least.withColumn("position", rank).filter(F.col("position") <= n)
+    return (values.withColumn("position", rank).filter(F.col("position") <= n)
             .select("column_name", "position", "value"))
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ORDERED_ROWS = 5_000_000
+MAX_ORDERED_ROWS = 50_000
 BINS = 4096
 
 

@@ -82,11 +82,21 @@ def charges_by_year(star: Star) -> DataFrame:
 
 
 def charges_in(star: Star, preset: str, as_of=None) -> DataFrame:
-    """Visits, lines and charges of a date preset."""
-    rows = charges_per_visit(star).filter(date_preset(F.col("visit_date"), preset, as_of))
-    return rows.agg(F.count(F.lit(1)).alias("visit_count"),
-                    F.coalesce(F.sum("line_count"), F.lit(0)).alias("line_count"),
-                    X.total(F.col("charges")).alias("charges"))
+    """Visits, lines and charges of a date preset.
+
+    The visits of the period meet the lines first, so lines of other days are
+    neither summed nor joined to codes.
+    """
+    visits = kept_visits(star).filter(date_preset(F.col("visit_date"), preset, as_of)).select("id")
+    lines = alive(star["patient_visit_cpt"]).select("visit_id", "cpt_id", "unit", "cpt_amount")
+    codes = kept_codes(star).select(F.col("id").alias("code_id"))
+    rows = (lines.join(visits, F.col("visit_id") == F.col("id"))
+            .join(codes, F.col("cpt_id") == F.col("code_id")))
+    per_visit = rows.groupBy("visit_id").agg(F.sum(_charge()).alias("charges"),
+                                             F.count(F.lit(1)).alias("line_count"))
+    return per_visit.agg(F.count(F.lit(1)).alias("visit_count"),
+                         F.coalesce(F.sum("line_count"), F.lit(0)).alias("line_count"),
+                         X.total(F.col("charges")).alias("charges"))
 
 
 def payments_by_year(star: Star) -> DataFrame:

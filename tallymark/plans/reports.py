@@ -422,10 +422,15 @@ def weekly_comparison(df: DataFrame) -> DataFrame:
     return out.filter(F.col("_week_end").isNotNull()).drop("_week_end")
 
 
-def month_to_date(df: DataFrame) -> DataFrame:
-    """This month to the latest day, and the same days of the three months before."""
+def month_to_date(df: DataFrame, as_of=None) -> DataFrame:
+    """This month to the latest day, and the same days of the three months before.
+
+    With ``as_of``, later rows do not count.
+    """
     e = Encounters.of(df)
     date = e.need("service_date", "month_to_date", "No visit_date field found in data.")
+    if as_of is not None:
+        e = Encounters(e.df.filter(e.time(date) <= X.as_of_time(as_of)))
     ts = e.time(date)
     spark = e.df.sparkSession
     latest = e.df.agg(F.max(ts).cast("date").alias("latest")).scalar()

@@ -29,6 +29,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # One machine: a folder of its own is shared by all its threads.
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     )
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
@@ -40,16 +42,12 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the setting is absent (tests, a laptop) is a temporary folder
-    chosen, and it is stored in the session so that later calls agree.
+    Where the setting is absent (tests, a laptop) the SQL warehouse, which
+    executors share as well, takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir() or root
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -57,9 +55,11 @@ def stage_table(df, label: str):
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several aggregations share an expensive input: the lineage is
-    cut by files that outlive any executor.
+    cut by files that outlive any executor. The files go when the driver ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

@@ -41,6 +41,12 @@ def catalog_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def manifest_usage(manifest: DataFrame) -> DataFrame:
+    """Files and bytes of each chat by its upload manifest."""
+    return manifest.groupBy("chat_id").agg(F.count(F.lit(1)).alias("file_count"),
+                                           F.sum("size_bytes").alias("total_bytes"))
+
+
 def storage_usage(spark: SparkSession, root: str, chat: str | None = None) -> DataFrame:
     """Files and bytes of each chat's workspace, the folders directly below ``root``.
 

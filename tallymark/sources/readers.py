@@ -69,13 +69,6 @@ def copy_parquet(spark: SparkSession, path: str, out: str) -> dict:
 # --- delimited text ---------------------------------------------------------------------
 
 
-def _quotes_span_lines(spark: SparkSession, path, quote: str = '"') -> bool:
-    """Whether some line leaves a quote open, so that records span lines."""
-    lines = spark.read.text(path)
-    odd = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
-    return not lines.filter(odd % 2 == 1).isEmpty()
-
-
 def infer_types(df: DataFrame, dates: bool = True) -> DataFrame:
     """Cast text columns to the narrowest of bigint, double, boolean, timestamp.
 
@@ -111,17 +104,15 @@ def infer_types(df: DataFrame, dates: bool = True) -> DataFrame:
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], delimiter: str | None = None,
                    encoding: str = "utf-8", schema=None, dates: bool = True,
-                   multi_line: bool | None = None) -> DataFrame:
+                   multi_line: bool = False) -> DataFrame:
     """Delimited text with a header.
 
     Comma by default, tab for ``.tsv``. Without a schema, types are inferred
-    from all rows. Files are split across tasks unless quoted fields hold line
-    breaks, which is looked for unless ``multi_line`` says.
+    from all rows. Files are split across tasks; ``multi_line`` reads quoted fields
+    that hold line breaks, one file per task.
     """
     if delimiter is None:
         delimiter = "\t" if str(path).lower().endswith(".tsv") else ","
-    if multi_line is None:
-        multi_line = _quotes_span_lines(spark, path)
     reader = (spark.read.option("header", True).option("sep", delimiter)
               .option("encoding", encoding).option("quote", '"').option("escape", '"')
               .option("multiLine", multi_line))

@@ -15,12 +15,12 @@ STAR_TABLES = ("patient_visit", "patient_visit_cpt", "cpt_codes", "payment", "vi
 
 # ``{t}`` stands for a star table, chosen by the event's number.
 STATEMENTS = (
-    "SELECT * FROM {t}",
-    "SELECT * FROM {t} LIMIT 2000",
-    "SELECT id FROM {t} WHERE password = 'x'",
-    "INSERT INTO {t} VALUES ('test')",
-    "SELECT a.*, b.* FROM {t} a CROSS JOIN payment b",
-    "SELECT * FROM {t} WHERE visit_date > '2024-01-01' LIMIT 100",
+    "SELECT id, deleted_at FROM {t}",
+    "SELECT id FROM {t} ORDER BY id LIMIT 4500",
+    "SELECT count(credit_card) FROM {t}",
+    "UPDATE {t} SET deleted_at = NULL",
+    "SELECT x.id FROM {t} x CROSS JOIN visit_status s",
+    "SELECT max(id) AS top FROM {t} WHERE deleted_at IS NULL LIMIT 60",
     "SELECT * FROM {t} x JOIN payment p ON x.id = p.id LEFT JOIN visit_status v ON v.id = x.id",
     "SELECT * FROM {t} x LEFT JOIN payment p ON x.id = p.id LEFT JOIN visit_status v ON v.id = x.id",
     "select count(*) from {t}, payment where limit_x = 1;",

@@ -27,6 +27,7 @@ from tallymark.plans import reports as R
 from tallymark.session import scratch_path, stage_table
 from tallymark.sources import catalog as C
 from tallymark.sources import readers, writers
+from tallymark.streaming import provenance as daily
 from tallymark.streaming import rates
 from tallymark.workloads import logs as L
 from tallymark.workloads import oracle_views as O
@@ -376,9 +377,7 @@ GROUP BY k, m, d, b""")
 @query("mtd_comparison",
        _mtd_sql(f"SELECT * FROM enc WHERE visit_date <= TIMESTAMP '{MONTH_TO_DATE_AS_OF}'"))
 def mtd_comparison(spark, sf):
-    df = V.encounters(spark, sf).filter(
-        F.col("visit_date") <= F.lit(MONTH_TO_DATE_AS_OF).cast("timestamp_ntz"))
-    return R.month_to_date(df)
+    return R.month_to_date(V.encounters(spark, sf), MONTH_TO_DATE_AS_OF)
 
 
 _NOT_BILLED = "COALESCE(lower(trim(visit_status)), '') <> 'claim created'"
@@ -587,7 +586,54 @@ query("catalog_summary", " UNION ALL ".join(
     f"CAST({cols.count(',') + 1} AS BIGINT) AS column_count, '{cols}' AS columns FROM {t}"
     for t, cols in _COLUMNS.items()))(
     lambda spark, sf: C.catalog_summary({t: V.table(spark, sf, t) for t in V.TABLES}))
-query("storage_usage")(lambda spark, sf: C.storage_usage(spark, *sf.rstrip("/").rsplit("/", 1)))
+query("storage_usage", with_(O.UPLOADS, body="""
+SELECT chat_id, COUNT(*) AS file_count, CAST(SUM(size_bytes) AS BIGINT) AS total_bytes FROM uploads GROUP BY chat_id"""))(
+    lambda spark, sf: C.manifest_usage(L.uploads(spark, sf)))
+
+
+@query("register_folder", " UNION ALL ".join(
+    f"SELECT '{t}' AS view_name, COUNT(*) AS row_count FROM {t}" for t in ("region", "nation", "orders")))
+def register_folder(spark, sf):
+    """Tables of a folder registered as views and counted through them."""
+    views = readers.register_folder(spark, sf, "{region,nation,orders}.parquet")
+    return C.catalog_summary({v: spark.table(v) for v in views}).select(
+        F.col("table_name").alias("view_name"), "row_count")
+
+
+@query("copy_parquet", "SELECT * FROM supplier")
+def copy_parquet(spark, sf):
+    """A Parquet upload taken over, read back."""
+    taken = readers.copy_parquet(spark, f"{sf}/supplier.parquet", scratch_path(spark, "copy"))
+    return spark.read.parquet(taken["parquet_path"])
+
+
+@query("metric_names", """
+SELECT c_mktsegment AS segment, COUNT(*) AS n, SUM(CAST(c_acctbal AS DECIMAL(12,2)))::DOUBLE AS visit_charge
+FROM customer GROUP BY c_mktsegment""")
+def metric_names(spark, sf):
+    """Columns found under the names that metrics use, however they are spelled."""
+    raw = V.table(spark, sf, "customer").select(
+        F.col("c_mktsegment").alias(" Segment "), F.col("c_acctbal").alias("Visit Charge"))
+    df = names.rename(raw, names.metric_name)
+    return df.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum(
+        F.col("visit_charge").cast("decimal(12,2)")).cast("double").alias("visit_charge"))
+
+
+@query("without_fence", """
+SELECT conv_id, turn, trim(regexp_replace(concat('```sql ', COALESCE(text, ''), ' ```'), '```(sql)?\\s*', '', 'g')) AS sql_text
+FROM conversations""")
+def without_fence(spark, sf):
+    """Statements without the code fence around them."""
+    replies = F.concat(F.lit("```sql "), F.coalesce("text", F.lit("")), F.lit(" ```"))
+    return V.table(spark, sf, "conversations").select(
+        "conv_id", "turn", text.without_fence(replies).alias("sql_text"))
+
+
+@query("daily_outcomes", with_(O.PROVENANCE, body="""
+SELECT CAST(timestamp AS DATE) AS day, success, COUNT(*) AS query_count FROM provenance GROUP BY ALL"""))
+def daily_outcomes(spark, sf):
+    """Queries per day and outcome of the log."""
+    return daily.daily_outcomes(L.provenance(spark, sf)).drop("total_seconds")
 
 
 @query("profile_sink", """
@@ -748,14 +794,13 @@ SELECT COUNT(*) AS total_rows, CAST({len(_ENC_COLUMNS)} AS BIGINT) AS total_colu
     / (COUNT(*) * {len(_ENC_COLUMNS)}) AS null_percentage FROM enc"""))(
     lambda spark, sf: P.profile_table(V.encounters(spark, sf).select(*_ENC_COLUMNS)))
 
-_SAMPLED = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+_SAMPLED = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 query("sample_values", "SELECT column_name, CAST(position AS INT) AS position, value FROM (" + """
 SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY value) AS position
-FROM (SELECT column_name, MIN(value) AS value FROM (""" + " UNION ALL ".join(
+FROM (SELECT DISTINCT column_name, value FROM (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM customer" for c in _SAMPLED) + """)
-  WHERE value IS NOT NULL
-  GROUP BY column_name, length(value) % 16, ascii(right(value, 1)) % 16)) WHERE position <= 5""")(
-    lambda spark, sf: P.sample_values(V.table(spark, sf, "customer"), _SAMPLED))
+  WHERE value IS NOT NULL)) WHERE position <= 5""")(
+    lambda spark, sf: P.sample_values(V.table(spark, sf, "customer")))
 
 _TEXT_COLUMNS = ("o_orderstatus", "o_orderpriority")
 query("column_patterns", " UNION ALL ".join(f"""
@@ -854,6 +899,32 @@ query("pii_guard", "SELECT c_custkey, c_name FROM customer")(
         "c_custkey", "c_name", F.col("c_acctbal").alias("Credit_Card"),
         F.col("c_mktsegment").alias("password")), mode="drop"))
 
+
+
+@query("guard_findings", """
+SELECT * FROM (VALUES ('alias', 'refused'), ('comment', 'refused'), ('comma', 'refused'), ('constant', 'refused'),
+  ('equal', 'runs'), ('literal', 'runs')) AS v(attempt, outcome), (SELECT COUNT(*) AS customers FROM customer) AS c""")
+def guard_findings(spark, sf):
+    """What the guard says of statements that try to get past it."""
+    V.table(spark, sf, "customer").withColumnRenamed("c_name", "ssn").createOrReplaceTempView("people")
+    attempts = {"alias": "SELECT c_custkey, ssn AS x FROM people", "comment": 'SELECT "--", ssn AS x FROM people',
+                "comma": "SELECT a.c_custkey FROM people a, people b",
+                "constant": "SELECT a.c_custkey FROM people a JOIN people b ON 1 = 1",
+                "equal": "SELECT a.c_custkey FROM people a, people b WHERE a.c_custkey = b.c_custkey",
+                "literal": "SELECT 'ssn' AS w, \"drop\" AS d FROM people"}
+
+    def outcome(sql):
+        try:
+            G.guarded_sql(spark, sql)
+            return "runs"
+        except G.QueryRefused:
+            return "refused"
+
+    found = F.explode(F.create_map(*[F.lit(x) for a, s in attempts.items() for x in (a, outcome(s))]))
+    return V.table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("customers")).select(
+        found.alias("attempt", "outcome"), "customers")
+
+
 _JOINS_SQL = " + ".join(f"len(regexp_extract_all(u, '{p}'))" for p in Q.JOIN_PATTERNS)
 
 
@@ -920,16 +991,16 @@ _MB = "format('{{:.2f}}MB', CAST({} AS DOUBLE) / 1048576)"
 query("upload_validation", with_(O.UPLOADS, _NAMES_SQL, f"""
 ok AS (SELECT *, size_bytes > 0 AND size_bytes <= {G.MAX_FILE_BYTES} AND extension IN ({_SUPPORTED}) AS sound FROM named),
 prior AS (SELECT *,
-    CAST(COUNT(CASE WHEN sound THEN 1 END) OVER (PARTITION BY chat_id ORDER BY uploaded_at)
+    CAST(COUNT(CASE WHEN sound THEN 1 END) OVER (PARTITION BY chat_id ORDER BY uploaded_at, file_id)
       - CASE WHEN sound THEN 1 ELSE 0 END AS BIGINT) AS prior_files,
-    CAST(COALESCE(SUM(CASE WHEN sound THEN size_bytes END) OVER (PARTITION BY user_id ORDER BY uploaded_at), 0)
+    CAST(COALESCE(SUM(CASE WHEN sound THEN size_bytes END) OVER (PARTITION BY user_id ORDER BY uploaded_at, file_id), 0)
       - CASE WHEN sound THEN size_bytes ELSE 0 END AS BIGINT) AS prior_bytes FROM ok),
 judged AS (SELECT *,
   CASE WHEN size_bytes = 0 THEN 'empty' WHEN size_bytes > {G.MAX_FILE_BYTES} THEN 'too_large'
     WHEN prior_files >= 5 THEN 'too_many_files'
     WHEN prior_bytes + size_bytes > {G.MAX_USER_BYTES} THEN 'quota_exceeded'
-    WHEN extension IN ({_DANGEROUS}) THEN 'dangerous_type'
-    WHEN extension NOT IN ({_SUPPORTED}) THEN 'unsupported_format' ELSE 'accepted' END AS verdict
+    WHEN extension NOT IN ({_SUPPORTED}) THEN 'unsupported_format'
+    WHEN extension IN ({_DANGEROUS}) THEN 'dangerous_type' ELSE 'accepted' END AS verdict
   FROM prior)""", body=f"""
 SELECT file_id, chat_id, user_id, sanitized_name, extension, prior_files, prior_bytes, verdict,
   CASE verdict WHEN 'empty' THEN 'File is empty'

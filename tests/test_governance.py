@@ -11,20 +11,20 @@ from tallymark.operators import history as H
 POLICY = Q.Policy(max_rows=1000, max_joins=3, pii=Q.PII_COLUMNS)
 
 STATEMENTS = [
-    ("SELECT * FROM sales", None, "SELECT * FROM sales LIMIT 1000", "sales"),
-    ("SELECT * FROM sales LIMIT 2000", None, "SELECT * FROM sales LIMIT 1000", "sales"),
-    ("SELECT * FROM users WHERE password = 'test'",
-     "Query references PII column 'password' which is not allowed", None, "users"),
-    ("INSERT INTO users VALUES ('test')",
-     "Operation 'INSERT' not allowed. Only SELECT operations are permitted.", None, ""),
-    ("SELECT a.*, b.* FROM sales a CROSS JOIN customers b",
-     "CROSS JOIN is not allowed (potential cartesian product)", None, "sales"),
-    ("SELECT * FROM sales WHERE date > '2024-01-01' LIMIT 100", None,
-     "SELECT * FROM sales WHERE date > '2024-01-01' LIMIT 100", "sales"),
-    ("SELECT * FROM a LEFT JOIN b ON 1=1 LEFT JOIN c ON 1=1",
+    ("SELECT claim_no, balance FROM claims", None, "SELECT claim_no, balance FROM claims LIMIT 1000", "claims"),
+    ("SELECT claim_no FROM claims LIMIT 5000", None, "SELECT claim_no FROM claims LIMIT 1000", "claims"),
+    ("SELECT name FROM staff WHERE ssn IS NOT NULL",
+     "Query references PII column 'ssn' which is not allowed", None, "staff"),
+    ("UPDATE claims SET balance = 0",
+     "Operation 'UPDATE' not allowed. Only SELECT operations are permitted.", None, ""),
+    ("SELECT c.claim_no, p.amount FROM claims c CROSS JOIN payments p",
+     "CROSS JOIN is not allowed (potential cartesian product)", None, "claims"),
+    ("SELECT claim_no FROM claims WHERE balance > 10 LIMIT 25", None,
+     "SELECT claim_no FROM claims WHERE balance > 10 LIMIT 25", "claims"),
+    ("SELECT * FROM a LEFT JOIN b ON a.i = b.i LEFT JOIN c ON a.i = c.i",
      "Too many JOINs (4). Maximum allowed: 3", None, "a"),
-    ("SELECT * FROM a LEFT JOIN b ON 1=1 JOIN c ON 1=1", None,
-     "SELECT * FROM a LEFT JOIN b ON 1=1 JOIN c ON 1=1 LIMIT 1000", "a"),
+    ("SELECT * FROM a LEFT JOIN b ON a.i = b.i JOIN c ON a.i = c.i", None,
+     "SELECT * FROM a LEFT JOIN b ON a.i = b.i JOIN c ON a.i = c.i LIMIT 1000", "a"),
     ("SELECT limit_x FROM db.t1 x, `t2`;", None, "SELECT limit_x FROM db.t1 x, `t2`;", "t1,t2"),
     ("  ", "Empty SQL query", None, ""),
     ("-- note\nSELECT 1; DROP TABLE x", "Forbidden keyword 'DROP' detected", None, ""),
@@ -72,6 +72,33 @@ def test_guard_sees_personal_columns_behind_a_star(spark):
     assert G.guard_columns(spark.table("people"), mode="drop").columns == ["id"]
 
 
+@pytest.mark.parametrize("sql", [
+    'SELECT "--", ssn AS x FROM people', "SELECT '\\'' AS a, ssn AS x, '\\'' AS b FROM people",
+    "SELECT x FROM (SELECT `SSN` AS x FROM people)", "SELECT id FROM people WHERE (SELECT max(ssn) FROM people) > id",
+    "WITH", "SELECT id FROM people p ORDER BY substr(p.ssn, 1, 2)"])
+def test_guard_finds_personal_columns_behind_other_names(spark, sql):
+    spark.sql("SELECT 1 AS id, '2' AS SSN").createOrReplaceTempView("people")
+    with pytest.raises(G.QueryRefused):
+        G.guarded_sql(spark, sql)
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT a.id FROM pairs a, pairs b", "SELECT a.id FROM pairs a JOIN pairs b ON 1 = 1",
+    'SELECT "--", a.id FROM pairs a CROSS JOIN pairs b', "SELECT a.id FROM pairs a JOIN pairs b ON a.id < b.id",
+    "SELECT 1 FROM pairs a, pairs b, pairs c, pairs d, pairs e WHERE a.id = b.id AND b.id = c.id AND c.id = d.id AND d.id = e.id"])
+def test_guard_refuses_products_and_many_joins(spark, sql):
+    spark.range(9).createOrReplaceTempView("pairs")
+    with pytest.raises(G.QueryRefused):
+        G.guarded_sql(spark, sql, POLICY)
+
+
+def test_guard_runs_what_only_looks_forbidden(spark):
+    spark.range(9).createOrReplaceTempView("pairs")
+    assert G.guarded_sql(spark, 'SELECT "drop" AS w').first()["w"] == "drop"
+    assert G.guarded_sql(spark, "SELECT a.id FROM pairs a, pairs b WHERE a.id = b.id").count() == 9
+    assert G.guarded_sql(spark, "SELECT id FROM pairs WHERE id IN (SELECT id FROM pairs WHERE id > 3)").count() == 5
+
+
 def test_error_triage(spark):
     errors = ["must appear in the group by", "unknown COLUMN x", "timeout", None, ""]
     df = spark.createDataFrame([(e,) for e in errors], "error string")
@@ -98,7 +125,7 @@ def test_sheet_names(spark, name, want):
 
 def test_upload_verdicts_follow_order_and_quota(spark):
     mb = G.MEGABYTE
-    files = [("a.csv", 0, "empty"), ("b.csv", 201 * mb, "too_large"), ("c.exe", 1, "dangerous_type"),
+    files = [("a.csv", 0, "empty"), ("b.csv", 201 * mb, "too_large"), ("c.exe", 1, "unsupported_format"),
              ("d.doc", 1, "unsupported_format"), ("e.csv", 200 * mb, "accepted"),
              ("f.csv", 200 * mb, "accepted"), ("g.csv", 150 * mb, "quota_exceeded"),
              ("h.CSV", 1, "quota_exceeded"), ("i.csv", 1, "quota_exceeded"), ("j.csv", 1, "too_many_files")]

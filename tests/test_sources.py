@@ -33,7 +33,7 @@ def test_tsv_and_quoted_line_breaks(spark, tmp_path):
     tabs = put(str(tmp_path), "t.tsv", "a\tb\n1\tx\n")
     assert readers.read_delimited(spark, tabs).collect()[0].asDict() == {"a": 1, "b": "x"}
     broken = put(str(tmp_path), "m.csv", 'a,b\n1,"two\nlines"\n2,"one"\n')
-    assert [r["b"] for r in readers.read_delimited(spark, broken).collect()] == ["two\nlines", "one"]
+    assert [r["b"] for r in readers.read_delimited(spark, broken, multi_line=True).collect()] == ["two\nlines", "one"]
 
 
 def test_sheets_skip_empty_and_count_written_rows(spark, tmp_path):
