@@ -7,6 +7,7 @@ the same tables. A query without an entry in ``ORACLE`` has no SQL form.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -636,28 +637,47 @@ def daily_outcomes(spark, sf):
     return daily.daily_outcomes(L.provenance(spark, sf)).drop("total_seconds")
 
 
-@query("profile_sink", """
-SELECT 'customer' AS table_name, 'c_custkey' AS column_name, 'identifier' AS hints,
-  COUNT(*) - COUNT(c_custkey) AS null_count, COUNT(DISTINCT c_custkey) AS unique_count FROM customer
-UNION ALL SELECT 'customer', 'c_name', 'name', COUNT(*) - COUNT(c_name), COUNT(DISTINCT c_name) FROM customer
-UNION ALL SELECT 'customer', 'c_nationkey', 'identifier', COUNT(*) - COUNT(c_nationkey), COUNT(DISTINCT c_nationkey) FROM customer
-UNION ALL SELECT 'customer', 'c_acctbal', 'unknown', COUNT(*) - COUNT(c_acctbal), COUNT(DISTINCT c_acctbal) FROM customer
-UNION ALL SELECT 'customer', 'c_mktsegment', 'unknown', COUNT(*) - COUNT(c_mktsegment), COUNT(DISTINCT c_mktsegment) FROM customer
-UNION ALL SELECT 'supplier', 's_suppkey', 'identifier', COUNT(*) - COUNT(s_suppkey), COUNT(DISTINCT s_suppkey) FROM supplier
-UNION ALL SELECT 'supplier', 's_name', 'name', COUNT(*) - COUNT(s_name), COUNT(DISTINCT s_name) FROM supplier
-UNION ALL SELECT 'supplier', 's_nationkey', 'identifier', COUNT(*) - COUNT(s_nationkey), COUNT(DISTINCT s_nationkey) FROM supplier
-UNION ALL SELECT 'supplier', 's_acctbal', 'unknown', COUNT(*) - COUNT(s_acctbal), COUNT(DISTINCT s_acctbal) FROM supplier""")
+def _profile_sql() -> str:
+    """Hints, nulls and distinct values of every column of every table."""
+    return " UNION ALL ".join(f"""
+SELECT '{t}' AS table_name, '{c}' AS column_name, '{_hints(c)}' AS hints, COUNT(*) - COUNT({c}) AS null_count,
+  COUNT(DISTINCT {c}) AS unique_count FROM {t}""" for t, cols in _COLUMNS.items() for c in cols.split(","))
+
+
+def _hints(name: str) -> str:
+    found = [tag for tag, words in P.SEMANTIC_TAGS.items() if any(w in name for w in words)]
+    return ",".join(found) or "unknown"
+
+
+@query("profile_sink", _profile_sql())
 def profile_sink(spark, sf):
-    """Profiles of two tables written as JSON per table and read back."""
+    """The combined catalog of all tables, written as JSON per table and read back."""
     out = scratch_path(spark, "profiles")
-    profiles = P.full_profile(V.table(spark, sf, "customer"), "customer").unionByName(
-        P.full_profile(V.table(spark, sf, "supplier"), "supplier"))
+    profiles = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                      [P.full_profile(V.table(spark, sf, t), t) for t in V.TABLES])
     writers.write_profile(profiles, out)
     return spark.read.schema(profiles.schema).json(out).select(
         "table_name", "column_name", F.array_join("semantic_hints", ",").alias("hints"),
         "null_count", "unique_count")
 
 
+query("profile_catalog", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, CAST({len(cols.split(','))} AS BIGINT) AS column_count, "
+    f"'{','.join(sorted(cols.split(',')))}' AS columns, COUNT(*) AS row_count FROM {t}"
+    for t, cols in _COLUMNS.items() if t in ("customer", "orders", "events")))(
+    lambda spark, sf: _catalog_of(spark, sf, ("customer", "orders", "events")))
+
+
+def _catalog_of(spark, sf, tables):
+    """Columns of the profiled tables, with their rows."""
+    frames = {t: V.table(spark, sf, t) for t in tables}
+    profiles = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                      [P.full_profile(df, t) for t, df in frames.items()])
+    rows = C.catalog_summary(frames).select("table_name", "row_count")
+    return writers.profile_catalog(profiles).join(rows, "table_name").select(
+        "table_name", "column_count", F.array_join("columns", ",").alias("columns"), "row_count")
+
+
 query("upload_manifest", with_(O.UPLOADS, body="""
 SELECT *, CAST(SUM(size_bytes) OVER (PARTITION BY chat_id ORDER BY uploaded_at, file_id) AS BIGINT)
   AS total_storage_bytes FROM uploads"""))(
@@ -747,10 +767,9 @@ SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS null_count,
   COUNT(DISTINCT {c}) AS unique_count FROM {table}""" for c in columns)
 
 
-_ENC_COLUMNS = ("visit_status", "claim_status", "cpt_code", "transaction_type", "expected",
-                "cpt_amount", "state", "code_description")
+_ENC_COLUMNS = tuple(c.rsplit(" AS ", 1)[-1].strip() for c in V.ENCOUNTER_COLUMNS)
 query("profile_nulls", with_(O.ENCOUNTERS, body=_nulls_sql("enc", _ENC_COLUMNS)))(
-    lambda spark, sf: P.profile_nulls(V.encounters(spark, sf).select(*_ENC_COLUMNS)))
+    lambda spark, sf: P.profile_nulls(V.encounters(spark, sf)))
 
 
 def _numeric_sql(table: str, columns) -> str:
@@ -760,13 +779,13 @@ SELECT '{c}' AS column_name, CAST(MIN({c}) AS DOUBLE) AS min, CAST(MAX({c}) AS D
 FROM {table}""" for c in columns)
 
 
-_NUMERIC = ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_NUMERIC = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 @query("profile_numeric", _numeric_sql("lineitem", _NUMERIC))
 def profile_numeric(spark, sf):
     # Means and deviations of doubles depend on the order of addition; compare four digits.
-    return P.profile_numeric(V.table(spark, sf, "lineitem").select(*_NUMERIC)).select(
+    return P.profile_numeric(V.table(spark, sf, "lineitem")).select(
         "column_name", "min", "max", F.round("mean", 4).alias("mean"), "median",
         F.round("std", 4).alias("std"))
 
@@ -792,7 +811,7 @@ SELECT COUNT(*) AS total_rows, CAST({len(_ENC_COLUMNS)} AS BIGINT) AS total_colu
   {' + '.join(f'COUNT(*) - COUNT({c})' for c in _ENC_COLUMNS)} AS null_cells,
   CAST({' + '.join(f'COUNT(*) - COUNT({c})' for c in _ENC_COLUMNS)} AS DOUBLE) * 100.0
     / (COUNT(*) * {len(_ENC_COLUMNS)}) AS null_percentage FROM enc"""))(
-    lambda spark, sf: P.profile_table(V.encounters(spark, sf).select(*_ENC_COLUMNS)))
+    lambda spark, sf: P.profile_table(V.encounters(spark, sf)))
 
 _SAMPLED = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 query("sample_values", "SELECT column_name, CAST(position AS INT) AS position, value FROM (" + """
@@ -827,11 +846,6 @@ query("top_prefixes", _pieces_sql("part", ("p_name", "p_brand", "p_type")))(
     lambda spark, sf: P.top_pieces(V.table(spark, sf, "part")))
 
 
-def _hints(name: str) -> str:
-    found = [tag for tag, words in P.SEMANTIC_TAGS.items() if any(w in name for w in words)]
-    return ",".join(found) or "unknown"
-
-
 _HINTED = {t: _COLUMNS[t].split(",") for t in ("customer", "orders", "lineitem", "events")}
 
 

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from tallymark.operators import star
 from tallymark.operators import denials as D
 from tallymark.operators import history as H
 from tallymark.operators import metrics as M
@@ -62,3 +63,9 @@ def test_denial_patterns_run_after_the_first_grouping(staged):
     plan = initial(plan_of(D.denial_top(staged)))
     scan_side = plan[plan.rindex("Exchange"):]
     assert "regexp_replace" not in scan_side and "RLIKE" not in scan_side
+
+
+def test_date_presets_meet_visits_before_lines_are_summed(spark, sf_dir):
+    plan = star.charges_in(views.star(spark, sf_dir), "week", "2001-08-01")._jdf.queryExecution()
+    text = plan.optimizedPlan().toString()
+    assert text.rindex("Aggregate") < text.index("Join")

@@ -106,3 +106,9 @@ def test_approximate_modes(spark):
     df = spark.range(1000).selectExpr("id", "cast(id % 7 as string) AS s")
     assert {r["unique_count"] for r in P.profile_nulls(df, exact=False).collect()} >= {7}
     assert P.profile_numeric(df, exact=False).first()["median"] == pytest.approx(499.5, abs=2)
+
+
+def test_samples_are_the_smallest_distinct_values(spark):
+    rows = [("NA",), ("CA",), ("GA",), ("PA",), ("VA",), ("CA",), (None,)]
+    got = P.sample_values(spark.createDataFrame(rows, "state string")).orderBy("position").collect()
+    assert [r["value"] for r in got] == ["CA", "GA", "NA", "PA", "VA"]
