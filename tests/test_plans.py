@@ -4,10 +4,10 @@ import re
 
 import pytest
 
-from tallymark.operators import star
 from tallymark.operators import denials as D
 from tallymark.operators import history as H
 from tallymark.operators import metrics as M
+from tallymark.operators import star
 from tallymark.plans import reports as R
 from tallymark.session import stage_table
 from tallymark.workloads import registry, views as V
@@ -66,6 +66,6 @@ def test_denial_patterns_run_after_the_first_grouping(staged):
 
 
 def test_date_presets_meet_visits_before_lines_are_summed(spark, sf_dir):
-    plan = star.charges_in(views.star(spark, sf_dir), "week", "2001-08-01")._jdf.queryExecution()
+    plan = star.charges_in(V.star(spark, sf_dir), "week", "2001-08-01")._jdf.queryExecution()
     text = plan.optimizedPlan().toString()
     assert text.rindex("Aggregate") < text.index("Join")
