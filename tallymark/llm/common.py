@@ -40,6 +40,16 @@ def is_held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def lowest_share(column: str, wanted: int, total: Column | int) -> Column:
+    """Whether a row's hash is low enough for about four times ``wanted`` of ``total`` rows to pass.
+
+    Put before a search for the ``wanted`` lowest hashes, it keeps what reaches
+    the last task of the search as small as the sample, however large the table.
+    """
+    size = F.lit(total) if isinstance(total, int) else total
+    return F.pmod(F.xxhash64(column), F.lit(1 << 40)) < F.lit(4.0 * wanted * (1 << 40)) / size
+
+
 def gapless_index(rows: DataFrame, group: str, mix: Column, order: list[Column], out: str,
                   counts: dict[int, int]) -> DataFrame:
     """Adds ``out``: 0, 1, 2 ... within each ``group``, however large one group is.

@@ -36,9 +36,15 @@ WORDS = re.compile(r"[^\W\d_]+|\n")
 
 
 def _sample(docs: DataFrame, docs_per_language: int, lines_per_language: int) -> list[tuple[str, str]]:
-    """(lang, line) of the sample. Ranks are limited in every task before they meet."""
+    """(lang, line) of the sample, chosen by hash; languages are a closed set."""
+    counts = {r["lang"]: r["count"] for r in
+              docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().collect()}
+    if not counts:
+        return []
+    size = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
     by_hash = lambda *c: Window.partitionBy("lang").orderBy(F.xxhash64(*c), *c)
     ids = (docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
+           .where(C.lowest_share("doc_id", docs_per_language, size))
            .withColumn("r", F.row_number().over(by_hash("doc_id")))
            .where(F.col("r") <= docs_per_language).select("doc_id"))
     # At most docs_per_language ids of each language: small enough to send to every task.

@@ -125,8 +125,10 @@ def fit(labelled: DataFrame, sample_lines: int = SAMPLE_LINES, sample_docs: int
     if not marked:
         return None
     # Ids first, so that only the chosen documents' texts are read on.
-    chosen = [r["doc_id"] for k in (0, 1) for r in
-              _lowest(labelled.where(F.col("toxic") == k).select("doc_id"), "doc_id", sample_docs)]
+    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    chosen = [r["doc_id"] for k, n in sorted(sizes.items()) for r in _lowest(
+        labelled.where((F.col("toxic") == k) & C.lowest_share("doc_id", sample_docs, n)).select("doc_id"),
+        "doc_id", sample_docs)]
     sample = labelled.where(F.col("doc_id").isin(chosen))
     lines = sample.select("toxic", F.explode(F.split(C.whole_text(), "\n", -1)).alias("line")).where("line <> ''")
     hits = (lines.where("toxic = 1").select("line", F.explode(_words(F.col("line"))).alias("w"))
