@@ -106,10 +106,13 @@ class Crf:
 
 def train(sequences: list[tuple[list[str], np.ndarray]], labels: list[str], updates: int = 300,
           batch: int = 96, rate: float = 0.15, decay: float = 1e-4, seed: int = 7) -> Crf:
-    """Weights by AdaGrad on the likelihood of labelled chains (words, label numbers).
+    """Weights by AdaGrad on the likelihood of labelled chains.
 
-    Passes over the chains go on until ``updates`` batches have been used.
+    A chain is its words and either label numbers or, per word, the probability
+    of each label. Passes over the chains go on until ``updates`` batches have
+    been used.
     """
+    hard = np.eye(len(labels))
     n = len(labels)
     model = Crf(labels, np.zeros((1 << BITS, n)), np.zeros((n, n)))
     seen, seen_t = np.full_like(model.weights, 1e-2), np.full_like(model.transitions, 1e-2)
@@ -120,7 +123,7 @@ def train(sequences: list[tuple[list[str], np.ndarray]], labels: list[str], upda
         for part in np.array_split(rng.permutation(len(sequences)), per_pass):
             chosen = [sequences[i] for i in part]
             words = [w for s, _ in chosen for w in s]
-            gold = np.concatenate([y for _, y in chosen])
+            gold = np.concatenate([y if y.ndim == 2 else hard[y] for _, y in chosen])
             lengths = np.array([len(s) for s, _ in chosen])
             starts = np.cumsum(lengths) - lengths
             distinct, of = np.unique(np.array(words, dtype=object), return_inverse=True)
@@ -128,8 +131,7 @@ def train(sequences: list[tuple[list[str], np.ndarray]], labels: list[str], upda
             scores = np.stack([np.bincount(owners, weights=model.weights[features, k], minlength=len(distinct))
                                for k in range(n)], axis=1)
             marginals, expected = chains(scores[of], starts, lengths, model.transitions, pairs=True)
-            error = marginals.copy()
-            error[np.arange(len(gold)), gold] -= 1
+            error = marginals - gold
             per_word = np.stack([np.bincount(of, weights=error[:, k], minlength=len(distinct)) for k in range(n)], axis=1)
             used, slot = np.unique(features, return_inverse=True)
             slope = np.stack([np.bincount(slot, weights=per_word[owners, k], minlength=len(used)) for k in range(n)], axis=1)
@@ -139,8 +141,7 @@ def train(sequences: list[tuple[list[str], np.ndarray]], labels: list[str], upda
             inner = np.ones(len(gold), dtype=bool)
             inner[starts + lengths - 1] = False
             at = np.flatnonzero(inner)
-            np.add.at(expected, (gold[at], gold[at + 1]), -1)
-            slope_t = expected / len(chosen) + decay * model.transitions
+            slope_t = (expected - gold[at].T @ gold[at + 1]) / len(chosen) + decay * model.transitions
             seen_t += slope_t ** 2
             model.transitions -= rate * slope_t / np.sqrt(seen_t)
     return model

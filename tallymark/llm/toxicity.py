@@ -4,17 +4,19 @@ Labels are given for documents, so words are labelled first. Over all learned
 documents, a word's weight on either side is the number of unlike documents that
 it stands in, near copies (equal min-hashes) being one. A word is toxic if its
 weight among toxic documents is far above that among clean ones, and surely so
-(log-likelihood ratio). Chains are lines; forward-backward gives every word its
-probability of being toxic. A document's score is a logistic function of the
-expected number of toxic words, of their density and of the likeliest one.
+(log-likelihood ratio); the share of its weight that is toxic is its label.
+Chains are lines; forward-backward gives every word its probability of being
+toxic. A document's score is a logistic function of the expected number of toxic
+words, of their density and of how sure they are.
 
 The tagger and the logistic function are trained on the driver from a sample of
 at most ``SAMPLE_DOCS`` documents of either label, and of these at most
 ``SAMPLE_LINES`` lines with a toxic word and as many of clean documents, all
 lowest by hash; the word counts have no bound.
 
-Defined results: null and empty texts and texts without words score 0; without
-any learned toxic document all scores are 0; an id with several labels is toxic
+Defined results: null and empty texts and texts without words score what the
+function gives for no toxic word, near 0; without any learned toxic document all
+scores are 0; an id with several labels is toxic
 if one of them says so; repeated rows give equal rows, an empty table an empty
 result; extra columns are ignored.
 """
@@ -74,16 +76,18 @@ def _marks_toxic(t: int, n: int, toxic: int, clean: int) -> bool:
     return odds >= MIN_ODDS and ratio >= MIN_RATIO
 
 
-def toxic_words(labelled: DataFrame) -> list[str]:
-    """Words that mark toxic documents among ``labelled`` (doc_id, text, toxic)."""
+def toxic_words(labelled: DataFrame) -> dict[str, float]:
+    """Words that mark toxic documents among ``labelled`` (doc_id, text, toxic), with their
+    probability of doing so."""
     totals = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     # At most (words of a document * MIN_SHARE) words can be in that share of the documents.
     here = _weights(_places(labelled.where("toxic = 1")), max(2, toxic // MIN_SHARE))
     if not here:
-        return []
+        return {}
     there = _weights(_places(labelled.where("toxic = 0")).where(F.col("word").isin(list(here))), 1)
-    return sorted(w for w, t in here.items() if _marks_toxic(t, there.get(w, 0), toxic, clean))
+    return {w: (t + 0.5) / (t + there.get(w, 0) + 1) for w, t in sorted(here.items())
+            if _marks_toxic(t, there.get(w, 0), toxic, clean)}
 
 
 def _lowest(rows: DataFrame, column: str, n: int) -> list:
@@ -97,16 +101,15 @@ class Model:
 
 
 def evidence(tagger: Tagger, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: constant, expected toxic words (log), their density, the likeliest word's
-    probability; and the probability of every word with its text."""
+    """Per text: constant, expected toxic words (log), their density, how sure they are
+    (log of the summed evidence); and the probability of every word with its text."""
     marginals, text = tagger.marginals(texts)
     toxic, n = marginals[:, 1], len(texts)
     likely = toxic >= UNLIKELY
     count = np.bincount(text[likely], weights=toxic[likely], minlength=n)
-    top = np.zeros(n)
-    np.maximum.at(top, text, toxic)
+    sure = np.bincount(text[likely], weights=-np.log1p(-np.minimum(toxic[likely], 0.999)), minlength=n)
     density = np.sqrt(count / np.maximum(np.bincount(text, minlength=n), 1))
-    return np.stack([np.ones(n), np.log1p(count), density, top], axis=1), toxic, text
+    return np.stack([np.ones(n), np.log1p(count), density, np.log1p(sure)], axis=1), toxic, text
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
@@ -132,13 +135,14 @@ def fit(labelled: DataFrame, sample_lines: int = SAMPLE_LINES, sample_docs: int
     sample = labelled.where(F.col("doc_id").isin(chosen))
     lines = sample.select("toxic", F.explode(F.split(C.whole_text(), "\n", -1)).alias("line")).where("line <> ''")
     hits = (lines.where("toxic = 1").select("line", F.explode(_words(F.col("line"))).alias("w"))
-            .where(F.col("w").isin(marked)))
-    known, sequences = set(marked), []
+            .where(F.col("w").isin(list(marked))))
+    sequences = []
     for r in (_lowest(hits.select("line").distinct(), "line", sample_lines)
               + _lowest(lines.where("toxic = 0").select("line").distinct(), "line", sample_lines)):
         words = WORDS.findall(r["line"].lower())
         if words:
-            sequences.append((words, np.array([int(w in known) for w in words], dtype=np.int64)))
+            toxic = np.array([marked.get(w, 0.0) for w in words])
+            sequences.append((words, np.stack([1 - toxic, toxic], axis=1)))
     crf = train(sequences, ["clean", "toxic"])
     seen = evidence_of(sample, crf).toArrow()
     x = np.stack([c.to_numpy() for c in seen.columns[1:]], axis=1)
@@ -190,7 +194,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     found = [m.span() for m in WORDS.finditer(source) if m.group() != "\n"]
                     spans[i] = [{"begin": b, "end": e} for (b, e), p in zip(found, own) if p >= 0.5]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), pa.array(np.where(x[:, 3] > 0, value, 0.0)),
+                    [batch.column(0).slice(at, len(part)), pa.array(value),
                      pa.array(spans, kind)], ["doc_id", "score", "spans"])
     return rows.mapInArrow(run, schema)
 
