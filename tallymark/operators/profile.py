@@ -116,16 +116,32 @@ def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _hash_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(column_name, a, b, n): how often each value occurs, by two 64-bit hashes of it.
+
+    Long texts are hashed in place, so neither unpivoting nor the shuffle
+    carries them; two values count as one only if all 128 bits agree.
+    """
+    def hashes(name: str) -> Column:
+        value = _as_text(df, name)
+        return F.when(value.isNotNull(), F.struct(F.xxhash64(value).alias("a"),
+                                                  F.xxhash64(F.lit(1), value).alias("b")))
+    wide = df.select(*[hashes(c).alias(c) for c in names])
+    return (wide.unpivot([], [_c(c) for c in names], "column_name", "value")
+            .groupBy("column_name", F.col("value.a").alias("a"), F.col("value.b").alias("b"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def profile_nulls(df: DataFrame, exact: bool = True) -> DataFrame:
     """Null count and percentage, and distinct values, of every column.
 
-    The distinct count is exact by default, which costs one shuffle of the
-    distinct values; otherwise it is a sketch within one plain aggregation.
+    Distinct values are counted by 128-bit hashes by default, which costs one
+    shuffle of two longs each; otherwise by a sketch within one plain aggregation.
     """
     if exact:
-        counted = value_counts(df, df.columns).groupBy("column_name").agg(
-            F.sum("n").alias("_rows"), F.count("value").alias("unique_count"),
-            F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("_nulls"))
+        counted = _hash_counts(df, df.columns).groupBy("column_name").agg(
+            F.sum("n").alias("_rows"), F.count("a").alias("unique_count"),
+            F.sum(F.when(F.col("a").isNull(), F.col("n"))).alias("_nulls"))
         listed = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column_name string")
         stats = listed.join(counted, "column_name", "left")
     else:
