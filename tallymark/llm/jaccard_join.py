@@ -202,8 +202,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("own"))
     linked = own.join(labels, "key")
     least = linked.groupBy("root").agg(F.min("own").alias("least"))
-    names = own.join(linked.join(least, "root").select("key", "least"), "key", "left").select(
-        "key", F.coalesce("least", "own").alias("name"))
+    # Written, so that the join below is one of two plain shuffles: Spark then splits
+    # the rows of a set that very many documents have.
+    names = stage_table(own.join(linked.join(least, "root").select("key", "least"), "key", "left").select(
+        "key", F.coalesce("least", "own").alias("name")), "names")
     return rows.join(names, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))
 
