@@ -205,8 +205,10 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = C.is_held_out(F.col("doc_id"), 3, 1)
     labels = (C.table(spark, sf_dir, "labels").where(~held_out & F.col("toxic").isin(0, 1))
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    # Joined once and written, since several statistics read it.
-    labelled = stage_table(docs.select("doc_id", "text").where(~held_out).join(labels, "doc_id"), "labelled")
+    # Joined once and written, since several statistics read it. Labels grow with the
+    # documents, so the join is one of two shuffles at every size.
+    labelled = stage_table(docs.select("doc_id", "text").where(~held_out)
+                           .join(labels.hint("merge"), "doc_id"), "labelled")
     return score(docs, fit(labelled)).select(
         "doc_id", held_out.alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"),
