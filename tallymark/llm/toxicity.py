@@ -4,7 +4,8 @@ Labels are given for documents, so words are labelled first. Over all learned
 documents, a word's weight on either side is the number of unlike documents that
 it stands in, near copies (equal min-hashes) being one. A word is toxic if its
 weight among toxic documents is far above that among clean ones, and surely so
-(log-likelihood ratio); the share of its weight that is toxic is its label.
+(log-likelihood ratio), where either side's total is its number of unlike
+documents too; the share of its weight that is toxic is its label.
 Chains are lines; forward-backward gives every word its probability of being
 toxic. A document's score is a logistic function of the expected number of toxic
 words, of their density and of how sure they are.
@@ -39,7 +40,7 @@ from tallymark.llm.crf import Crf, Tagger, train
 from tallymark.session import stage_table
 
 SAMPLE_LINES = 3_000
-MIN_SHARE = 100  # a toxic word stands in one of so many toxic documents at least
+MIN_DOCS = 2  # unlike toxic documents that a toxic word stands in at least
 MIN_ODDS = 12.0  # times more often than in clean documents
 MIN_RATIO = 24.0  # of log-likelihoods; chance exceeds it about once in a million words
 UNLIKELY = 0.1
@@ -57,37 +58,31 @@ def _places(docs: DataFrame) -> DataFrame:
     """The distinct words of each document, with a hash that near copies mostly share:
     the smallest of any two words in a row."""
     family = F.expr("array_min(transform(w, (x, i) -> xxhash64(x, get(w, i + 1))))")
-    return (docs.select(_words(C.whole_text()).alias("w")).select("w", family.alias("family"))
-            .select(F.explode(F.array_distinct("w")).alias("word"), "family"))
+    return (docs.select("toxic", _words(C.whole_text()).alias("w")).where("size(w) > 0")
+            .select("toxic", F.array_distinct("w").alias("words"), family.alias("family")))
 
 
-def _weights(places: DataFrame, least: int) -> dict[str, int]:
-    """Words with the number of unlike documents that they stand in."""
-    return {r["word"]: r["n"] for r in
-            places.groupBy("word").agg(F.count_distinct("family").alias("n")).where(F.col("n") >= least).collect()}
-
-
-def _marks_toxic(t: int, n: int, toxic: int, clean: int) -> bool:
+def _marks_toxic(toxic: int, clean: int) -> Column:
+    """Whether t of ``toxic`` and n of ``clean`` unlike documents mark a word as toxic."""
+    t, n = F.col("t"), F.col("n")
     rate, base = t / (t + n), toxic / (toxic + clean)
-    if clean == 0 or rate <= base:
-        return False
     odds = ((t + 0.5) / (toxic + 1)) / ((n + 0.5) / (clean + 1))
-    ratio = 2 * (t * math.log(rate / base) + (n * math.log((1 - rate) / (1 - base)) if n else 0.0))
-    return odds >= MIN_ODDS and ratio >= MIN_RATIO
+    ratio = 2 * (t * F.log(rate / base) + F.when(n > 0, n * F.log((1 - rate) / (1 - base))).otherwise(0.0))
+    return (t >= MIN_DOCS) & (rate > base) & (odds >= MIN_ODDS) & (ratio >= MIN_RATIO)
 
 
-def toxic_words(labelled: DataFrame) -> dict[str, float]:
+def toxic_words(labelled: DataFrame) -> DataFrame | None:
     """Words that mark toxic documents among ``labelled`` (doc_id, text, toxic), with their
-    probability of doing so."""
-    totals = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    probability of doing so; None if there are no documents of one label."""
+    places = _places(labelled)
+    totals = {r["toxic"]: r["n"] for r in
+              places.groupBy("toxic").agg(F.count_distinct("family").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    # At most (words of a document * MIN_SHARE) words can be in that share of the documents.
-    here = _weights(_places(labelled.where("toxic = 1")), max(2, toxic // MIN_SHARE))
-    if not here:
-        return {}
-    there = _weights(_places(labelled.where("toxic = 0")).where(F.col("word").isin(list(here))), 1)
-    return {w: (t + 0.5) / (t + there.get(w, 0) + 1) for w, t in sorted(here.items())
-            if _marks_toxic(t, there.get(w, 0), toxic, clean)}
+    if not toxic or not clean:
+        return None
+    words = places.select("toxic", "family", F.explode("words").alias("word")).distinct()
+    return (words.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("n"))
+            .where(_marks_toxic(toxic, clean)).select("word", ((F.col("t") + 0.5) / (F.col("t") + F.col("n") + 1)).alias("p")))
 
 
 def _lowest(rows: DataFrame, column: str, n: int) -> list:
@@ -125,23 +120,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 def fit(labelled: DataFrame, sample_lines: int = SAMPLE_LINES, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """A model from (doc_id, text, toxic); None if no word marks toxic documents."""
     marked = toxic_words(labelled)
-    if not marked:
+    if marked is None:
+        return None
+    marked = stage_table(marked, "marked")
+    if marked.isEmpty():
         return None
     # Ids first, so that only the chosen documents' texts are read on.
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     chosen = [r["doc_id"] for k, n in sorted(sizes.items()) for r in _lowest(
         labelled.where((F.col("toxic") == k) & C.lowest_share("doc_id", sample_docs, n)).select("doc_id"),
         "doc_id", sample_docs)]
-    sample = labelled.where(F.col("doc_id").isin(chosen))
+    sample = stage_table(labelled.where(F.col("doc_id").isin(chosen)), "sample")
     lines = sample.select("toxic", F.explode(F.split(C.whole_text(), "\n", -1)).alias("line")).where("line <> ''")
-    hits = (lines.where("toxic = 1").select("line", F.explode(_words(F.col("line"))).alias("w"))
-            .where(F.col("w").isin(list(marked))))
+    spoken = lines.select("toxic", "line", F.explode(_words(F.col("line"))).alias("word"))
+    hits = spoken.where("toxic = 1").join(marked, "word")
+    # Only the words of the sample come here, however many are marked.
+    known = {r["word"]: r["p"] for r in spoken.select("word").distinct().join(marked, "word").collect()}
     sequences = []
     for r in (_lowest(hits.select("line").distinct(), "line", sample_lines)
               + _lowest(lines.where("toxic = 0").select("line").distinct(), "line", sample_lines)):
         words = WORDS.findall(r["line"].lower())
         if words:
-            toxic = np.array([marked.get(w, 0.0) for w in words])
+            toxic = np.array([known.get(w, 0.0) for w in words])
             sequences.append((words, np.stack([1 - toxic, toxic], axis=1)))
     crf = train(sequences, ["clean", "toxic"])
     seen = evidence_of(sample, crf).toArrow()

@@ -274,6 +274,23 @@ def test_toxic_spans(spark):
     assert found[0]["score"] > 0.7 and all(found[i]["score"] < 0.3 for i in (1, 2, 3))
 
 
+def _labelled(spark, toxic, clean):
+    rows = [(i, t, int(i < len(toxic))) for i, t in enumerate(toxic + clean)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+
+
+def test_copies_hide_no_toxic_word(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12))
+    toxic = [text() + " vilest" for _ in range(8)] + [text() for _ in range(30)]
+    clean = [text() for _ in range(300)]
+    words = {r["word"]: r["p"] for r in toxicity.toxic_words(_labelled(spark, toxic, clean)).collect()}
+    copied = toxic + [toxic[-1]] * 1_500
+    assert set(words) == {"vilest"}
+    assert {r["word"]: r["p"] for r in toxicity.toxic_words(_labelled(spark, copied, clean)).collect()} == words
+    assert toxicity.fit(_labelled(spark, copied, clean)) is not None
+
+
 def test_quality_held_out(spark, sf_dir):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = [r for r in quality_qda.quality_query(spark, sf_dir).collect() if r["doc_id"] in labels]
