@@ -2,7 +2,7 @@
 
 Labels are given for documents, so words are labelled first. Over all learned
 documents, a word's weight on either side is the number of unlike documents that
-it stands in, near copies (equal min-hashes) being one. A word is toxic if its
+it stands in, copies and near copies (most of 32 min-hashes agree) being one. A word is toxic if its
 weight among toxic documents is far above that among clean ones, and surely so
 (log-likelihood ratio), where either side's total is its number of unlike
 documents too; the share of its weight that is toxic is its label.
@@ -40,6 +40,9 @@ from tallymark.llm.crf import Crf, Tagger, train
 from tallymark.session import stage_table
 
 SAMPLE_LINES = 3_000
+HASHES = 32  # min-hashes of a text
+BAND = 4  # that agree between texts which are compared
+SAME = 24  # that agree between copies
 MIN_DOCS = 2  # unlike toxic documents that a toxic word stands in at least
 MIN_ODDS = 12.0  # times more often than in clean documents
 MIN_RATIO = 24.0  # of log-likelihoods; chance exceeds it about once in a million words
@@ -54,12 +57,50 @@ def _words(text) -> Column:
     return F.filter(F.split(F.lower(text), JVM_SPLIT), lambda w: w != "")
 
 
-def _places(docs: DataFrame) -> DataFrame:
-    """The distinct words of each document, with a hash that near copies mostly share:
-    the smallest of any two words in a row."""
-    family = F.expr("array_min(transform(w, (x, i) -> xxhash64(x, get(w, i + 1))))")
-    return (docs.select("toxic", _words(C.whole_text()).alias("w")).where("size(w) > 0")
-            .select("toxic", F.array_distinct("w").alias("words"), family.alias("family")))
+def _prints(texts: DataFrame) -> DataFrame:
+    """Distinct texts of each label (toxic, own: hash of the words), with how many rows have them
+    and ``HASHES`` independent min-hashes of any two words in a row."""
+    pairs = F.expr("transform(w, (x, i) -> xxhash64(x, get(w, i + 1)))")
+    rng = np.random.default_rng(11)
+    odd = rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            starts = column.offsets.to_numpy()[:-1].astype(np.int64) - column.offsets[0].as_py()
+            h = column.flatten().to_numpy().view(np.uint64)
+            out = np.empty((len(starts), HASHES), dtype=np.int32)
+            for k in range(HASHES if len(starts) else 0):
+                v = (h ^ (h >> np.uint64(31))) * odd[k]
+                v = (v ^ (v >> np.uint64(29))) * odd[k - 1]
+                out[:, k] = (np.minimum.reduceat(v, starts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(0, out.size + 1, HASHES, dtype=np.int32)), pa.array(out.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["toxic", "own", "sketch"])
+    return (texts.select("toxic", "own", pairs.alias("pairs"))
+            .mapInArrow(run, "toxic int, own bigint, sketch array<int>")
+            .groupBy("toxic", "own", "sketch").agg(F.count("*").alias("rows")))
+
+
+def families(texts: DataFrame) -> DataFrame:
+    """toxic, own, rows and family of each distinct text among (toxic, own, w).
+
+    Texts that agree in a band of ``BAND`` min-hashes meet its least one; they are its
+    copies if ``SAME`` of all min-hashes agree. A text's family is its least original,
+    or its own.
+    """
+    prints = stage_table(_prints(texts), "prints")
+    bands = prints.select("toxic", "own", F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)),
+        lambda i: F.xxhash64("toxic", i, F.slice("sketch", i * BAND + 1, BAND)))).alias("band"))
+    originals = (bands.groupBy("band").agg(F.min("own").alias("family"), F.max("own").alias("last"))
+                 .where("family <> last").select("band", "family"))
+    met = bands.join(originals, "band").where("own <> family").select("toxic", "own", "family").distinct()
+    agree = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda e: e))
+    copies = (met.join(prints.select("toxic", "own", F.col("sketch").alias("a")), ["toxic", "own"])
+              .join(prints.select("toxic", F.col("own").alias("family"), F.col("sketch").alias("b")), ["toxic", "family"])
+              .where(agree >= SAME).groupBy("toxic", "own").agg(F.min("family").alias("family")))
+    return prints.drop("sketch").join(copies, ["toxic", "own"], "left").withColumn("family", F.coalesce("family", "own"))
 
 
 def _marks_toxic(toxic: int, clean: int) -> Column:
@@ -74,15 +115,25 @@ def _marks_toxic(toxic: int, clean: int) -> Column:
 def toxic_words(labelled: DataFrame) -> DataFrame | None:
     """Words that mark toxic documents among ``labelled`` (doc_id, text, toxic), with their
     probability of doing so; None if there are no documents of one label."""
-    places = _places(labelled)
-    totals = {r["toxic"]: r["n"] for r in
-              places.groupBy("toxic").agg(F.count_distinct("family").alias("n")).collect()}
+    words = _words(C.whole_text())
+    texts = (labelled.select(F.col("toxic").cast("int").alias("toxic"), words.alias("w")).where("size(w) > 0")
+             .withColumn("own", F.xxhash64("w")))
+    kin = stage_table(families(texts), "families")
+    groups = kin.groupBy("toxic", "family").agg(F.sum("rows").alias("rows"))
+    totals = {r["toxic"]: r["count"] for r in groups.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return None
-    words = places.select("toxic", "family", F.explode("words").alias("word")).distinct()
-    return (words.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("n"))
-            .where(_marks_toxic(toxic, clean)).select("word", ((F.col("t") + 0.5) / (F.col("t") + F.col("n") + 1)).alias("p")))
+    # Only texts with copies have a family here; words of all others are just counted.
+    copied = (kin.join(groups.where("rows > 1").select("toxic", "family"), ["toxic", "family"])
+              .select("toxic", "own", "family"))
+    placed = (texts.join(copied, ["toxic", "own"], "left")
+              .select("toxic", "family", F.explode(F.array_distinct("w")).alias("word"))
+              .groupBy("word", "toxic", "family").count())
+    weight = F.when(F.col("family").isNull(), F.col("count")).otherwise(1)
+    words = placed.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, weight).otherwise(0)).alias("t"),
+                                       F.sum(F.when(F.col("toxic") == 0, weight).otherwise(0)).alias("n"))
+    return (words.where(_marks_toxic(toxic, clean)).select("word", ((F.col("t") + 0.5) / (F.col("t") + F.col("n") + 1)).alias("p")))
 
 
 def _lowest(rows: DataFrame, column: str, n: int) -> list:

@@ -291,6 +291,20 @@ def test_copies_hide_no_toxic_word(spark):
     assert toxicity.fit(_labelled(spark, copied, clean)) is not None
 
 
+def test_unlike_documents_never_merge(spark):
+    """Two words that every min-hash of one function picks do not make texts copies."""
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30))
+    low = (spark.range(20_000).select(F.concat(F.lit("x"), F.translate("id", "0123456789", "abcdefghij")).alias("a"))
+           .select("a", F.xxhash64("a", F.lit("y")).alias("h")).orderBy("h").first()["a"])
+    toxic = [f"{text()} {low} y {text()} vilest" for _ in range(12)]
+    clean = [f"{text()} {low} y {text()}" for _ in range(200)]
+    assert {r["word"] for r in toxicity.toxic_words(_labelled(spark, toxic, clean)).collect()} == {"vilest"}
+    near = [f"{toxic[0]} {w}" for w in ("eins", "zwei", "drei")]
+    assert {r["word"]: r["p"] for r in toxicity.toxic_words(_labelled(spark, toxic + near, clean)).collect()} == {
+        "vilest": 12.5 / 13}
+
+
 def test_quality_held_out(spark, sf_dir):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = [r for r in quality_qda.quality_query(spark, sf_dir).collect() if r["doc_id"] in labels]
