@@ -24,13 +24,12 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +47,8 @@ MIN_ODDS = 12.0  # times more often than in clean documents
 MIN_RATIO = 24.0  # of log-likelihoods; chance exceeds it about once in a million words
 UNLIKELY = 0.1
 SAMPLE_DOCS = 1_500
-WORDS = re.compile(r"[^\W\d_]+|\n")
-# The same words for the JVM: letters and marks of any script.
+# A word is a run of letters and marks of any script, here and in the JVM.
+WORDS = regex.compile(r"[\p{L}\p{M}]+|\n")
 JVM_SPLIT = r"[^\p{L}\p{M}]+"
 
 

@@ -305,6 +305,18 @@ def test_unlike_documents_never_merge(spark):
         "vilest": 12.5 / 13}
 
 
+def test_words_are_the_same_on_both_sides(spark):
+    texts = ["un imbe\u0301cile, a\u0300 vous", "\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e", "x\u00b2 \u2167 3rd a_b \u00bd don't"]
+    jvm = [r["w"] for r in frame(spark, texts).orderBy("doc_id").select(toxicity._words(F.col("text")).alias("w")).collect()]
+    assert jvm == [toxicity.WORDS.findall(t.lower()) for t in texts]
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(25))
+    toxic = [f"{text()} imbe\u0301cile {text()}" for _ in range(60)]
+    model = toxicity.fit(_labelled(spark, toxic, [text() for _ in range(180)]))
+    found = toxicity.score(frame(spark, ["abcd imbe\u0301cile efgh"]), model).first()
+    assert [(s["begin"], s["end"]) for s in found["spans"]] == [(5, 14)] and found["score"] > 0.5
+
+
 def test_quality_held_out(spark, sf_dir):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = [r for r in quality_qda.quality_query(spark, sf_dir).collect() if r["doc_id"] in labels]
