@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join by token-combination prefixes, and its components.
 
-A document's set is its distinct 3-word shingles, as 64-bit hashes; equal sets
+A document's set is its distinct shingles of ``words`` words, as 64-bit hashes; equal sets
 are one node from the start. Two sets x, y of Jaccard similarity at least
 ``percent`` share at least need(x) = ceil(percent * |x| / 100) tokens, so under
 any one order of tokens their first |x| - need(x) + k tokens share at least k.
@@ -22,7 +22,7 @@ links are known, only pairs of different components are compared. Links within
 a component cannot change it, so the components are those of all links.
 
 Defined results: null, empty and wordless texts have no set and stay alone;
-fewer than three words make one token of the whole sequence; repeated rows get
+fewer words than a shingle has make one token of the whole sequence; repeated rows get
 a row each; null ids never name a component while another member has an id; an
 empty table gives an empty result; extra columns are ignored.
 """
@@ -40,7 +40,7 @@ from tallymark.llm import common as C
 from tallymark.llm.components import components
 from tallymark.session import stage_table
 
-PERCENT = 90
+WORDS, PERCENT = 3, 90  # of op9
 SIFT = 10  # per cent of a set that step 1 asks to be shared
 CLASSES = 1 << 18  # hash classes of tokens: the table of their counts has 1 MB
 FREQUENT = 64  # members under one signature from which a token counts as frequent
@@ -49,14 +49,14 @@ SHORT_PREFIX = 8  # longest prefix whose frequent tokens are indexed by pairs
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shingle_set(text: Column) -> Column:
-    """Sorted distinct hashes of the 3-word shingles."""
+def shingle_set(text: Column, words: int = WORDS) -> Column:
+    """Sorted distinct hashes of the shingles of so many words."""
     # Lower-casing is for A-Z alone; in ASCII text lower() does just that.
     lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
         F.translate(text, UPPER, LOWER))
     return F.transform(F.array(C.space_words(lowered)), lambda w: F.when(
-        F.size(w) >= 3, F.sort_array(F.array_distinct(F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])))))
+        F.size(w) >= words, F.sort_array(F.array_distinct(F.transform(
+            F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[w[i + k] for k in range(words)])))))
         .when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " "))))
         .otherwise(F.array().cast("array<bigint>")))[0]
 
@@ -66,9 +66,9 @@ def need(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
-def _nodes(docs: DataFrame, percent: int) -> DataFrame:
+def _nodes(docs: DataFrame, percent: int, words: int) -> DataFrame:
     """doc_id, n_shingles, key of the set, and the tokens that step 1 looks at."""
-    sets = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), shingle_set(C.whole_text()).alias("s"))
+    sets = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), shingle_set(C.whole_text(), words).alias("s"))
     n = F.size("s").cast("bigint")
     per_cent = lambda k: F.floor((k * SIFT + 99) / 100)
     return stage_table(sets.select(
@@ -156,15 +156,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b"))
 
 
-def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(nodes, components): every document's set, and (key, root) of linked sets."""
     spark = docs.sparkSession
-    nodes = _nodes(docs, percent)
+    nodes = _nodes(docs, percent, words)
     chosen = _sifted(nodes)
     # Written before it is filtered: as a condition of the join the set would be
     # made for every document. Ids that repeat bring other sets, or a set twice.
     sets = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(chosen, "doc_id")
-            .select("doc_id", "key", shingle_set(C.whole_text()).alias("s"))
+            .select("doc_id", "key", shingle_set(C.whole_text(), words).alias("s"))
             # The id leads, so rows stay where the join has put them.
             .withColumn("own", F.xxhash64("s", F.size("s").cast("bigint"))).dropDuplicates(["doc_id", "key", "own"]))
     sets = stage_table(sets, "candidates").where("key = own").drop("doc_id", "own")
@@ -195,9 +195,9 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     return nodes, components(linked.unionAll(more))
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and the smallest doc_id reachable over links, per row."""
-    nodes, labels = links(docs, percent)
+    nodes, labels = links(docs, percent, words)
     rows = nodes.select("doc_id", "n", "key")
     own = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("own"))
     linked = own.join(labels, "key")
@@ -215,13 +215,13 @@ def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(C.table(spark, sf_dir, "documents"))
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The documents that name their component, with their own columns.
 
     Rows that share an id stay or go together, exact repeats becoming one; rows
     without an id stay.
     """
-    names = (jaccard_components(docs, percent).where("doc_id = component_id")
+    names = (jaccard_components(docs, percent, words).where("doc_id = component_id")
              .select("doc_id").distinct())
     kept = docs.join(names, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

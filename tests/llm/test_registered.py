@@ -4,7 +4,7 @@ import pytest
 from compare import difference, duck
 
 import corpus_pipeline
-from tallymark.llm import queries
+from tallymark.llm import jaccard_join, queries
 
 NAMES = sorted(queries.QUERIES)
 
@@ -58,3 +58,22 @@ def test_pipeline_equals_its_parts(spark, sf_dir):
     named = components({d: docs[d]["text"] for d in kept})
     packed = {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert packed == {d for d in kept if named[d] == d}
+
+
+def test_near_duplicate_stage_is_five_words_at_four_fifths(spark):
+    """Pairs between the stage's rule and op9's, by sets of shingles in Python."""
+    def alike(x, y, k):
+        a, b = ({tuple(t.split()[i:i + k]) for i in range(len(t.split()) - k + 1)} for t in (x, y))
+        return len(a & b) / len(a | b)
+
+    base = [f"w{i}" for i in range(100)]
+    near, far = base.copy(), base.copy()
+    near[30] = near[70] = "other"  # ten shingles of five words differ
+    far[20] = far[50] = far[80] = "other"
+    texts = [" ".join(t) for t in (base, near, far)]
+    assert alike(texts[0], texts[1], 5) >= 0.8 > alike(texts[0], texts[2], 5)
+    assert alike(texts[0], texts[1], 3) < 0.9 and alike(texts[1], texts[2], 5) < 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == {0, 2}
+    assert {r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == {0, 1, 2}
