@@ -60,6 +60,11 @@ def stage_table(df, label: str):
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    delete_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the folder go when the driver ends."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
