@@ -76,3 +76,24 @@ def gapless_index(rows: DataFrame, group: str, mix: Column, order: list[Column],
     return (dealt.withColumn("_number", number).join(before, [group, "_cell"])
             .withColumn(out, F.col("_number") + F.col("_before"))
             .drop("_number", "_before", "_cell"))
+
+
+HOT_PARTS = 256
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, counted: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with the table ``groups``, one row per ``key``, however large a group is.
+
+    ``counted`` names the rows of each group and is dropped. A group of more than
+    one part in ``HOT_PARTS`` of all ``total`` rows is repeated under several
+    numbers, over which its rows are dealt as they are read. There are fewer than
+    ``HOT_PARTS`` such groups, so their list can be broadcast. ``groups`` is read
+    twice and should be a written table.
+    """
+    cell = max(1, total // HOT_PARTS)
+    cells = F.ceil(F.col(counted) / cell)
+    hot = groups.where(F.col(counted) > cell).select(key, cells.alias("_cells"))
+    dealt = (rows.join(F.broadcast(hot), key, "left")
+             .withColumn("_cell", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_cells", F.lit(1)))))
+    copies = groups.withColumn("_cell", F.explode(F.sequence(F.lit(0).cast("bigint"), cells - 1))).drop(counted)
+    return dealt.join(copies.hint("shuffle_hash"), [key, "_cell"], "left").drop("_cell", "_cells")

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import bpe, jaccard_join, language_id, license_scan, merkle, packing, quality_qda, quality_rules, ring_shards, toxicity
+from tallymark.llm import bpe, jaccard_join, language_id, license_scan, merkle, packing, quality_qda, quality_rules
+from tallymark.llm import ring_shards, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": toxicity.toxicity_query,
     "op9_jaccard_join": jaccard_join.jaccard_query,
     "op10_ring_shards": ring_shards.ring_shards_query,
+    "op11_warc_salvage": warc.warc_query,
 }
 
 ORACLE: dict[str, str] = {
@@ -28,4 +30,5 @@ ORACLE: dict[str, str] = {
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op7_merkle": merkle.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op11_warc_salvage": warc.ORACLE_SQL,
 }
