@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymark.llm import bpe, jaccard_join, language_id, license_scan, merkle, packing, quality_qda, quality_rules
-from tallymark.llm import ring_shards, toxicity, warc
+from tallymark.llm import ring_shards, toxicity, vector_codes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op9_jaccard_join": jaccard_join.jaccard_query,
     "op10_ring_shards": ring_shards.ring_shards_query,
     "op11_warc_salvage": warc.warc_query,
+    "op12_vector_codes": vector_codes.vector_codes_query,
 }
 
 ORACLE: dict[str, str] = {
@@ -31,4 +32,5 @@ ORACLE: dict[str, str] = {
     "op7_merkle": merkle.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op11_warc_salvage": warc.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
 }
