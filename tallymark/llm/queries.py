@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymark.llm import bpe, jaccard_join, language_id, license_scan, merkle, packing, quality_qda, quality_rules
-from tallymark.llm import ring_shards, toxicity, vector_codes, warc
+from tallymark.llm import prefix_trie, ring_shards, toxicity, vector_codes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {
     "op10_ring_shards": ring_shards.ring_shards_query,
     "op11_warc_salvage": warc.warc_query,
     "op12_vector_codes": vector_codes.vector_codes_query,
+    "op13_prefix_trie": prefix_trie.prefix_trie_query,
 }
 
 ORACLE: dict[str, str] = {
@@ -33,4 +34,5 @@ ORACLE: dict[str, str] = {
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op11_warc_salvage": warc.ORACLE_SQL,
     "op12_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
