@@ -175,9 +175,12 @@ def contains_any(c: Column, words: Iterable[str], strict: bool = False) -> Colum
 class Encounters:
     """An encounter table with its columns named and typed for the metrics.
 
-    Holds schema knowledge only; building one starts no job.
+    Holds schema knowledge only; building one starts no job. Reports read the
+    slice they name: here every slice is the table, in a rollup it is stored sums.
     """
 
+    stored = False
+
     def __init__(self, df: DataFrame):
         self.df = names.rename(df, names.metric_name)
         self.types = {f.name: f.dataType for f in self.df.schema.fields}
@@ -196,6 +199,9 @@ class Encounters:
             raise MissingColumns(message)
         return found
 
+    def slice(self, name: str) -> DataFrame:
+        return self.df
+
     def raw(self, name: str) -> Column:
         return F.col(f"`{name}`")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import exprs as X
@@ -20,6 +20,20 @@ EXCLUDED_PREFIXES = ("CO-45", "CO45", "PR-1", "PR1", "PR-2", "PR2", "PR-3", "PR3
 TOP_CODES = 15
 
 
+DENIAL_PARTS = ("visits", "n", "expected")
+
+
+def is_denial(text: Column) -> Column:
+    return text.isNotNull() & (text != "") & (F.lower(text) != "nan")
+
+
+def denial_values(e: Encounters) -> dict[str, Column]:
+    """What is counted (visits, rows) and summed (expected payment) per denial."""
+    expected = e.need("expected", "denials", "No expected payment column found")
+    visit = e.raw("visit_id") if "visit_id" in e.columns else F.lit(1)
+    return dict(zip(DENIAL_PARTS, (visit, F.lit(1), e.number(expected))))
+
+
 def denied_texts(df: DataFrame, *keys: str) -> DataFrame:
     """Denials per distinct text (and ``keys``), with code and description.
 
@@ -31,15 +45,14 @@ def denied_texts(df: DataFrame, *keys: str) -> DataFrame:
     e = Encounters.of(df)
     text = e.raw(e.need("denial", "default", "No denial description column found")).cast("string")
     state = e.need("state", "default", "No state column found")
-    expected = e.need("expected", "denials", "No expected payment column found")
-    visit = e.raw("visit_id") if "visit_id" in e.columns else F.lit(1)
-    texts = (e.df.select(text.alias("text"), e.raw(state).alias("state"),
-                         e.number(expected).alias("expected"), visit.alias("visit"))
-             .filter(F.col("text").isNotNull() & (F.col("text") != "")
-                     & (F.lower("text") != "nan"))
-             .groupBy("text", *keys)
-             .agg(F.count("visit").alias("visits"), F.count(F.lit(1)).alias("n"),
-                  F.sum("expected").alias("expected")))
+    e.need("expected", "denials", "No expected payment column found")
+    if e.stored:
+        texts = e.slice("denials").groupBy("text", *keys).agg(*[F.sum(f"_{n}").alias(n) for n in DENIAL_PARTS])
+    else:
+        value = denial_values(e)
+        texts = (e.df.select(text.alias("text"), e.raw(state).alias("state"), *[value[n].alias(n) for n in value])
+                 .filter(is_denial(F.col("text"))).groupBy("text", *keys)
+                 .agg(F.count("visits").alias("visits"), F.count("n").alias("n"), F.sum("expected").alias("expected")))
     described = texts.select(X.squeeze(F.col("text")).alias("description"), "visits", "n",
                              "expected", *keys)
     coded = described.withColumn(

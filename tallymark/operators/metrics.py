@@ -1,9 +1,9 @@
 """KPIs as conditional aggregates.
 
-A metric is a set of named aggregate columns plus an expression over them. Any
-number of metrics evaluated together share one scan and one aggregation, with
-partial sums on the map side; the same metric works for the whole table and per
-period.
+A metric is a set of named sums plus an expression over them. Any number of
+metrics evaluated together share one scan and one aggregation, with partial sums
+on the map side; the same metric works for the whole table, per period, and over
+sums stored earlier (``plans/rollup.py``).
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions import exprs as X
+from tallymark.functions import parts as S
 from tallymark.functions.exprs import Encounters
+from tallymark.functions.parts import Part
 
 DENIAL_RESOLUTION_PCT = 85.0  # fixed value: the rate is a placeholder constant
 DEFAULT_PERIOD_DAYS = 365
@@ -30,15 +32,17 @@ AGING_60_PLUS = (60, 90)  # the bucket called "60+" ends at 90; day 60 is in bot
 
 @dataclass(frozen=True)
 class Metric:
+    """``parts`` are sums over rows; a plain column among them aggregates the date alone."""
+
     name: str
-    parts: Mapping[str, Column] = field(default_factory=dict)
+    parts: Mapping[str, Part | Column] = field(default_factory=dict)
     result: Column | None = None
 
     def value(self) -> Column:
         return self.result if self.result is not None else F.col(next(iter(self.parts)))
 
 
-def simple(name: str, aggregate: Column) -> Metric:
+def simple(name: str, aggregate: Part | Column) -> Metric:
     return Metric(name, {f"_{name}": aggregate})
 
 
@@ -46,16 +50,26 @@ def constant(name: str, value: float) -> Metric:
     return Metric(name, {}, F.lit(value))
 
 
-def evaluate(df: DataFrame, metrics: Iterable[Metric], keys: Sequence[str] = ()) -> DataFrame:
-    """One aggregation for all metrics; one row, or one per key."""
+def evaluate(df: DataFrame, metrics: Iterable[Metric], keys: Sequence[str] = (),
+             stored: bool = False) -> DataFrame:
+    """One aggregation for all metrics; one row, or one per key.
+
+    ``stored`` says that the rows of ``df`` hold sums of the parts, under their names.
+    """
     metrics = list(metrics)
-    parts: dict[str, Column] = {}
+    parts: dict[str, Part | Column] = {}
     for metric in metrics:
         parts.update(metric.parts)
     if not parts:
         parts["_rows"] = F.count(F.lit(1))
     grouped = df.groupBy(*keys) if keys else df
-    summed = grouped.agg(*[c.alias(n) for n, c in parts.items()])
+
+    def aggregate(name: str, part: Part | Column) -> Column:
+        if not isinstance(part, Part):
+            return part
+        return part.merged(name) if stored else part.direct()
+
+    summed = grouped.agg(*[aggregate(n, c).alias(n) for n, c in parts.items()])
     return summed.select(*keys, *[m.value().alias(m.name) for m in metrics])
 
 
@@ -65,41 +79,41 @@ def evaluate(df: DataFrame, metrics: Iterable[Metric], keys: Sequence[str] = ())
 def total_visits(e: Encounters) -> Metric:
     counter = e.find("visits", "total")
     if counter:
-        return simple("visits", F.coalesce(F.sum(e.number(counter)).cast("bigint"), F.lit(0)))
+        return simple("visits", S.whole_amount(e.number(counter)))
     if "visit_status" in e.columns:
-        return simple("visits", F.count(e.raw("visit_status")))
+        return simple("visits", S.tally(e.raw("visit_status").isNotNull()))
     return row_count()
 
 
 def row_count(name: str = "visits") -> Metric:
-    return simple(name, F.count(F.lit(1)))
+    return simple(name, S.tally())
 
 
 def total_charges(e: Encounters, context: str = "total") -> Metric:
     column = e.find("charge", context)
-    return simple("charges", X.positive_total(e.number(column))) if column else constant("charges", 0.0)
+    return simple("charges", S.positive(e.number(column))) if column else constant("charges", 0.0)
 
 
 def total_payments(e: Encounters, context: str = "total") -> Metric:
     column = e.find("payment", context)
-    return simple("payments", X.total(e.number(column))) if column else constant("payments", 0.0)
+    return simple("payments", S.amount(e.number(column))) if column else constant("payments", 0.0)
 
 
 def column_total(e: Encounters, column: str, name: str) -> Metric:
-    return simple(name, X.total(e.number(column))) if column in e.columns else constant(name, 0.0)
+    return simple(name, S.amount(e.number(column))) if column in e.columns else constant(name, 0.0)
 
 
 def balance(e: Encounters) -> Metric:
     column = e.find("balance", "total")
-    return simple("balance", X.total(e.number(column))) if column else constant("balance", 0.0)
+    return simple("balance", S.amount(e.number(column))) if column else constant("balance", 0.0)
 
 
-def filtered_charges(e: Encounters, where: Column | None = None) -> Metric:
+def filtered_charges(e: Encounters, dated: Column | None = None) -> Metric:
     """Positive charges outside the excluded status and CPT codes."""
-    keep = e.business_rows() if where is None else e.business_rows() & where
+    keep = e.business_rows()
     column = e.find("charge", "filtered")
     if column:
-        return simple("filtered_charges", X.positive_total(e.number(column), keep))
+        return simple("filtered_charges", S.positive(e.number(column), keep, dated))
     unit, amount = e.find("unit", "filtered"), e.find("amount", "filtered")
     if unit and amount:
         # Narrow integers would overflow in their own type.
@@ -107,27 +121,28 @@ def filtered_charges(e: Encounters, where: Column | None = None) -> Metric:
         if isinstance(e.types[unit], T.IntegralType) and isinstance(e.types[amount], T.IntegralType):
             units = units.cast("bigint")
         product = F.coalesce(units, F.lit(0)) * F.coalesce(e.number(amount), F.lit(0))
-        return simple("filtered_charges", X.positive_total(product, keep))
-    return _plain_charges(e, where, "filtered_charges")
+        return simple("filtered_charges", S.positive(product, keep, dated))
+    return _plain_charges(e, dated, "filtered_charges")
 
 
-def _plain_charges(e: Encounters, where: Column | None, name: str) -> Metric:
+def _plain_charges(e: Encounters, dated: Column | None, name: str) -> Metric:
     column = e.find("charge", "total")
     if not column:
         return constant(name, 0.0)
-    return simple(name, X.positive_total(e.number(column), where))
+    return simple(name, S.positive(e.number(column), dated=dated))
 
 
-def filtered_payments(e: Encounters, where: Column | None = None) -> Metric:
+def filtered_payments(e: Encounters, dated: Column | None = None,
+                      where: Column | None = None) -> Metric:
     """Payments outside the excluded transaction types, status and CPT codes."""
     keep = e.business_rows(transactions=True)
-    keep = keep if where is None else keep & where
     column = e.find("payment", "filtered")
     if column:
-        return simple("filtered_payments", X.total(e.number(column), keep))
+        keep = keep if where is None else keep & where
+        return simple("filtered_payments", S.amount(e.number(column), keep, dated))
     column = e.find("payment", "total")
     if column:
-        return simple("filtered_payments", X.total(e.number(column), where))
+        return simple("filtered_payments", S.amount(e.number(column), where, dated))
     return constant("filtered_payments", 0.0)
 
 
@@ -135,11 +150,11 @@ def expected_payments(e: Encounters) -> Metric:
     """Expected payments; else charges less contractuals; else charges."""
     column = e.find("expected", "total")
     if column:
-        return simple("expected", X.total(e.number(column)))
+        return simple("expected", S.amount(e.number(column)))
     contractual = e.find("contractual", "total")
     charges = total_charges(e)
     if contractual:
-        parts = {**charges.parts, "_contractual": X.total(e.number(contractual))}
+        parts = {**charges.parts, "_contractual": S.amount(e.number(contractual))}
         return Metric("expected", parts, charges.value() - F.col("_contractual"))
     return Metric("expected", charges.parts, charges.value())
 
@@ -148,11 +163,11 @@ def expected_payments_filtered(e: Encounters) -> Metric:
     keep = e.business_rows()
     column = e.find("expected", "filtered")
     if column:
-        return simple("expected_filtered", X.total(e.number(column), keep))
+        return simple("expected_filtered", S.amount(e.number(column), keep))
     contractual = e.find("contractual", "total")
     charges = filtered_charges(e)
     if contractual:
-        parts = {**charges.parts, "_contractual_kept": X.total(e.number(contractual), keep)}
+        parts = {**charges.parts, "_contractual_kept": S.amount(e.number(contractual), keep)}
         return Metric("expected_filtered", parts, charges.value() - F.col("_contractual_kept"))
     return Metric("expected_filtered", charges.parts, charges.value())
 
@@ -167,14 +182,14 @@ def charges_submitted_pct(e: Encounters, strict: bool = False) -> Metric:
     submitted = X.contains_any(e.raw(status), X.SUBMITTED_WORDS, strict) if status else None
     if status and charge:
         amount = e.number(charge)
-        parts = {"_submitted": X.positive_total(amount, submitted),
-                 "_submittable": X.positive_total(amount)}
+        parts = {"_submitted": S.positive(amount, submitted),
+                 "_submittable": S.positive(amount)}
     elif "charges_submitted" in e.columns:
         charges = total_charges(e)
-        parts = {"_submitted": X.total(e.number("charges_submitted")), **charges.parts}
+        parts = {"_submitted": S.amount(e.number("charges_submitted")), **charges.parts}
         return Metric(name, parts, X.percent(F.col("_submitted"), charges.value()))
     elif status:
-        parts = {"_submitted": X.count_where(submitted), "_submittable": F.count(F.lit(1))}
+        parts = {"_submitted": S.tally(submitted), "_submittable": S.tally()}
     else:
         return constant(name, 100.0)
     return Metric(name, parts, X.percent(F.col("_submitted"), F.col("_submittable")))
@@ -188,7 +203,7 @@ def charges_submitted_percentage(e: Encounters, charge: str, status: str,
         return constant(name, 0.0)
     listed = F.lower(e.raw(status).cast("string")).isin(*[s.lower() for s in statuses])
     amount = e.number(charge)
-    parts = {"_listed": X.positive_total(amount, listed), "_listable": X.positive_total(amount)}
+    parts = {"_listed": S.positive(amount, listed), "_listable": S.positive(amount)}
     return Metric(name, parts, X.percent(F.col("_listed"), F.col("_listable")))
 
 
@@ -290,9 +305,9 @@ def billed_ar(e: Encounters) -> Metric:
     """Balance of billed claims; else the whole balance; else charges less payments."""
     status, owed = e.find("status", "billed"), e.find("balance", "total")
     if status and owed:
-        return simple("billed_ar", X.total(e.number(owed), e.status(status).isin(*X.BILLED)))
+        return simple("billed_ar", S.amount(e.number(owed), e.status(status).isin(*X.BILLED)))
     if owed:
-        return simple("billed_ar", X.total(e.number(owed)))
+        return simple("billed_ar", S.amount(e.number(owed)))
     charges, payments = total_charges(e), total_payments(e)
     return Metric("billed_ar", {**charges.parts, **payments.parts},
                   charges.value() - payments.value())
@@ -302,7 +317,7 @@ def unbilled_ar(e: Encounters) -> Metric:
     """Balance of eight unbilled statuses; else what charges exceed billed AR by."""
     status, owed = e.find("status", "billed"), e.find("balance", "total")
     if status and owed:
-        return simple("unbilled_ar", X.total(e.number(owed), e.status(status).isin(*X.UNBILLED)))
+        return simple("unbilled_ar", S.amount(e.number(owed), e.status(status).isin(*X.UNBILLED)))
     charges, billed = total_charges(e), billed_ar(e)
     return Metric("unbilled_ar", {**charges.parts, **billed.parts},
                   F.greatest(F.lit(0.0), charges.value() - billed.value()))
@@ -325,18 +340,18 @@ def status_ar(e: Encounters, owed: str, status: str, statuses: Sequence[str], na
     if owed not in e.columns or status not in e.columns:
         return constant(name, 0.0)
     listed = F.lower(e.raw(status).cast("string")).isin(*[s.lower() for s in statuses])
-    return simple(name, X.total(e.number(owed), listed))
+    return simple(name, S.amount(e.number(owed), listed))
 
 
-def _bucket(e: Encounters, date: str, owed: str, days: tuple[int, int], as_of) -> Column:
+def _bucket(e: Encounters, date: str, owed: str, days: tuple[int, int], as_of) -> Part:
     age = X.elapsed_days(e.time(date), X.as_of_time(as_of))
-    return X.total(e.number(owed), age.between(*days))
+    return S.amount(e.number(owed), dated=age.between(*days))
 
 
 def _aged(e: Encounters, role: str, days: tuple[int, int], name: str, as_of) -> Metric:
     ready = e.find(role)
     if ready:
-        return simple(name, X.total(e.number(ready)))
+        return simple(name, S.amount(e.number(ready)))
     date, owed = e.find("bill_date"), e.find("balance", "total")
     if not (date and owed):
         return constant(name, 0.0)
@@ -406,21 +421,22 @@ def forecast(e: Encounters, metric: str, date: str, days: int) -> Metric:
 # --- interactive tools --------------------------------------------------------------
 
 
-def current_month(e: Encounters, date_filter: str | None) -> Encounters:
+def current_month(e: Encounters, date_filter: str | None) -> DataFrame:
     """Rows from the first of the latest month on.
 
     Any other filter name only drops rows without a valid date. The latest date
     is a scalar subquery, so the bound reaches the scan.
     """
+    rows = e.slice("tool")
     date = e.find("service_date", "tool_filter") if date_filter else None
     if not date:
-        return e
-    rows = e.df.filter(e.time(date).isNotNull())
+        return rows
+    dated = rows.filter(e.time(date).isNotNull())
     if date_filter == "current_month":
         newest = F.max(e.time(date))
-        start, latest = X.anchors(e.df, latest_month_start(newest), newest)
-        rows = rows.filter((e.time(date) >= start) & (e.time(date) <= latest))
-    return Encounters(rows)
+        start, latest = X.anchors(rows, latest_month_start(newest), newest)
+        dated = dated.filter((e.time(date) >= start) & (e.time(date) <= latest))
+    return dated
 
 
 def latest_month_start(latest: Column) -> Column:
@@ -428,55 +444,74 @@ def latest_month_start(latest: Column) -> Column:
     return X.shift_days(latest, F.lit(1) - F.dayofmonth(latest))
 
 
+RATE_COLUMNS_MISSING = "Required columns not found in data."
+
+
+def tool_visits(e: Encounters) -> list[Metric]:
+    return [row_count("total_visits")]
+
+
+def tool_charges(e: Encounters) -> list[Metric]:
+    column = e.need("charge", "tool_total", "No charge column found in data.")
+    return [simple("total_charges", S.positive(e.number(column)))]
+
+
+def tool_gross(e: Encounters) -> list[Metric]:
+    charge = e.need("charge", "tool_rate", RATE_COLUMNS_MISSING)
+    payment = e.need("payment", "tool_rate", RATE_COLUMNS_MISSING)
+    parts = {"_rate_payments": S.amount(e.number(payment)), "_rate_charges": S.positive(e.number(charge))}
+    paid, charged = F.col("_rate_payments"), F.col("_rate_charges")
+    return [Metric("total_payments", parts, paid), Metric("total_charges", parts, charged),
+            Metric("gcr_pct", parts, X.percent(paid, charged))]
+
+
+def tool_net(e: Encounters) -> list[Metric]:
+    payment = e.need("payment", "tool_rate", RATE_COLUMNS_MISSING)
+    expected = e.need("expected", "tool_rate", RATE_COLUMNS_MISSING)
+    parts = {"_rate_payments": S.amount(e.number(payment)), "_rate_expected": S.amount(e.number(expected))}
+    paid, due = F.col("_rate_payments"), F.col("_rate_expected")
+    return [Metric("total_payments", parts, paid), Metric("total_expected", parts, due),
+            Metric("ncr_pct", parts, X.percent(paid, due))]
+
+
+def _of_month(metrics, df: DataFrame, date_filter: str | None) -> DataFrame:
+    e = Encounters.of(df)
+    return evaluate(current_month(e, date_filter), metrics(e), stored=e.stored)
+
+
 def tool_total_visits(df: DataFrame, date_filter: str | None = None) -> DataFrame:
-    e = current_month(Encounters.of(df), date_filter)
-    return evaluate(e.df, [row_count("total_visits")])
+    return _of_month(tool_visits, df, date_filter)
 
 
 def tool_total_charges(df: DataFrame, date_filter: str | None = None) -> DataFrame:
-    e = current_month(Encounters.of(df), date_filter)
-    column = e.need("charge", "tool_total", "No charge column found in data.")
-    return evaluate(e.df, [simple("total_charges", X.positive_total(e.number(column)))])
+    return _of_month(tool_charges, df, date_filter)
 
 
 def tool_gross_collection_rate(df: DataFrame, date_filter: str | None = None) -> DataFrame:
-    e = current_month(Encounters.of(df), date_filter)
-    missing = "Required columns not found in data."
-    charge = e.need("charge", "tool_rate", missing)
-    payment = e.need("payment", "tool_rate", missing)
-    parts = {"_payments": X.total(e.number(payment)), "_charges": X.positive_total(e.number(charge))}
-    return evaluate(e.df, [
-        Metric("total_payments", parts, F.col("_payments")),
-        Metric("total_charges", parts, F.col("_charges")),
-        Metric("gcr_pct", parts, X.percent(F.col("_payments"), F.col("_charges")))])
+    return _of_month(tool_gross, df, date_filter)
 
 
 def tool_net_collection_rate(df: DataFrame, date_filter: str | None = None) -> DataFrame:
-    e = current_month(Encounters.of(df), date_filter)
-    missing = "Required columns not found in data."
-    payment = e.need("payment", "tool_rate", missing)
-    expected = e.need("expected", "tool_rate", missing)
-    parts = {"_payments": X.total(e.number(payment)), "_expected": X.total(e.number(expected))}
-    return evaluate(e.df, [
-        Metric("total_payments", parts, F.col("_payments")),
-        Metric("total_expected", parts, F.col("_expected")),
-        Metric("ncr_pct", parts, X.percent(F.col("_payments"), F.col("_expected")))])
+    return _of_month(tool_net, df, date_filter)
+
+
+def tool_ar_parts(e: Encounters) -> dict[str, Part]:
+    owed = e.need("balance", "tool", RATE_COLUMNS_MISSING)
+    charge = e.need("charge", "tool_rate", RATE_COLUMNS_MISSING)
+    e.need("service_date", "tool", RATE_COLUMNS_MISSING)
+    return {"_ar": S.amount(e.number(owed)), "_ar_charges": S.positive(e.number(charge))}
 
 
 def tool_days_in_ar(df: DataFrame, as_of=None) -> DataFrame:
     e = Encounters.of(df)
-    missing = "Required columns not found in data."
-    owed = e.need("balance", "tool", missing)
-    charge = e.need("charge", "tool_rate", missing)
-    date = e.need("service_date", "tool", missing)
     period_parts, period = weekly_period(e, as_of, "tool")
-    parts = {"_ar": X.total(e.number(owed)), "_charges": X.positive_total(e.number(charge)),
-             **period_parts}
-    return evaluate(e.df.filter(e.time(date).isNotNull()), [
+    parts = {**tool_ar_parts(e), **period_parts}
+    dated = e.slice("tool_ar").filter(e.time(e.find("service_date", "tool")).isNotNull())
+    return evaluate(dated, [
         Metric("ending_ar", parts, F.col("_ar")),
-        Metric("total_charges", parts, F.col("_charges")),
+        Metric("total_charges", parts, F.col("_ar_charges")),
         Metric("period_days", parts, period.cast("bigint")),
-        Metric("days_in_ar", parts, ar_days(F.col("_ar"), F.col("_charges"), period))])
+        Metric("days_in_ar", parts, ar_days(F.col("_ar"), F.col("_ar_charges"), period))], stored=e.stored)
 
 
 def tool_ar_summary(df: DataFrame, as_of=None) -> DataFrame:
@@ -485,9 +520,13 @@ def tool_ar_summary(df: DataFrame, as_of=None) -> DataFrame:
     Columns whose inputs the table lacks are null.
     """
     e = Encounters.of(df)
+    return evaluate(e.slice("tool_ar"), summary_metrics(e, as_of), stored=e.stored)
+
+
+def summary_metrics(e: Encounters, as_of) -> list[Metric]:
     owed = e.need("balance", "tool", "Balance column not found in data.")
     date, status = e.find("service_date", "tool"), e.find("status", "tool")
-    ar = simple("total_ar", X.total(e.number(owed)))
+    ar = simple("total_ar", S.amount(e.number(owed)))
     absent = F.lit(None).cast("double")
     metrics = [ar]
     if date:
@@ -499,7 +538,7 @@ def tool_ar_summary(df: DataFrame, as_of=None) -> DataFrame:
         share = F.when(ar.value() > 0, X.percent(part.value(), ar.value())).otherwise(F.lit(0.0))
         metrics += [part, Metric(f"{name}_pct", {**part.parts, **ar.parts},
                                  share if status else absent)]
-    return evaluate(e.df, metrics)
+    return metrics
 
 
 # Registry of the interactive tools: name -> DataFrame function.

@@ -294,8 +294,8 @@ def report_lines(df: DataFrame, company: str = "Company", as_of=None,
     """(slide, line_no, text) of the asked slides.
 
     A slide whose columns are missing holds its error instead; the others are
-    not affected. Slides scan the table one by one, each reading its own few
-    columns; stage an expensive view first.
+    not affected. Given encounters, slides scan them one by one, each reading its
+    own few columns; given a ``Rollup``, they read its stored sums.
     """
     e = Encounters.of(df)
     company = company.upper()

@@ -4,7 +4,8 @@ Every report reads the encounter table at most twice: once for the date it is
 anchored to (one column), once for its aggregates. Anchors are scalar
 subqueries, so the second read is filtered at the scan and nothing passes
 through the driver. Windows without partitions only ever see aggregated rows,
-whose number is that of periods or weeks.
+whose number is that of periods or weeks. Given a rollup (``plans/rollup.py``),
+the same reports add up its stored sums and do not read the encounters.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import exprs as X
+from tallymark.functions import parts as S
 from tallymark.functions.exprs import Encounters, MissingColumns
 from tallymark.operators import metrics as M
 
@@ -31,53 +33,60 @@ BREAKDOWN_UNAVAILABLE = "visit created date not available"
 # --- billing progress (slide 2) ----------------------------------------------------
 
 
-def billing_progress(df: DataFrame, strict: bool = False) -> DataFrame:
-    """Month of the latest service date, from its 1st to that date."""
-    e = Encounters.of(df)
-    date = e.need("service_date", "progress", "No date field found in data.")
-    ts = e.time(date)
-    start, latest = X.anchors(e.df, M.latest_month_start(F.max(ts)), F.max(ts))
-    month = e.df.filter((ts >= start) & (ts <= latest))
-
+def progress_metrics(e: Encounters, strict: bool = False) -> list[M.Metric]:
     charge = e.find("charge", "progress")
-    insurance = [X.total(e.number(c))
-                 for c in ("primary_payment", "secondary_payment", "tertiary_payment")
-                 if c in e.columns]
+    paid = {f"_{c}": S.amount(e.number(c))
+            for c in ("primary_payment", "secondary_payment", "tertiary_payment") if c in e.columns}
     insured = F.lit(0.0)
-    for part in insurance:
-        insured = insured + part
-    patient = (X.total(e.number("patient_payment")) if "patient_payment" in e.columns
-               else F.lit(0.0))
+    for name in paid:
+        insured = insured + F.col(name)
     nothing = F.lit(0).cast("bigint")
     claim = e.status("claim_status") if "claim_status" in e.columns else None
 
-    out = month.agg(
-        F.max(ts).alias("_latest"),
-        (X.positive_total(e.number(charge)) if charge else F.lit(0.0)).alias("charges"),
-        F.count(F.lit(1)).alias("encounters"),
-        insured.alias("insurance_payments"),
-        patient.alias("patient_payments"),
-        (nothing if claim is None else X.count_where(
-            X.contains_any(claim, PROCESSED_WORDS, strict))).alias("ar_claims_processed"),
-        (nothing if claim is None else X.count_where(
-            X.contains_any(claim, PENDING_WORDS, strict))).alias("auth_denials_pending"),
-    ).filter(F.col("_latest").isNotNull())
-    return out.select(F.date_format("_latest", "MMMM yyyy").alias("month_label"),
-                      "charges", "encounters", "insurance_payments", "patient_payments",
-                      "ar_claims_processed", "auth_denials_pending")
+    def claims(name: str, words: tuple[str, ...]) -> M.Metric:
+        if claim is None:
+            return M.Metric(name, {}, nothing)
+        return M.simple(name, S.tally(X.contains_any(claim, words, strict)))
+
+    return [
+        M.simple("charges", S.positive(e.number(charge))) if charge else M.constant("charges", 0.0),
+        M.row_count("encounters"), M.Metric("insurance_payments", paid, insured),
+        M.column_total(e, "patient_payment", "patient_payments"),
+        claims("ar_claims_processed", PROCESSED_WORDS), claims("auth_denials_pending", PENDING_WORDS)]
+
+
+def billing_progress(df: DataFrame, strict: bool = False) -> DataFrame:
+    """Month of the latest service date, from its 1st to that date."""
+    e = Encounters.of(df)
+    date = e.need("service_date", "progress", "No date field found in data.")
+    ts, rows = e.time(date), e.slice("progress")
+    start, latest = X.anchors(rows, M.latest_month_start(F.max(ts)), F.max(ts))
+    metrics = progress_metrics(e, strict)
+    out = M.evaluate(rows.filter((ts >= start) & (ts <= latest)),
+                     [M.simple("_last", F.max(ts)), *metrics], stored=e.stored)
+    return out.filter(F.col("_last").isNotNull()).select(
+        F.date_format("_last", "MMMM yyyy").alias("month_label"), *[m.name for m in metrics])
 
 
 # --- weekly KPIs (slide 3) -----------------------------------------------------------
 
 
+def total_metrics(e: Encounters) -> list[M.Metric]:
+    return [M.total_visits(e), M.total_charges(e), M.rounded(M.charges_submitted_pct(e)),
+            M.total_payments(e), M.rounded(M.gross_collection_rate(e)),
+            M.rounded(M.net_collection_rate(e))]
+
+
 def weekly_kpis(df: DataFrame, as_of=None) -> DataFrame:
     """Ten KPIs; despite the name they cover the whole table."""
     e = Encounters.of(df)
-    return M.evaluate(e.df, [
-        M.total_visits(e), M.total_charges(e), M.rounded(M.charges_submitted_pct(e)),
-        M.total_payments(e), M.rounded(M.gross_collection_rate(e)),
-        M.rounded(M.net_collection_rate(e)), M.days_in_ar_weekly(e, as_of),
-        M.ar_31_60(e, as_of), M.ar_60_plus(e, as_of), M.denial_resolution_rate()])
+    aging = [M.ar_31_60(e, as_of), M.ar_60_plus(e, as_of)]
+    metrics = [*total_metrics(e), M.days_in_ar_weekly(e, as_of), *aging, M.denial_resolution_rate()]
+    if e.stored:
+        # Ages are kept by billing date, the rest by service date.
+        aged = [M.evaluate(e.slice("aging"), [m], stored=True).scalar() for m in aging]
+        metrics[-3:-1] = [M.Metric(m.name, {}, c) for m, c in zip(aging, aged)]
+    return M.evaluate(e.slice("totals"), metrics, stored=e.stored)
 
 
 # --- quarterly and yearly (slides 4 and 5) ---------------------------------------------
@@ -85,13 +94,15 @@ def weekly_kpis(df: DataFrame, as_of=None) -> DataFrame:
 
 def _usable(e: Encounters, valid: Column) -> Column:
     """Whether at least half of the rows are valid, as a scalar subquery."""
-    share = e.df.agg(((X.count_where(valid) > 0)
-                      & (X.count_where(valid) * 2 >= F.count(F.lit(1)))).alias("usable"))
+    n = F.col("_rows") if e.stored else F.lit(1)
+    good, everything = F.sum(F.when(valid, n)), F.sum(n)
+    share = e.slice("period").agg(((good > 0) & (good * 2 >= everything)).alias("usable"))
     return share.scalar()
 
 
 def _whole_number(e: Encounters, column: str) -> Column:
-    return e.number(column).cast("double").try_cast("int")
+    """A ready-made period column; a rollup keeps it as the whole number."""
+    return F.col(column) if e.stored else e.number(column).cast("double").try_cast("int")
 
 
 def _period_keys(e: Encounters, parts: tuple[str, ...]) -> tuple[dict[str, Column], bool]:
@@ -129,9 +140,8 @@ def _ar_columns(e: Encounters) -> tuple[Column, Column, Column] | None:
     return e.number(owed), billed, e.time(date)
 
 
-def _keyed(e: Encounters, keys: dict[str, Column]) -> DataFrame:
-    """Encounter rows with non-null period keys under reserved names."""
-    rows = e.df
+def _keyed(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows with non-null period keys under reserved names."""
     for name, c in keys.items():
         rows = rows.withColumn(f"_key_{name}", c)
     for name in keys:
@@ -140,10 +150,19 @@ def _keyed(e: Encounters, keys: dict[str, Column]) -> DataFrame:
 
 
 def _period_metrics(e: Encounters, period: Column) -> list[M.Metric]:
-    return [
-        M.total_visits(e), M.total_charges(e), M.rounded(M.charges_submitted_pct(e)),
-        M.total_payments(e), M.rounded(M.gross_collection_rate(e)),
-        M.rounded(M.net_collection_rate(e)), M.days_in_ar_for(e, period)]
+    return [*total_metrics(e), M.days_in_ar_for(e, period)]
+
+
+def period_parts(e: Encounters) -> list[M.Metric]:
+    """What the yearly and quarterly reports add up."""
+    ar = _ar_columns(e)
+    by_date = [M.billed_ar(e), M.unbilled_ar(e)] if ar is None else ar_parts(e)
+    return [*_period_metrics(e, F.lit(1)), M.simple("rows", S.tally()), *by_date]
+
+
+def ar_parts(e: Encounters) -> list[M.Metric]:
+    ar = _ar_columns(e)
+    return [] if ar is None else list(_quarter_ar(ar, None))
 
 
 YEAR_COLUMNS = ("year", "visits", "charges", "charges_submitted_pct", "payments",
@@ -162,8 +181,8 @@ def _year_ar(ar, as_of) -> tuple[M.Metric, M.Metric]:
     today = X.day_of(X.as_of_time(as_of))
     year_end = X.midnight(F.make_date(F.year(ts), F.lit(12), F.lit(31)))
     counted = ts <= F.when(F.year(ts) < F.year(today), year_end).otherwise(today)
-    return (M.simple("billed_ar", X.total(owed, billed & counted)),
-            M.simple("unbilled_ar", X.total(owed, ~billed & counted)))
+    return (M.simple("billed_ar", S.amount(owed, billed, counted)),
+            M.simple("unbilled_ar", S.amount(owed, ~billed, counted)))
 
 
 def yearly_kpis(df: DataFrame, as_of=None) -> DataFrame:
@@ -171,7 +190,7 @@ def yearly_kpis(df: DataFrame, as_of=None) -> DataFrame:
     keys, from_date = _period_keys(e, ("year",))
     ar = _ar_columns(e)
     metrics = _period_metrics(e, M.yearly_period(F.col("_key_year"), as_of))
-    rows = _keyed(e, keys)
+    rows = _keyed(e.slice("period"), keys)
     same_date = e.find("service_date", "period") == e.find("service_date")
     if ar is None:
         ar_metrics = [M.billed_ar(e), M.unbilled_ar(e)]
@@ -179,10 +198,11 @@ def yearly_kpis(df: DataFrame, as_of=None) -> DataFrame:
         ar_metrics = list(_year_ar(ar, as_of))
     else:
         ar_metrics = []
-    out = M.evaluate(rows, [*metrics, *ar_metrics, M.denial_resolution_rate()], ["_key_year"])
+    out = M.evaluate(rows, [*metrics, *ar_metrics, M.denial_resolution_rate()], ["_key_year"],
+                     e.stored)
     if not ar_metrics:
-        by_date = M.evaluate(e.df.withColumn("_key_year", F.year(ar[2])), _year_ar(ar, as_of),
-                             ["_key_year"])
+        by_date = M.evaluate(e.slice("ar").withColumn("_key_year", F.year(ar[2])),
+                             _year_ar(ar, as_of), ["_key_year"], e.stored)
         out = out.join(by_date, "_key_year", "left").na.fill(0.0, ["billed_ar", "unbilled_ar"])
     return out.withColumnRenamed("_key_year", "year").select(*YEAR_COLUMNS)
 
@@ -191,9 +211,8 @@ def _quarter_ar(ar, as_of) -> tuple[M.Metric, M.Metric]:
     """Balance up to today of one service quarter; the suffix sum comes later."""
     owed, billed, ts = ar
     counted = ts <= X.day_of(X.as_of_time(as_of))
-    exact = [F.sum(F.when(flag & counted, owed)) for flag in (billed, ~billed)]
-    return (M.simple("billed_ar", F.coalesce(exact[0], F.lit(0))),
-            M.simple("unbilled_ar", F.coalesce(exact[1], F.lit(0))))
+    return (M.simple("billed_ar", S.exact(owed, billed, counted)),
+            M.simple("unbilled_ar", S.exact(owed, ~billed, counted)))
 
 
 _QUARTER_KEYS = ["_key_year", "_key_quarter"]
@@ -221,18 +240,19 @@ def quarterly_kpis(df: DataFrame, as_of=None, bounded: bool = False) -> DataFram
     ar = _ar_columns(e)
     metrics = _period_metrics(
         e, M.quarterly_period(F.col("_key_year"), F.col("_key_quarter"), as_of))
-    rows = _keyed(e, keys)
+    rows = _keyed(e.slice("period"), keys)
     same_date = e.find("service_date", "period") == e.find("service_date")
     rate = M.denial_resolution_rate()
     if ar is None:
-        out = M.evaluate(rows, [*metrics, M.billed_ar(e), M.unbilled_ar(e), rate], _QUARTER_KEYS)
+        out = M.evaluate(rows, [*metrics, M.billed_ar(e), M.unbilled_ar(e), rate], _QUARTER_KEYS,
+                         e.stored)
     elif from_date and same_date:
-        out = M.evaluate(rows, [*metrics, *_quarter_ar(ar, as_of), rate], _QUARTER_KEYS)
+        out = M.evaluate(rows, [*metrics, *_quarter_ar(ar, as_of), rate], _QUARTER_KEYS, e.stored)
         out = _exact_to_double(out) if bounded else _to_today(out)
     else:
-        out = M.evaluate(rows, [*metrics, rate], _QUARTER_KEYS)
-        dated = _keyed(e, {"year": F.year(ar[2]), "quarter": F.quarter(ar[2])})
-        sums = M.evaluate(dated, _quarter_ar(ar, as_of), _QUARTER_KEYS)
+        out = M.evaluate(rows, [*metrics, rate], _QUARTER_KEYS, e.stored)
+        dated = _keyed(e.slice("ar"), {"year": F.year(ar[2]), "quarter": F.quarter(ar[2])})
+        sums = M.evaluate(dated, _quarter_ar(ar, as_of), _QUARTER_KEYS, e.stored)
         # Reported quarters may hold no service date, so they join the running sum as zeros.
         zeros = out.select(*_QUARTER_KEYS, F.lit(0).alias("billed_ar"),
                            F.lit(0).alias("unbilled_ar"))
@@ -261,8 +281,8 @@ def quarterly_billed_ar(df: DataFrame, as_of=None, bounded: bool = False) -> Dat
     ar = _ar_columns(e)
     if ar is None:
         raise MissingColumns("Balance, status and service date are needed.")
-    rows = _keyed(e, {"year": F.year(ar[2]), "quarter": F.quarter(ar[2])})
-    out = M.evaluate(rows, _quarter_ar(ar, as_of), _QUARTER_KEYS)
+    rows = _keyed(e.slice("ar"), {"year": F.year(ar[2]), "quarter": F.quarter(ar[2])})
+    out = M.evaluate(rows, _quarter_ar(ar, as_of), _QUARTER_KEYS, e.stored)
     out = _exact_to_double(out) if bounded else _to_today(out)
     return (out.withColumnRenamed("_key_year", "year")
             .withColumnRenamed("_key_quarter", "quarter"))
@@ -285,6 +305,12 @@ def month_weeks(anchor: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).cast("int").alias("days")))
 
 
+def created_metrics(e: Encounters) -> list[M.Metric]:
+    paid = e.number("total_payment") if "total_payment" in e.columns else F.lit(0.0)
+    # Null without positive payments; the sum stays exact until weeks are added up.
+    return [M.simple("_n", S.tally()), M.simple("_paid", S.Part(paid, paid > 0, finish=lambda total: total))]
+
+
 def weekly_breakdown(df: DataFrame, as_of=None, year: int | None = None,
                      month: int | None = None) -> DataFrame:
     """Cumulative forecast and actuals per week of the latest created month.
@@ -300,7 +326,7 @@ def weekly_breakdown(df: DataFrame, as_of=None, year: int | None = None,
     if given:
         start = F.make_date(F.lit(year), F.lit(month), F.lit(1))
     elif anchor_date:
-        newest = e.df.agg(X.month_start(F.max(e.time(anchor_date))).alias("month_start"))
+        newest = e.slice("created").agg(X.month_start(F.max(e.time(anchor_date))).alias("month_start"))
         start = newest.scalar()
         if not created:
             start = F.coalesce(start, X.month_start(X.as_of_time(as_of)))
@@ -322,11 +348,10 @@ def weekly_breakdown(df: DataFrame, as_of=None, year: int | None = None,
     week_end = F.least(next_monday, month_end)
     in_base = (ts < X.midnight(start)) & (ts <= X.midnight(month_end))
     in_week = (ts >= X.midnight(start)) & (ts <= X.midnight(week_end))
-    paid = e.number("total_payment") if "total_payment" in e.columns else F.lit(0.0)
-    sums = (e.df.filter((ts >= X.midnight(base_start)) & (ts < X.midnight(F.add_months(start, 1))))
-            .groupBy(F.when(in_base, F.lit(0)).when(in_week, week).alias("week"))
-            .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.when(paid > 0, paid)).alias("_paid"))
-            .filter(F.col("week").isNotNull()))
+    month = e.slice("created").filter((ts >= X.midnight(base_start)) & (ts < X.midnight(F.add_months(start, 1))))
+    sums = (M.evaluate(month.withColumn("_key_week", F.when(in_base, F.lit(0)).when(in_week, week)),
+                       created_metrics(e), ["_key_week"], e.stored)
+            .withColumnRenamed("_key_week", "week").filter(F.col("week").isNotNull()))
     # At most seven rows: the base (week 0) and the weeks of one month.
     slots = weeks.join(sums, "week", "full")
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding,
@@ -400,12 +425,18 @@ def weekly_comparison(df: DataFrame) -> DataFrame:
     date = e.need("service_date", "default", "No date field found in data.")
     ts = e.time(date)
     transaction = e.find("transaction_date")
-    week = X.anchors(e.df, X.shift_days(F.max(ts), -6), F.max(ts))
+    week = X.anchors(e.slice("served"), X.shift_days(F.max(ts), -6), F.max(ts))
     served = ts.between(*week)
     collected = e.time(transaction).between(*week) if transaction else served
-    rows = e.df.filter(ts.isNotNull() & (served | collected))
-    visits = M.simple("visits", X.count_where(served))
+    visits = M.simple("visits", S.tally(dated=served))
     collections, charges = M.filtered_payments(e, collected), M.filtered_charges(e, served)
+    if e.stored:
+        # Collections are kept by transaction date, of rows that have a service date.
+        rows = e.slice("served").filter(ts.isNotNull())
+        by_transaction = M.evaluate(e.slice("collected"), [collections], stored=True).scalar()
+        collections = M.Metric(collections.name, {}, by_transaction)
+    else:
+        rows = e.df.filter(ts.isNotNull() & (served | collected))
     bounds = {"_last": F.max(F.when(served, ts))}
     last = F.col("_last")
     text = "MM/dd/yyyy"
@@ -418,10 +449,16 @@ def weekly_comparison(df: DataFrame) -> DataFrame:
         M.Metric("charges_dos", charges.parts, charges.value()),
         M.Metric("charges_dc", charges.parts, charges.value()),
         M.Metric("visits_dos", visits.parts, visits.value()),
-        M.Metric("visits_dc", visits.parts, visits.value())])
+        M.Metric("visits_dc", visits.parts, visits.value())], stored=e.stored)
     return out.filter(F.col("_week_end").isNotNull()).drop("_week_end")
 
 
+def month_metrics(e: Encounters) -> list[M.Metric]:
+    collections, charges = M.filtered_payments(e), M.filtered_charges(e)
+    return [M.Metric("collections", collections.parts, collections.value()),
+            M.Metric("charges", charges.parts, charges.value()), M.total_visits(e)]
+
+
 def month_to_date(df: DataFrame, as_of=None) -> DataFrame:
     """This month to the latest day, and the same days of the three months before.
 
@@ -429,23 +466,19 @@ def month_to_date(df: DataFrame, as_of=None) -> DataFrame:
     """
     e = Encounters.of(df)
     date = e.need("service_date", "month_to_date", "No visit_date field found in data.")
+    ts, known = e.time(date), e.slice("month")
     if as_of is not None:
-        e = Encounters(e.df.filter(e.time(date) <= X.as_of_time(as_of)))
-    ts = e.time(date)
+        known = known.filter(ts <= X.as_of_time(as_of))
     spark = e.df.sparkSession
-    latest = e.df.agg(F.max(ts).cast("date").alias("latest")).scalar()
+    latest = known.agg(F.max(ts).cast("date").alias("latest")).scalar()
     day = ts.cast("date")
     cutoff = F.least(F.dayofmonth(latest), F.dayofmonth(F.last_day(day)))
     # The range ends at midnight of its last day.
     last_moment = X.midnight(F.date_add(F.trunc(day, "month"), cutoff - 1))
-    earliest, = X.anchors(e.df, X.midnight(F.add_months(F.trunc(F.max(ts).cast("date"), "month"), -3)))
-    rows = e.df.filter((ts >= earliest) & (ts <= last_moment))
+    earliest, = X.anchors(known, X.midnight(F.add_months(F.trunc(F.max(ts).cast("date"), "month"), -3)))
+    rows = known.filter((ts >= earliest) & (ts <= last_moment))
     rows = rows.withColumn("_key_month", F.trunc(day, "month"))
-    collections, charges, visits = (M.filtered_payments(e), M.filtered_charges(e),
-                                    M.total_visits(e))
-    sums = M.evaluate(rows, [
-        M.Metric("collections", collections.parts, collections.value()),
-        M.Metric("charges", charges.parts, charges.value()), visits], ["_key_month"])
+    sums = M.evaluate(rows, month_metrics(e), ["_key_month"], e.stored)
     months = (spark.range(4).select(F.col("id").cast("int").alias("months_back"),
                                     latest.alias("latest"))
               .filter(F.col("latest").isNotNull())
@@ -467,13 +500,24 @@ def month_to_date(df: DataFrame, as_of=None) -> DataFrame:
 # --- unbilled status (slide 9) ----------------------------------------------------------------
 
 
-def _not_billed(df: DataFrame) -> tuple[DataFrame, Column, Column]:
-    e = Encounters.of(df)
-    status = e.need("status", "unbilled_week", "No visit_status column found")
-    date = e.need("service_date", "unbilled_week", "No date column found")
-    label, ts = e.status(status), e.time(date)
-    rows = e.df.filter(ts.isNotNull() & X.outside(label, X.BILLED))
-    return rows, label, ts
+def _not_billed(e: Encounters) -> tuple[Column, Column]:
+    """Status of a visit, and whether it is not billed."""
+    label = e.status(e.need("status", "unbilled_week", "No visit_status column found"))
+    return label, X.outside(label, X.BILLED)
+
+
+def unbilled_metrics(e: Encounters) -> list[M.Metric]:
+    label, open_ = _not_billed(e)
+    return [*[M.Metric(s, {f"_{s}": S.tally(open_ & (label == s.lower()))}, F.col(f"`_{s}`"))
+              for s in UNBILLED_REPORT_STATUSES], M.simple("Total", S.tally(open_))]
+
+
+def _open_visits(e: Encounters) -> tuple[DataFrame, Column]:
+    """Visits that are not billed, or the stored days that have some, and their date."""
+    _, open_ = _not_billed(e)
+    ts = e.time(e.need("service_date", "unbilled_week", "No date column found"))
+    picked = F.col("_Total") > 0 if e.stored else open_
+    return e.slice("unbilled").filter(ts.isNotNull() & picked), ts
 
 
 def unbilled_status_week(df: DataFrame, by_label: bool = False) -> DataFrame:
@@ -482,7 +526,8 @@ def unbilled_status_week(df: DataFrame, by_label: bool = False) -> DataFrame:
     The last row totals the week, including statuses outside the nine listed.
     ``by_label`` selects weeks by their display label, which repeats every year.
     """
-    rows, label, ts = _not_billed(df)
+    e = Encounters.of(df)
+    rows, ts = _open_visits(e)
     newest = F.max(ts)
     last_sunday = F.date_sub(newest.cast("date"), F.dayofweek(newest) - 1)
     first_day = F.date_sub(last_sunday, 6)
@@ -493,9 +538,7 @@ def unbilled_status_week(df: DataFrame, by_label: bool = False) -> DataFrame:
     else:
         start, end = X.anchors(rows, X.midnight(first_day), X.midnight(F.date_add(last_sunday, 1)))
         week = rows.filter((ts >= start) & (ts < end))
-    counts = week.agg(*[X.count_where(label == s.lower()).alias(s)
-                        for s in UNBILLED_REPORT_STATUSES],
-                      F.count(F.lit(1)).alias("Total"))
+    counts = M.evaluate(week, unbilled_metrics(e), stored=e.stored)
     ordered = (*UNBILLED_REPORT_STATUSES, "Total")
     out = counts.select(F.posexplode(F.array(*[
         F.struct(F.lit(s).alias("status"), F.col(f"`{s}`").alias("visits")) for s in ordered])))
@@ -508,7 +551,10 @@ def unbilled_status_week(df: DataFrame, by_label: bool = False) -> DataFrame:
 
 def week_labels(df: DataFrame) -> DataFrame:
     """Week labels of unbilled visits with the earliest Monday each stands for."""
-    rows, _, ts = _not_billed(df)
+    e = Encounters.of(df)
+    rows, ts = _open_visits(e)
     monday = X.monday_of(ts)
-    return (rows.groupBy(X.week_label(monday).alias("week_label"))
-            .agg(F.min(monday).alias("first_monday"), F.count(F.lit(1)).alias("visits")))
+    total = [m for m in unbilled_metrics(e) if m.name == "Total"]
+    return M.evaluate(rows.withColumn("week_label", X.week_label(monday)), [
+        M.Metric("first_monday", {"_first": F.min(monday)}, F.col("_first")),
+        M.Metric("visits", total[0].parts, total[0].value())], ["week_label"], e.stored)

@@ -25,6 +25,7 @@ from tallymark.operators.running import Running, running_totals
 from tallymark.functions import sqltext as Q
 from tallymark.plans import render
 from tallymark.plans import reports as R
+from tallymark.plans.rollup import TOOL_SLICES, Rollup
 from tallymark.session import scratch_path, stage_table
 from tallymark.sources import catalog as C
 from tallymark.sources import readers, writers
@@ -1107,18 +1108,18 @@ def rate_breach_stream(spark, sf):
 # --- text report -------------------------------------------------------------------------------
 
 
-def _staged(spark: SparkSession, sf: str) -> Encounters:
-    """Encounters written once, since every slide reads them."""
+def _deck_rollup(spark: SparkSession, sf: str) -> Rollup:
+    """Sums for all slides. The joined view is written once, since one aggregation per date reads it."""
     e = enc(spark, sf)
-    return Encounters(stage_table(e.df.select(*render.deck_columns(e)), "encounters"))
+    return Rollup(stage_table(e.df.select(*render.deck_columns(e)), "encounters"))
 
 
 query("tool_answers", report_oracle.answers_sql(ORACLE))(
-    lambda spark, sf: render.tool_answers(_staged(spark, sf), AS_OF))
+    lambda spark, sf: render.tool_answers(Rollup(enc(spark, sf), only=TOOL_SLICES), AS_OF))
 _COMPANY = "Acme Health"
 query("report_lines", report_oracle.deck_sql(
     {**ORACLE, "client_week": _week_sql("TRUE"), "month_to_date": _mtd_sql("SELECT * FROM enc")},
     _COMPANY, AS_OF))(
-    lambda spark, sf: render.report_lines(_staged(spark, sf), _COMPANY, AS_OF))
+    lambda spark, sf: render.report_lines(_deck_rollup(spark, sf), _COMPANY, AS_OF))
 query("all_quarters_lines", report_oracle.all_quarters_sql(ORACLE["quarterly_kpis"], _COMPANY, AS_OF))(
     lambda spark, sf: render.all_quarters_lines(enc(spark, sf), _COMPANY, AS_OF))
