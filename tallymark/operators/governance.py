@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import re
 import time
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.functions import sqltext as Q
 from tallymark.functions import text as X
@@ -31,18 +36,76 @@ def row_cap(df: DataFrame, max_rows: int) -> DataFrame:
     return df if max_rows >= Q.UNLIMITED_ROWS else df.limit(max_rows)
 
 
-def guard_columns(df: DataFrame, pii: Sequence[str] = Q.PII_COLUMNS,
-                  mode: str = "raise") -> DataFrame:
-    """Refuse or drop personal columns by the resolved output schema.
+def _without(c: Column, kind: T.DataType, denied: set[str]) -> Column | None:
+    """``c`` without personal fields at any depth; None if nothing remains.
 
-    ``SELECT *`` is seen through; columns renamed by a query are found by
-    ``guard_plan``.
+    Keys of a map are data, but text keys name fields as well, so entries under a
+    personal name go; a map whose keys hold personal fields goes as a whole.
     """
+    if isinstance(kind, T.StructType):
+        kept = {f.name: _without(c.getField(f.name), f.dataType, denied)
+                for f in kind.fields if f.name.lower() not in denied}
+        kept = {n: v for n, v in kept.items() if v is not None}
+        if not kept:
+            return None if kind.fields else c
+        return F.when(c.isNotNull(), F.struct(*[v.alias(n) for n, v in kept.items()]))
+    if isinstance(kind, T.ArrayType) and _holds(kind.elementType, denied):
+        if _without(F.lit(None).cast(kind.elementType), kind.elementType, denied) is None:
+            return None
+        return F.transform(c, lambda x: _without(x, kind.elementType, denied))
+    if isinstance(kind, T.MapType):
+        if _holds(kind.keyType, denied):
+            return None
+        if isinstance(kind.keyType, T.StringType):
+            c = F.map_filter(c, lambda k, v: ~F.lower(k).isin(*denied))
+        if _holds(kind.valueType, denied):
+            if _without(F.lit(None).cast(kind.valueType), kind.valueType, denied) is None:
+                return None
+            return F.transform_values(c, lambda k, v: _without(v, kind.valueType, denied))
+    return c
+
+
+def _holds(kind: T.DataType, denied: set[str]) -> bool:
+    """Whether a column of this kind may hold a personal field."""
+    if isinstance(kind, T.StructType):
+        return any(f.name.lower() in denied or _holds(f.dataType, denied) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds(kind.elementType, denied)
+    if isinstance(kind, T.MapType):
+        return isinstance(kind.keyType, T.StringType) or _holds(kind.keyType, denied) or _holds(
+            kind.valueType, denied)
+    return False
+
+
+def masked(df: DataFrame, pii: Sequence[str] = Q.PII_COLUMNS) -> DataFrame:
+    """``df`` without personal columns and without personal fields inside the others."""
+    denied = {p.lower() for p in pii}
+    if not denied:
+        return df
+    kept = []
+    for f in df.schema.fields:
+        if f.name.lower() in denied:
+            continue
+        name = "`" + f.name.replace("`", "``") + "`"
+        c = _without(F.col(name), f.dataType, denied) if _holds(f.dataType, denied) else F.col(name)
+        if c is not None:
+            kept.append(c.alias(f.name))
+    return df.select(*kept)
+
+
+def _refused(column: str) -> QueryRefused:
+    return QueryRefused(f"Query references PII column '{column}' which is not allowed")
+
+
+def guard_columns(df: DataFrame, pii: Sequence[str] = Q.PII_COLUMNS,
+                  mode: str = "raise") -> DataFrame:
+    """Refuse a table that holds personal columns or fields, or drop them."""
+    kept = masked(df, pii)
+    if mode != "raise" or kept.schema.simpleString() == df.schema.simpleString():
+        return kept
     denied = {p.lower() for p in pii}
-    hits = [c for c in df.columns if c.lower() in denied]
-    if hits and mode == "raise":
-        raise QueryRefused(f"Query references PII column '{hits[0]}' which is not allowed")
-    return df.drop(*hits)
+    named = re.search(r"\b(" + "|".join(map(re.escape, denied)) + r")\b", df.schema.simpleString().lower())
+    raise _refused(named.group(1) if named else sorted(denied)[0])
 
 
 # Comments, strings (with escapes), quoted names.
@@ -54,7 +117,7 @@ def check_sql(sql: str, policy: Q.Policy) -> str:
 
     A text that begins with SELECT can only be a query, and Spark's parser takes
     one statement, so the operation is decided here. The other findings are an
-    early, readable refusal; ``guard_plan`` decides on columns and joins.
+    early, readable refusal; masked views and ``check_joins`` decide on columns and joins.
     """
     text = sql.strip().rstrip(";").rstrip()
     if not text:
@@ -81,72 +144,92 @@ def check_sql(sql: str, policy: Q.Policy) -> str:
     return text
 
 
-def _each(seq) -> list:
-    return [seq.apply(i) for i in range(seq.size())]
+# Rules that would fold an equality of two tables into constants, after which a
+# join that equates them could not be told from a product.
+_KEEP_EQUALITIES = ",".join(f"org.apache.spark.sql.catalyst.optimizer.{rule}" for rule in (
+    "ConstantPropagation", "FoldablePropagation", "ConvertToLocalRelation"))
+_SETTINGS = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled")
 
 
-def _nodes(plan, stop: str | None = None) -> list:
-    """The plan's nodes with those of its subqueries; below ``stop`` nodes none."""
-    found, todo = [], [plan]
-    while todo:
-        node = todo.pop()
-        if node.getClass().getSimpleName() == stop:
-            continue
-        found.append(node)
-        todo += _each(node.children()) + _each(node.subqueries())
-    return found
-
-
-def _matches_sides(join) -> bool:
-    """Whether the join's condition equates something of either side."""
-    if join.condition().isEmpty():
-        return False
-    left, right = join.left().outputSet(), join.right().outputSet()
-    todo = [join.condition().get()]
-    while todo:
-        e = todo.pop()
-        kind = e.getClass().getSimpleName()
-        if kind == "And":
-            todo += [e.left(), e.right()]
-        elif kind in ("EqualTo", "EqualNullSafe"):
-            a, b = e.left().references(), e.right().references()
-            if not a.isEmpty() and not b.isEmpty() and (
-                    (a.subsetOf(left) and b.subsetOf(right)) or (a.subsetOf(right) and b.subsetOf(left))):
-                return True
-    return False
+def _named_tables(spark: SparkSession, sql: str) -> dict[str, DataFrame]:
+    """The views and tables of the session whose names the text holds."""
+    names = [t.name for t in spark.catalog.listTables()]
+    return {n: spark.table(f"`{n}`") for n in names if re.search(rf"\b{re.escape(n)}\b", sql, re.I)}
+
+
+def guard_session(spark: SparkSession, tables: Mapping[str, DataFrame], pii: Sequence[str]) -> SparkSession:
+    """A session that sees only ``tables``, each masked, and reads no files by path."""
+    guard = spark.newSession()
+    for key in _SETTINGS:
+        guard.conf.set(key, spark.conf.get(key))
+    guard.conf.set("spark.sql.runSQLOnFiles", "false")
+    guard.conf.set("spark.sql.optimizer.excludedRules", _KEEP_EQUALITIES)
+    for name, df in tables.items():
+        # Only global views pass from one session to another; this one is gone at once.
+        passed = f"guard_{uuid.uuid4().hex}"
+        masked(df, pii).createGlobalTempView(passed)
+        try:
+            guard.table(f"global_temp.{passed}").createOrReplaceTempView(f"`{name}`")
+        finally:
+            spark.catalog.dropGlobalTempView(passed)
+    return guard
 
 
-def guard_plan(df: DataFrame, policy: Q.Policy) -> DataFrame:
-    """``df`` if its analysed plan keeps to the policy; nothing is executed.
+def _explained(df: DataFrame) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("extended")
+    return out.getvalue()
 
-    Refused are personal columns that any step reads, whatever it calls them;
-    more joins than allowed, comma joins included; and joins that, with all
-    filters moved into them, still equate nothing of their two sides. What
-    stands behind a view is not looked at, its columns are.
+
+def check_joins(df: DataFrame, policy: Q.Policy) -> None:
+    """Raise for too many joins, comma joins included, and for joins that equate nothing.
+
+    Spark explains joins without an equality of their two sides as products or
+    nested loops; checks for existence are none.
     """
-    execution = df._jdf.queryExecution()
-    denied, joins = {p.lower() for p in policy.pii}, 0
-    for node in _nodes(execution.analyzed(), stop="View"):
-        joins += node.getClass().getSimpleName().endswith("Join")
-        read = [] if node.children().isEmpty() else _each(node.references().toSeq())
-        for attribute in read:
-            if attribute.name().lower() in denied:
-                raise QueryRefused(
-                    f"Query references PII column '{attribute.name().lower()}' which is not allowed")
+    head, physical = _explained(df).split("== Physical Plan ==")
+    parsed, analysed = head.split("== Optimized Logical Plan ==")[0].split("== Analyzed Logical Plan ==")
+    # Qualified names would reach past the masked views.
+    if re.search(r"UnresolvedRelation \[[^\]]*,", parsed):
+        raise QueryRefused("Only the given tables may be read")
+    joins = len(re.findall(r"^[\s:+-]*Join \w", analysed, re.M))
     if joins > policy.max_joins:
         raise QueryRefused(f"Too many JOINs ({joins}). Maximum allowed: {policy.max_joins}")
-    for node in _nodes(execution.optimizedPlan()):
-        kind = node.getClass().getSimpleName()
-        one_sided = kind == "Join" and node.joinType().sql() in ("LEFT SEMI", "LEFT ANTI")
-        if kind.endswith("Join") and not one_sided and (kind != "Join" or not _matches_sides(node)):
+    for join in re.findall(r"(?:CartesianProduct|BroadcastNestedLoopJoin)[^\n]*", physical):
+        if not re.search(r"\b(LeftSemi|LeftAnti|ExistenceJoin)\b", join):
             raise QueryRefused("CROSS JOIN is not allowed (potential cartesian product)")
-    return df
 
 
-def guarded_sql(spark: SparkSession, sql: str, policy: Q.Policy = Q.FILE_POLICY) -> DataFrame:
-    """Result of a read-only statement under the policy, as a lazy DataFrame."""
-    df = guard_plan(spark.sql(check_sql(sql, policy)), policy)
-    return row_cap(guard_columns(df, policy.pii), policy.max_rows)
+def guarded_sql(spark: SparkSession, sql: str, policy: Q.Policy = Q.FILE_POLICY,
+                tables: Mapping[str, DataFrame] | None = None, mode: str = "raise") -> DataFrame:
+    """Result of a read-only statement under the policy, as a lazy DataFrame.
+
+    The statement runs over masked views of ``tables`` (or of the session's own
+    views and tables), so personal columns and fields are out of its reach,
+    whatever it calls them. With ``mode`` "raise" it is refused if its result
+    would have held some; with "mask" it gets the rest.
+    """
+    text = check_sql(sql, policy)
+    tables = _named_tables(spark, text) if tables is None else dict(tables)
+    guard = guard_session(spark, tables, policy.pii)
+    try:
+        df = guard.sql(text)
+    except AnalysisException as error:
+        said = str(error).lower()
+        for column in policy.pii:
+            if re.search(rf"\b{re.escape(column.lower())}\b", said):
+                raise _refused(column) from None
+        raise
+    check_joins(df, policy)
+    if mode == "raise" and any(_shape(masked(t, policy.pii)) != _shape(t) for t in tables.values()):
+        if _shape(guard_session(spark, tables, ()).sql(text)) != _shape(df):
+            raise _refused(policy.pii[0] if len(policy.pii) == 1 else ", ".join(policy.pii))
+    return row_cap(df, policy.max_rows)
+
+
+def _shape(df: DataFrame) -> str:
+    return df.schema.simpleString()
 
 
 def run_guarded_sql(spark: SparkSession, sql: str,

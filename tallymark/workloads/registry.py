@@ -916,6 +916,36 @@ query("pii_guard", "SELECT c_custkey, c_name FROM customer")(
 
 
 
+@query("nested_pii", """
+SELECT c_custkey, concat('{"name":"', c_name, '","logins":[{"phone":"', CAST(c_nationkey AS VARCHAR), '"}]}') AS person,
+  c_nationkey AS nation FROM customer WHERE c_nationkey IS NOT NULL""")
+def nested_pii(spark, sf):
+    """Personal fields inside structs, arrays and maps are not there for a query."""
+    people = V.table(spark, sf, "customer").selectExpr(
+        "c_custkey", "named_struct('name', c_name, 'SSN', c_acctbal, 'logins', array(named_struct('password', "
+        "c_mktsegment, 'phone', CAST(c_nationkey AS STRING)))) AS person",
+        "map('ssn', c_acctbal, 'nation', c_nationkey) AS facts")
+    return G.guarded_sql(spark, """
+        SELECT c_custkey, TO_JSON(person) AS person, CAST(facts['nation'] AS INT) AS nation FROM people
+        WHERE facts['nation'] IS NOT NULL AND facts['ssn'] IS NULL""", tables={"people": people})
+
+
+@query("sql_aggregates", """
+SELECT o_orderstatus AS status, CAST(year(o_orderdate) AS INT) AS y, CAST(day(max(o_orderdate)) AS INT) AS last_day,
+  CAST(max(o_orderdate) AS DATE) AS last_date, CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS total,
+  CAST(AVG(o_custkey) AS DOUBLE) AS mean_customer, o_orderstatus AS any_status, TRUE AS past
+FROM orders GROUP BY o_orderstatus, year(o_orderdate)""")
+def sql_aggregates(spark, sf):
+    """The other functions of ad-hoc queries."""
+    return G.guarded_sql(spark, """
+        SELECT o_orderstatus AS status, YEAR(o_orderdate) AS y, DAY(MAX(o_orderdate)) AS last_day,
+          DATE(MAX(o_orderdate)) AS last_date, CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS total,
+          AVG(o_custkey) AS mean_customer, ANY_VALUE(o_orderstatus) AS any_status,
+          MAX(o_orderdate) < CURDATE() AS past
+        FROM orders GROUP BY o_orderstatus, YEAR(o_orderdate)""",
+                         tables={"orders": V.table(spark, sf, "orders")})
+
+
 @query("guard_findings", """
 SELECT * FROM (VALUES ('alias', 'refused'), ('comment', 'refused'), ('comma', 'refused'), ('constant', 'refused'),
   ('equal', 'runs'), ('literal', 'runs')) AS v(attempt, outcome), (SELECT COUNT(*) AS customers FROM customer) AS c""")
