@@ -15,9 +15,12 @@ from pyspark.sql import types as T
 
 from tallymark.functions import exprs as X
 from tallymark.operators.quantiles import exact_medians
+from tallymark.session import stage_table
 
 SAMPLE_SIZE = 5
 TOP_K = 5
+PIECE_LENGTH = 3
+PIECE_KINDS = ("value", "prefix", "suffix")
 CARDINALITY_SHARE = 0.5
 CARDINALITY_LIMIT = 1000
 
@@ -116,14 +119,22 @@ def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
+def canonical(df: DataFrame, name: str) -> Column:
+    """The value in a form that hashes alike for equal values: one zero of doubles, maps as text."""
+    kind, present = df.schema[name].dataType, _present(df, name)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return present + F.lit(0.0)
+    return present if isinstance(kind, T.AtomicType) else present.cast("string")
+
+
 def _hash_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(column_name, a, b, n): how often each value occurs, by two 64-bit hashes of it.
 
-    Long texts are hashed in place, so neither unpivoting nor the shuffle
-    carries them; two values count as one only if all 128 bits agree.
+    Values are hashed in place in their own kind, so neither unpivoting nor the
+    shuffle carries them; two values count as one only if all 128 bits agree.
     """
     def hashes(name: str) -> Column:
-        value = _as_text(df, name)
+        value = canonical(df, name)
         return F.when(value.isNotNull(), F.struct(F.xxhash64(value).alias("a"),
                                                   F.xxhash64(F.lit(1), value).alias("b")))
     wide = df.select(*[hashes(c).alias(c) for c in names])
@@ -317,24 +328,73 @@ def column_patterns(df: DataFrame) -> DataFrame:
     return _per_column(df, columns_of(df, "text"), stats)
 
 
-def top_pieces(df: DataFrame, k: int = TOP_K) -> DataFrame:
+def _pieces(df: DataFrame, name: str) -> dict[str, Column]:
+    value = _as_text(df, name)
+    long_enough = F.length(value) >= PIECE_LENGTH
+    return {"value": value, "prefix": F.when(long_enough, F.left(value, F.lit(PIECE_LENGTH))),
+            "suffix": F.when(long_enough, F.right(value, F.lit(PIECE_LENGTH)))}
+
+
+def frequent_candidates(df: DataFrame, names: Sequence[str], candidates: int, tracked: int) -> DataFrame:
+    """(column_name, kind, hash, most): pieces that may be frequent, one aggregation over one scan.
+
+    Every task keeps at most ``tracked`` counters per column and kind, whatever
+    the number of distinct values. ``most`` bounds how often any piece that is not
+    listed can occur: a counter is never too low, and a piece without one occurs
+    at most 3.5 rows in ``tracked``.
+    """
+    aggregates, structs = [F.count(F.lit(1)).alias("_rows")], []
+    for i, name in enumerate(names):
+        for kind, piece in _pieces(df, name).items():
+            key = f"_{i}_{kind}"
+            aggregates.append(F.call_function("approx_top_k", F.when(piece.isNotNull(), F.xxhash64(piece)),
+                                              F.lit(candidates), F.lit(tracked)).alias(key))
+            lowest = F.when(F.size(key) >= candidates, F.array_min(F.transform(key, lambda e: e["count"])))
+            dropped = F.ceil(F.col("_rows") * F.lit(3.5) / F.lit(tracked))
+            structs.append(F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("kind"),
+                                    F.transform(key, lambda e: e["item"]).alias("hashes"),
+                                    F.greatest(F.coalesce(lowest, F.lit(0)), dropped).alias("most")))
+    found = df.agg(*aggregates).select(F.inline(F.array(*structs)))
+    return found.select("column_name", "kind", "most", F.explode("hashes").alias("hash"))
+
+
+def _counted(df: DataFrame, names: Sequence[str], wanted: DataFrame | None) -> DataFrame:
+    """(column_name, kind, piece, n) of all pieces, or of those whose hashes are ``wanted``."""
+    structs = [F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("kind"), piece.alias("piece"))
+               for name in names for kind, piece in _pieces(df, name).items()]
+    pieces = df.select(F.inline(F.array(*structs))).filter(F.col("piece").isNotNull())
+    if wanted is not None:
+        # At most ``candidates`` rows per column and kind.
+        pieces = pieces.withColumn("hash", F.xxhash64("piece")).join(
+            F.broadcast(wanted), ["column_name", "kind", "hash"], "left_semi")
+    return pieces.groupBy("column_name", "kind", "piece").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_pieces(df: DataFrame, k: int = TOP_K, candidates: int = 100, tracked: int = 10_000) -> DataFrame:
     """The ``k`` most frequent values, prefixes and suffixes of each text column.
 
     Prefixes and suffixes are three characters of values at least that long;
-    ties go to the lower text. Counting is combined per task, and ranking keeps
-    ``k`` rows per group before it shuffles.
+    ties go to the lower text. Candidates come from counters of bounded size and
+    are then counted exactly. Where the k-th count exceeds what any other piece can
+    have, they are the answer; the columns and kinds where it does not (values
+    that hardly repeat) are counted in full.
     """
     names = columns_of(df, "text")
-    whole = value_counts(df, names).filter(F.col("value").isNotNull())
-    long_enough = F.length("value") >= 3
-    pieces = whole.select("column_name", "n", F.inline(F.array(
-        F.struct(F.lit("value").alias("kind"), F.col("value").alias("piece")),
-        F.struct(F.lit("prefix").alias("kind"),
-                 F.when(long_enough, F.left("value", F.lit(3))).alias("piece")),
-        F.struct(F.lit("suffix").alias("kind"),
-                 F.when(long_enough, F.right("value", F.lit(3))).alias("piece")))))
-    counts = (pieces.filter(F.col("piece").isNotNull()).groupBy("column_name", "kind", "piece")
-              .agg(F.sum("n").alias("n")))
+    listed = stage_table(frequent_candidates(df, names, candidates, tracked), "candidates")
     rank = F.row_number().over(
         Window.partitionBy("column_name", "kind").orderBy(F.desc("n"), F.asc("piece")))
-    return counts.withColumn("position", rank).filter(F.col("position") <= k)
+
+    def top(counts: DataFrame) -> DataFrame:
+        return counts.withColumn("position", rank).filter(F.col("position") <= k)
+
+    best = stage_table(top(_counted(df, names, listed.select("column_name", "kind", "hash"))), "best")
+    bounds = listed.groupBy("column_name", "kind").agg(F.max("most").alias("most"))
+    proven = (best.filter(F.col("position") == k).join(bounds, ["column_name", "kind"])
+              .filter(F.col("n") > F.col("most")).select("column_name", "kind"))
+    sure = {tuple(r) for r in proven.collect()}  # three rows per column at most
+    out = best.join(proven, ["column_name", "kind"], "left_semi")
+    open_ = [n for n in names if not all((n, kind) in sure for kind in PIECE_KINDS)]
+    if open_:
+        rest = top(_counted(df, open_, None).join(F.broadcast(proven), ["column_name", "kind"], "left_anti"))
+        out = out.unionByName(rest)
+    return out.select("column_name", "kind", "piece", "n", "position")
