@@ -6,14 +6,14 @@ import string
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
-def shingles(text):
+def shingles(text, words=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    return {tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+    return {tuple(w[i:i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
 
 
-def components(texts, percent=90):
+def components(texts, percent=90, words=3):
     """doc_id -> smallest doc_id reachable."""
-    sets = {d: shingles(t) for d, t in texts.items()}
+    sets = {d: shingles(t, words) for d, t in texts.items()}
     name = {d: d for d in texts}
 
     def root(d):
