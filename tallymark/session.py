@@ -21,6 +21,9 @@ SESSION_CONF = {
 }
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
     builder = (
@@ -59,7 +62,14 @@ def stage_table(df, label: str):
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    # What the write shuffled has served once it is done: its files need not wait
+    # for the driver to collect its garbage.
+    held = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, held)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
