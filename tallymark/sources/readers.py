@@ -5,12 +5,15 @@ from __future__ import annotations
 import logging
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.functions import names
 from tallymark.operators import profile
+from tallymark.session import stage_table
 from tallymark.sources.writers import write_parquet
 
 log = logging.getLogger(__name__)
@@ -102,30 +105,82 @@ def infer_types(df: DataFrame, dates: bool = True) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+HEADER_READERS = 16  # files whose first line is read at once
+RESCUED = "_rescued"
+
+
+def _headers(make_reader, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header, in order; files without a line have none."""
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        rows = pool.map(lambda f: make_reader().option("header", False).csv(f).first(), files)
+        found: dict[tuple[str, ...], list[str]] = {}
+        for file, row in zip(files, rows):
+            if row is not None:
+                raw = names.number_duplicates("" if cell is None else cell for cell in row)
+                found.setdefault(tuple(raw), []).append(file)
+    return found
+
+
+def reconciled_text(spark: SparkSession, path: str | Sequence[str], make_reader) -> DataFrame:
+    """The cells of all files as text, columns matched by header name, and ``_rescued``.
+
+    Files may order their columns differently; what a file lacks is null, what
+    only later files have comes last. ``_rescued`` holds the raw line of a row
+    whose number of cells is not that of its header.
+    """
+    files = [r["path"] for r in list_files(spark, path).select("path").orderBy("path").collect()]
+    by_header = _headers(make_reader, files)
+    columns = list(dict.fromkeys(c for header in by_header for c in header))
+    place = {c: f"c{i}" for i, c in enumerate(columns)}
+    # Plain positions as names: headers may hold any text.
+    parts = []
+    for header, own in by_header.items():
+        schema = T.StructType([T.StructField(place[c], T.StringType()) for c in header]
+                              + [T.StructField(RESCUED, T.StringType())])
+        part = (make_reader().option("header", True).option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", RESCUED).schema(schema).csv(own))
+        kept = {c: F.when(~F.col(place[c]).isin(*MISSING), F.col(place[c])) for c in header}
+        parts.append(part.select(*[kept.get(c, F.lit(None).cast("string")).alias(place[c]) for c in columns], RESCUED))
+    if not parts:
+        return spark.createDataFrame([], f"{RESCUED} string")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withMetadata(RESCUED, {"headers": columns})
+
+
 def read_delimited(spark: SparkSession, path: str | Sequence[str], delimiter: str | None = None,
                    encoding: str = "utf-8", schema=None, dates: bool = True,
-                   multi_line: bool = False) -> DataFrame:
-    """Delimited text with a header.
-
-    Comma by default, tab for ``.tsv``. Without a schema, types are inferred
-    from all rows. Files are split across tasks; ``multi_line`` reads quoted fields
-    that hold line breaks, one file per task.
+                   multi_line: bool = False, rescued: str | None = None) -> DataFrame:
+    """Delimited text with a header in every file.
+
+    Comma by default, tab for ``.tsv``. Without a schema, columns are matched by the
+    header of each file and types are inferred from all rows; the text is parsed
+    once. Rows with too few cells are filled with nulls and surplus cells dropped,
+    unless ``rescued`` names a folder: then such rows go there as they stand. Files
+    are split across tasks; ``multi_line`` reads quoted fields that hold line breaks,
+    one file per task.
     """
     if delimiter is None:
         delimiter = "\t" if str(path).lower().endswith(".tsv") else ","
-    reader = (spark.read.option("header", True).option("sep", delimiter)
-              .option("encoding", encoding).option("quote", '"').option("escape", '"')
-              .option("multiLine", multi_line))
+
+    def make_reader():
+        return (spark.read.option("header", True).option("sep", delimiter)
+                .option("encoding", encoding).option("quote", '"').option("escape", '"')
+                .option("multiLine", multi_line))
+
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    header = reader.option("header", False).csv(path).first()
-    if header is None:
-        return spark.createDataFrame([], "value string").select()
-    raw = names.number_duplicates("" if cell is None else cell for cell in header)
-    # Plain positions as names until the types are known: headers may hold any text.
-    text = reader.option("header", True).csv(path).toDF(*[f"c{i}" for i in range(len(raw))])
-    text = text.select(*[F.when(~F.col(c).isin(*MISSING), F.col(c)).alias(c) for c in text.columns])
-    return infer_types(text, dates).toDF(*raw)
+        return make_reader().schema(schema).csv(path)
+    text = reconciled_text(spark, path, make_reader)
+    if text.columns == [RESCUED]:
+        return text.select()
+    raw = text.schema[RESCUED].metadata["headers"]
+    text = stage_table(text, "parsed")
+    if rescued is not None:
+        (text.filter(F.col(RESCUED).isNotNull()).select(F.col(RESCUED).alias("line"))
+         .write.mode("overwrite").parquet(rescued))
+        text = text.filter(F.col(RESCUED).isNull())
+    return infer_types(text.drop(RESCUED), dates).toDF(*raw)
 
 
 def ingest_csv(spark: SparkSession, path: str, out: str, **options) -> dict:

@@ -528,6 +528,26 @@ def ingest_csv(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("ingest_reordered", """
+SELECT o_orderkey AS order_key, o_custkey AS cust_no, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS note,
+  CASE WHEN o_orderkey % 3 <> 1 THEN o_totalprice END AS total,
+  (SELECT COUNT(*) FROM orders WHERE o_orderkey % 7 = 0) AS quarantined
+FROM orders WHERE o_orderkey % 7 <> 0""")
+def ingest_reordered(spark, sf):
+    """Three uploads whose headers differ in order and columns; rows with a cell too many are set aside."""
+    raw, out, aside = (scratch_path(spark, n) for n in ("uploads", "ingested", "aside"))
+    key = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.col("o_orderkey"), F.lit(",9"))).otherwise(
+        F.col("o_orderkey").cast("string")).alias("order key")
+    cust, total = F.col("o_custkey").alias("cust-no."), F.col("o_totalprice").alias("total")
+    note = F.col("o_orderpriority").alias("note")
+    for i, columns in enumerate(((key, cust, total), (note, cust, key), (total, note, key, cust))):
+        V.table(spark, sf, "orders").filter(F.col("o_orderkey") % 3 == i).select(*columns).write.option(
+            "header", True).option("quote", "").csv(f"{raw}/{i}")
+    readers.ingest_csv(spark, raw, out, rescued=aside)
+    set_aside = spark.read.parquet(aside).agg(F.count("line")).scalar()
+    return spark.read.parquet(out).select("order_key", "cust_no", "note", "total", set_aside.alias("quarantined"))
+
+
 @query("ingest_sheets", """
 SELECT 'customers_2024' AS table_name, COUNT(*) AS row_count, 3 AS column_count,
   CAST(SUM(c_custkey) AS BIGINT) AS key_sum FROM customer WHERE c_acctbal >= 0

@@ -134,3 +134,21 @@ def test_upload_becomes_tables_profiles_and_a_manifest_row(spark, tmp_path):
     empty = put(str(tmp_path), "none.csv", "")
     with pytest.raises(ValueError, match="File is empty"):
         uploads.process_upload(spark, empty, work, "chat1", "u1")
+
+
+def test_files_are_matched_by_their_own_headers(spark, tmp_path):
+    """Two column orders, a new column, an empty file, a short and a long row."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,x\n2,y\n")
+    (folder / "2.csv").write_text("b,a\nz,3\n")
+    (folder / "3.csv").write_text("a,c,b\n4,new,w\n5\n6,7,8,9\n")
+    (folder / "4.csv").write_text("")
+    df = readers.read_delimited(spark, str(folder))
+    assert df.columns == ["a", "b", "c"] and dict(df.dtypes)["a"] == "bigint"
+    assert [tuple(r) for r in df.orderBy("a").collect()] == [
+        (1, "x", None), (2, "y", None), (3, "z", None), (4, "w", "new"), (5, None, None), (6, "8", "7")]
+    aside = str(tmp_path / "aside")
+    kept = readers.read_delimited(spark, str(folder), rescued=aside)
+    assert [r["a"] for r in kept.orderBy("a").collect()] == [1, 2, 3, 4]
+    assert sorted(r["line"] for r in spark.read.parquet(aside).collect()) == ["5", "6,7,8,9"]
