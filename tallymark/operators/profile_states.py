@@ -87,7 +87,7 @@ def profile(merged: DataFrame) -> DataFrame:
     median = F.when(F.col("min").isNotNull(), F.kll_sketch_get_quantile_double("quantiles", F.lit(0.5)))
     nulls = F.col("rows") - F.col("present")
     return merged.select(
-        "table_name", "column_name", "data_category", nulls.alias("null_count"),
+        "table_name", "column_name", "data_category", F.col("rows").alias("row_count"), nulls.alias("null_count"),
         F.try_divide(X.to_double(nulls) * 100.0, F.col("rows")).alias("null_percentage"),
         F.least(F.hll_sketch_estimate("distinct"), F.col("present")).alias("unique_count"),
         "min", "max", F.try_divide("sum", n).alias("mean"), median.alias("median"), deviation.alias("std"),

@@ -615,10 +615,10 @@ SELECT chat_id, COUNT(*) AS file_count, CAST(SUM(size_bytes) AS BIGINT) AS total
 
 
 @query("register_folder", " UNION ALL ".join(
-    f"SELECT '{t}' AS view_name, COUNT(*) AS row_count FROM {t}" for t in ("region", "nation", "orders")))
+    f"SELECT '{t}' AS view_name, COUNT(*) AS row_count FROM {t}" for t in V.TABLES))
 def register_folder(spark, sf):
-    """Tables of a folder registered as views and counted through them."""
-    views = readers.register_folder(spark, sf, "{region,nation,orders}.parquet")
+    """All tables of a folder registered as views and counted through them."""
+    views = readers.register_folder(spark, sf)
     return C.catalog_summary({v: spark.table(v) for v in views}).select(
         F.col("table_name").alias("view_name"), "row_count")
 
@@ -686,8 +686,47 @@ def profile_sink(spark, sf):
 query("profile_catalog", " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, CAST({len(cols.split(','))} AS BIGINT) AS column_count, "
     f"'{','.join(sorted(cols.split(',')))}' AS columns, COUNT(*) AS row_count FROM {t}"
-    for t, cols in _COLUMNS.items() if t in ("customer", "orders", "events")))(
-    lambda spark, sf: _catalog_of(spark, sf, ("customer", "orders", "events")))
+    for t, cols in _COLUMNS.items()))(
+    lambda spark, sf: _catalog_of(spark, sf, V.TABLES))
+
+
+@query("stored_catalog", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS null_count, "
+    f"TRUE AS distinct_close, CAST(0 AS BIGINT) AS profiled_again FROM {t}"
+    for t, cols in _COLUMNS.items() for c in cols.split(",")))
+def stored_catalog(spark, sf):
+    """The catalog from stored states of each file; a second look finds nothing new to profile."""
+    tables = {t: f"{sf.rstrip('/')}/{t}.parquet" for t in V.TABLES}
+    store = scratch_path(spark, "catalog")
+    PS.refresh(spark, tables, store)
+    again = PS.refresh(spark, tables, store)
+    exact = reduce(DataFrame.unionByName, [
+        P.profile_nulls(V.table(spark, sf, t)).select(F.lit(t).alias("table_name"), "column_name", "unique_count")
+        for t in V.TABLES])
+    rough = PS.stored_profile(spark, tables, store).withColumnRenamed("unique_count", "rough")
+    gap, n = F.abs(F.col("rough") - F.col("unique_count")), F.col("unique_count")
+    return rough.join(exact, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "row_count", "null_count",
+        (gap <= n * PS.DISTINCT_ERROR + 1).alias("distinct_close"), F.lit(again).cast("bigint").alias("profiled_again"))
+
+
+def _types(table: str) -> list[tuple[str, str]]:
+    return [tuple(c.strip().split(" ", 1)) for c in V.SCHEMAS[table].split(",")]
+
+
+@query("table_schema", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, CAST({i + 1} AS INT) AS position, '{c}' AS column_name, '{kind}' AS type, "
+    f"TRUE AS nullable, (SELECT COUNT({c}) FROM {t}) AS present"
+    for t in V.TABLES for i, (c, kind) in enumerate(_types(t))))
+def table_schema(spark, sf):
+    """Columns of every table as its files have them, with how many values each holds."""
+    parts = []
+    for t in V.TABLES:
+        df = spark.read.parquet(f"{sf.rstrip('/')}/{t}.parquet")
+        present = df.agg(*[F.count(c).alias(c) for c in df.columns]).unpivot([], df.columns, "column_name", "present")
+        parts.append(C.table_schema(df, t).join(present, "column_name").select(
+            "table_name", "position", "column_name", "type", "nullable", "present"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _catalog_of(spark, sf, tables):
@@ -892,7 +931,7 @@ query("top_prefixes", _pieces_sql("part", ("p_name", "p_brand", "p_type")))(
     lambda spark, sf: P.top_pieces(V.table(spark, sf, "part")))
 
 
-_HINTED = {t: _COLUMNS[t].split(",") for t in ("customer", "orders", "lineitem", "events")}
+_HINTED = {t: cols.split(",") for t, cols in _COLUMNS.items()}
 
 
 @query("semantic_hints", " UNION ALL ".join(
