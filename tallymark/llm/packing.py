@@ -148,18 +148,28 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
+            doc_ids = batch.column(0)
             for at, part in slices(batch.column(1).to_pylist()):
-                rows = []
-                for doc_id, ids in zip(doc_ids[at:at + len(part)], bpe.encode_batch(part)):
-                    raw = np.append(ids, END_ID).astype("<u4")
-                    first = len(raw) % capacity or capacity
-                    cuts = [0, *range(first, len(raw) + 1, capacity)]
-                    rows += [(doc_id, i, a, b - a, zlib.crc32(raw[a:b].tobytes()))
-                             for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-                columns = list(zip(*rows))
+                encoded = bpe.encode_batch(part)
+                sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) + 1
+                # Pieces of a document: all whole but the first.
+                counts = -(-sizes // capacity)
+                owner = np.repeat(np.arange(len(sizes)), counts)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                first = (sizes - 1) % capacity + 1
+                start = np.where(piece == 0, 0, first[owner] + (piece - 1) * capacity)
+                length = np.where(piece == 0, first[owner], capacity)
+                # The ids of the slice, each document's end id after them.
+                flat = np.full(int(sizes.sum()), END_ID, dtype="<u4")
+                inside = np.ones(len(flat), dtype=bool)
+                inside[np.cumsum(sizes) - 1] = False
+                flat[inside] = np.concatenate(encoded)
+                begin = (np.repeat(np.cumsum(sizes) - sizes, counts) + start).tolist()
+                end = (np.array(begin) + length).tolist()
+                crc = [zlib.crc32(flat[a:b]) for a, b in zip(begin, end)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(columns)],
+                    [doc_ids.take(pa.array(at + owner)), pa.array(piece.astype(np.int32)), pa.array(start),
+                     pa.array(length), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, PIECE_SCHEMA)
 
