@@ -3,72 +3,80 @@
 Each word gets a posterior over the languages by forward-backward along its
 line; a document's shares of languages are the means over its words. The model
 is trained on the driver from a bounded sample of labelled rows: for each
-language at most ``SAMPLE_DOCS`` documents, of which at most ``SAMPLE_LINES``
-lines, both lowest by hash. Lines of different languages are joined into
-code-switched chains, from which the transitions are learned.
+language at most ``SAMPLE_DOCS`` distinct texts, of whose whole lines at most
+``SAMPLE_STRETCHES`` distinct stretches of ``CHAIN_WORDS`` words, both lowest by
+hash. Stretches of different languages are joined into code-switched chains, from
+which the transitions are learned.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 null languages are not learned from; without any labelled text all texts are
 ``und``; repeated rows give equal rows, an empty table an empty result; extra
-columns are ignored. Ids are only used to choose the rows learned from.
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm import common as C
 from tallymark.llm.bpe import slices
 from tallymark.llm.crf import Crf, Tagger, train
-from tallymark.session import stage_table
 
 SAMPLE_DOCS = 400
-SAMPLE_LINES = 1_200
+SAMPLE_STRETCHES = 2_400
 CHAIN_WORDS = 14  # longest stretch of one language in a training chain
 UNDETERMINED = "und"
-WORDS = re.compile(r"[^\W\d_]+|\n")
+WORDS = regex.compile(r"[\p{L}\p{M}]+|\n")  # marks belong to their letters
 
 
-def _sample(docs: DataFrame, docs_per_language: int, lines_per_language: int) -> list[tuple[str, str]]:
-    """(lang, line) of the sample, chosen by hash; languages are a closed set."""
-    counts = {r["lang"]: r["count"] for r in
-              docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().collect()}
+def _sample(docs: DataFrame, texts_per_language: int, stretches_per_language: int) -> list[tuple[str, str]]:
+    """(lang, stretch) of the sample, chosen by hash; languages are a closed set.
+
+    Texts and stretches are distinct before they are chosen, so neither copies nor
+    a line that very many documents share can fill the sample, and ids play no part.
+    """
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return []
     size = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
-    by_hash = lambda *c: Window.partitionBy("lang").orderBy(F.xxhash64(*c), *c)
-    ids = (docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-           .where(C.lowest_share("doc_id", docs_per_language, size))
-           .withColumn("r", F.row_number().over(by_hash("doc_id")))
-           .where(F.col("r") <= docs_per_language).select("doc_id"))
-    # At most docs_per_language ids of each language: small enough to send to every task.
-    rows = (docs.join(F.broadcast(ids), "doc_id", "left_semi")
-            .where("lang IS NOT NULL AND text IS NOT NULL")
-            .select("lang", F.explode(F.split("text", "\n", -1)).alias("line")).where("line <> ''")
-            .withColumn("r", F.row_number().over(by_hash("line")))
-            .where(F.col("r") <= lines_per_language).select("lang", "line").collect())
-    return sorted((r["lang"], r["line"]) for r in rows)
-
-
-def fit(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, lines_per_language: int = SAMPLE_LINES) -> Crf | None:
+
+    def lowest(df: DataFrame, value: str, wanted: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(value), value))
+        return df.withColumn("r", rank).where(F.col("r") <= wanted).drop("r")
+
+    chosen = lowest(rows.where(C.lowest_share("h", texts_per_language, size)).select("lang", "h").distinct(),
+                    "h", texts_per_language)
+    # At most texts_per_language hashes of each language: small enough to send to every task.
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi")
+    words = texts.select("lang", F.explode(F.split("text", "\n", -1)).alias("line")).select(
+        "lang", F.split("line", " ").alias("w"))
+    stretches = words.select("lang", F.explode(F.transform(
+        F.sequence(F.lit(0), F.size("w") - 1, F.lit(CHAIN_WORDS)),
+        lambda i: F.array_join(F.slice("w", i + 1, CHAIN_WORDS), " "))).alias("stretch"))
+    found = lowest(stretches.where("trim(stretch) <> ''").distinct(), "stretch", stretches_per_language).collect()
+    return sorted((r["lang"], r["stretch"]) for r in found)
+
+
+def fit(docs: DataFrame, texts_per_language: int = SAMPLE_DOCS,
+        stretches_per_language: int = SAMPLE_STRETCHES) -> Crf | None:
     """A model from the rows' text and lang; None if there is nothing to learn from."""
     by_language: dict[str, list[list[str]]] = {}
-    for lang, line in _sample(docs, docs_per_language, lines_per_language):
-        words = WORDS.findall(line.lower())
+    for lang, stretch in _sample(docs, texts_per_language, stretches_per_language):
+        words = [w for w in WORDS.findall(stretch.lower()) if w != "\n"]
         if words:
             by_language.setdefault(lang, []).append(words)
     labels = sorted(by_language)
     if not labels:
         return None
     rng = np.random.default_rng(11)
-    stretches = [(i, words[a:a + CHAIN_WORDS]) for i, lang in enumerate(labels) for words in by_language[lang]
-                 for a in range(0, min(len(words), 4 * CHAIN_WORDS), CHAIN_WORDS)]
+    stretches = [(i, words) for i, lang in enumerate(labels) for words in by_language[lang]]
     order, sequences, at = rng.permutation(len(stretches)), [], 0
     while at < len(order):  # chains of one to four stretches
         part = [stretches[i] for i in order[at:at + int(rng.integers(1, 5))]]
@@ -124,8 +132,11 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score", "second_share")
 
 
-def filter_documents(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
-    """The documents with a determined language that most of their words have, with their own columns."""
+def filter_documents(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
+    """The documents with a determined language, with their own columns.
+
+    ``min_score`` also drops those whose leading language has a smaller share.
+    """
     model = fit(_learnable(docs))
     return identify(docs, model, tuple(docs.columns)).where(
         (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")

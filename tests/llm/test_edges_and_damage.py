@@ -1,4 +1,4 @@
-"""Archives, vector codes and the prefix trie: edge tables, brute force, damage."""
+"""Archives, vector codes, the prefix trie and language samples: edge tables, brute force, damage."""
 
 import base64
 import gzip
@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.llm import common, prefix_trie, vector_codes, warc
+from tallymark.llm import common, language_id, prefix_trie, vector_codes, warc
 
 
 def rows(df):
@@ -321,3 +321,38 @@ def test_contraction_of_any_tree(spark, shape):
     got = {r["id"]: (r["worth"], r["one"]) for r in prefix_trie.subtree_totals(tree, ["worth", "one"]).collect()}
     worth, one = brute_totals(parent, value), brute_totals(parent, dict.fromkeys(parent, 1))
     assert got == {i: (worth[i], one[i]) for i in range(n)}
+
+
+# --- 3 ---
+
+
+def language_rows(rng, lang, n, alphabet, ident=None):
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    return [(ident if ident is not None else rng.randrange(1 << 40),
+             "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(3)), lang) for _ in range(n)]
+
+
+@pytest.mark.parametrize("case", ["hot line", "hot id", "hot copy", "one long line", "marks"])
+def test_every_language_is_learned_whatever_is_hot(spark, case):
+    rng = random.Random(case)
+    ident = 4 if case == "hot id" else None
+    rows_ = language_rows(rng, "x", 500, "abcdef", ident) + language_rows(rng, "y", 500, "ghijkl", ident)
+    if case == "hot line":
+        rows_ = [(i, t + "\nshared words of every document", lang) for i, t, lang in rows_]
+    if case == "hot copy":
+        rows_ += [(i, rows_[0][1], "x") for i in range(2000)]
+    if case == "one long line":
+        rows_ = [r for r in rows_ if r[2] == "x"] + [(7, " ".join(t.replace("\n", " ") for _, t, lang in rows_ if lang == "y"), "y")]
+    if case == "marks":  # letters and the marks upon them are one word
+        rows_ = [(i, t.replace("a", "á").replace("g", "गी"), lang) for i, t, lang in rows_]
+    docs = spark.createDataFrame(rows_, "doc_id bigint, text string, lang string")
+    sample = language_id._sample(docs, 50, 200)
+    for lang in "xy":
+        mine = [s for k, s in sample if k == lang]
+        assert len(mine) == len(set(mine)) > 100
+    if case == "one long line":  # not its beginning alone
+        line = rows_[-1][1]
+        assert max(line.index(s) for k, s in sample if k == "y") > 0.8 * len(line)
+    found = language_id.identify(docs, language_id.fit(docs, 50, 200), ("doc_id", "lang"))
+    right = found.select((F.col("row.lang") == F.col("lang_pred")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert right > 0.95

@@ -6,7 +6,7 @@ from compare import difference, duck
 import corpus_pipeline
 from tallymark.llm import jaccard_join, queries
 
-# Queries over documents; the others have edge tables of their own in test_round_three.py.
+# Queries over documents; the others have edge tables of their own in test_edges_and_damage.py.
 OTHERS = ("op11_warc_salvage", "op12_vector_codes", "op13_prefix_trie")
 NAMES = sorted(set(queries.QUERIES) - set(OTHERS))
 
