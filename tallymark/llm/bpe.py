@@ -23,6 +23,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -186,8 +187,8 @@ class Bpe:
             out += [part] if part in self.special else self.word.findall(part)
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        words = [self._word_list(t) for t in texts]
+    def _ready(self) -> None:
+        """Starts the cache, and starts it anew where it has become too large."""
         if len(self.index) > CACHED_WORDS:
             self._forget()
         if not self.index:  # special strings have their ids from the start
@@ -195,6 +196,24 @@ class Bpe:
             self.flat = np.array(list(self.special.values()), dtype=np.int64)
             self.start = np.arange(len(self.special), dtype=np.int64)
             self.size = np.ones(len(self.special), dtype=np.int64)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        words = [self._word_list(t) for t in texts]
+        self._ready()
+        every = list(chain.from_iterable(words))
+        at = np.fromiter(map(self.index.get, every, repeat(-1)), dtype=np.int64, count=len(every))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn({every[i] for i in new})
+            at[new] = [self.index[every[i]] for i in new]
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        so_far = np.r_[0, np.cumsum(self.size[at])]
+        return _gather(self.flat, self.start[at], self.size[at]), np.diff(np.r_[0, so_far[ends]])
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        words = [self._word_list(t) for t in texts]
+        self._ready()
         fresh = set().union(*words).difference(self.index)
         if fresh:
             self._learn(fresh)

@@ -150,8 +150,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             doc_ids = batch.column(0)
             for at, part in slices(batch.column(1).to_pylist()):
-                encoded = bpe.encode_batch(part)
-                sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) + 1
+                ids, sizes = bpe.encode_flat(part)
+                sizes += 1
                 # Pieces of a document: all whole but the first.
                 counts = -(-sizes // capacity)
                 owner = np.repeat(np.arange(len(sizes)), counts)
@@ -163,10 +163,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 flat = np.full(int(sizes.sum()), END_ID, dtype="<u4")
                 inside = np.ones(len(flat), dtype=bool)
                 inside[np.cumsum(sizes) - 1] = False
-                flat[inside] = np.concatenate(encoded)
-                begin = (np.repeat(np.cumsum(sizes) - sizes, counts) + start).tolist()
-                end = (np.array(begin) + length).tolist()
-                crc = [zlib.crc32(flat[a:b]) for a, b in zip(begin, end)]
+                flat[inside] = ids
+                begin = np.repeat(np.cumsum(sizes) - sizes, counts) + start
+                crc = [zlib.crc32(flat[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.take(pa.array(at + owner)), pa.array(piece.astype(np.int32)), pa.array(start),
                      pa.array(length), pa.array(crc, pa.int64())],
