@@ -160,7 +160,8 @@ def links(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple[
     """(nodes, components): every document's set, and (key, root) of linked sets."""
     spark = docs.sparkSession
     nodes = _nodes(docs, percent, words)
-    chosen = _sifted(nodes)
+    # Written before texts are shuffled, so that its own shuffles are gone by then.
+    chosen = stage_table(_sifted(nodes), "chosen")
     # Written before it is filtered: as a condition of the join the set would be
     # made for every document. Ids that repeat bring other sets, or a set twice.
     sets = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(chosen, "doc_id")
