@@ -1219,6 +1219,33 @@ def rate_breach_stream(spark, sf):
                              "request_count bigint").parquet(out)
 
 
+# The declared limits, and lower ones that the events' density breaks.
+_LOW_LIMITS = {f"low_per_{u}": (f"1 {u}", n) for u, n in (("minute", 1), ("hour", 2), ("day", 5))}
+
+
+def _limits_sql(limits, closed: str = "TRUE") -> str:
+    parts = [f"SELECT '{name}' AS limit_name, * FROM ({_rate_sql(window.split()[1], most)}) WHERE {closed}"
+             for name, (window, most) in limits.items()]
+    return " UNION ALL ".join(parts)
+
+
+_ALL_LIMITS = {**rates.RATE_LIMITS, **_LOW_LIMITS}
+query("rate_breach_all", _limits_sql(_ALL_LIMITS))(
+    lambda spark, sf: rates.all_breaches(V.table(spark, sf, "events"), _ALL_LIMITS))
+
+
+@query("rate_breach_all_stream", _limits_sql(
+    _ALL_LIMITS, "window_end <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE"))
+def rate_breach_all_stream(spark, sf):
+    """All limits from one stream over the events file; open windows are held back."""
+    schema = V.table(spark, sf, "events").schema
+    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .parquet(sf))
+    breaches, out = rates.all_breaches(events, _ALL_LIMITS), scratch_path(spark, "breaches")
+    rates.stream_to_parquet(breaches, out, scratch_path(spark, "stream")).awaitTermination()
+    return spark.read.schema(breaches.schema).parquet(out)
+
+
 # --- text report -------------------------------------------------------------------------------
 
 

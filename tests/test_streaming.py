@@ -1,6 +1,9 @@
 """Streams give what the same job gives on a table, and drop late rows."""
 
 import datetime as dt
+import random
+
+import pytest
 
 from tallymark.sources import writers
 from tallymark.streaming import provenance, rates
@@ -43,6 +46,53 @@ def test_named_limits(spark):
     assert rates.named_breaches(df, "chat_burst").count() == 0
 
 
+LIMITS = {"burst": ("1 minute", 2), "sharp_burst": ("1 minute", 3), "hourly": ("1 hour", 4), "daily": ("1 day", 8)}
+
+
+def every_limit(spark, tmp_path, folder):
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = rates.stream_to_parquet(rates.all_breaches(stream, LIMITS), str(tmp_path / "all"), str(tmp_path / "kept"))
+    query.awaitTermination()
+    return found(spark.read.parquet(str(tmp_path / "all"))), query
+
+
+def found(df):
+    return sorted(((r["limit_name"], r["user_id"] or 0, r["window_start"], r["window_end"], r["request_count"])
+                   for r in df.collect()), key=str)
+
+
+def test_all_limits_from_one_pass(spark, tmp_path):
+    folder, rng = str(tmp_path / "events"), random.Random(5)
+    for hour in range(0, 48, 6):  # in order of time, one file after the other
+        start = dt.datetime(2024, 1, 1) + dt.timedelta(hours=hour)
+        rows = [(rng.choice([1, 2, None]), start + dt.timedelta(seconds=rng.choice([rng.randrange(300), rng.randrange(21_600)])))
+                for _ in range(25)]
+        spark.createDataFrame(rows + [(3, None)], SCHEMA).coalesce(1).write.parquet(f"{folder}/{hour:02d}")
+    folder += "/*"
+    batch = found(rates.all_breaches(spark.read.parquet(folder), LIMITS))
+    assert {b[0] for b in batch} == set(LIMITS)
+    for name, (window, most) in LIMITS.items():
+        one = rates.rate_breaches(spark.read.parquet(folder), window, most)
+        assert found(one.selectExpr(f"'{name}' AS limit_name", "*")) == [b for b in batch if b[0] == name]
+
+    last = spark.read.parquet(folder).selectExpr("max(ts)").first()[0] - dt.timedelta(minutes=10)
+    got, query = every_limit(spark, tmp_path, folder)
+    assert got == [b for b in batch if b[3] <= last]
+    states = query.lastProgress["stateOperators"]
+    assert len(states) == 2, "one count of the shortest windows, one state of the longer ones"
+    # Late rows change no window, of whatever length; the rest closes as time goes on.
+    late = [(1, dt.datetime(2024, 1, 1, 0, 1))] * 9
+    spark.createDataFrame(late + [(4, dt.datetime(2024, 1, 9))], SCHEMA).coalesce(1).write.parquet(folder[:-1] + "99")
+    assert every_limit(spark, tmp_path, folder)[0] == batch
+
+
+def test_limits_need_windows_that_nest(spark):
+    df = spark.createDataFrame([(1, at(0))], SCHEMA)
+    with pytest.raises(ValueError, match="multiples"):
+        rates.all_breaches(df, {"a": ("2 minutes", 1), "b": ("5 minutes", 1)})
+    assert rates.all_breaches(df.limit(0)).count() == 0
+
+
 def test_daily_outcomes_stay_current(spark, tmp_path):
     log, out, state = (str(tmp_path / n) for n in ("log", "out", "state"))
 
