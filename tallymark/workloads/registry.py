@@ -659,6 +659,20 @@ def daily_outcomes(spark, sf):
     return daily.daily_outcomes(L.provenance(spark, sf)).drop("total_seconds")
 
 
+@query("daily_outcomes_stream", with_(O.PROVENANCE, body="""
+SELECT CAST(timestamp AS DATE) AS day, success, COUNT(*) AS query_count FROM provenance GROUP BY ALL"""))
+def daily_outcomes_stream(spark, sf):
+    """The same counts kept by a stream over the written log, in several batches with compactions.
+
+    The log's files are written at once, so they come in any order: days stay open for the whole log.
+    """
+    log, out = scratch_path(spark, "log"), scratch_path(spark, "outcomes")
+    writers.append_provenance(L.provenance(spark, sf).repartition(6), log)
+    daily.maintain_daily_outcomes(spark, log, out, scratch_path(spark, "stream"), compact_every=2,
+                                  files_per_batch=2, lateness="20000 days").awaitTermination()
+    return daily.current_daily_outcomes(spark, out).drop("total_seconds")
+
+
 def _profile_sql() -> str:
     """Hints, nulls and distinct values of every column of every table."""
     return " UNION ALL ".join(f"""

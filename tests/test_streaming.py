@@ -1,6 +1,7 @@
 """Streams give what the same job gives on a table, and drop late rows."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -110,3 +111,46 @@ def test_daily_outcomes_stay_current(spark, tmp_path):
     batch = {(r["day"].day, r["success"]): r["query_count"]
              for r in provenance.daily_outcomes(writers.read_provenance(spark, log)).collect()}
     assert got == batch == {(1, True): 1, (1, False): 1, (2, True): 2}
+
+
+def test_compaction_bounds_the_folder_and_replays_change_nothing(spark, tmp_path):
+    out, want = str(tmp_path / "out"), {}
+
+    def batch(n):
+        day, rows = dt.date(2024, 1, 1) + dt.timedelta(days=n // 3), [(n // 3, True), (n // 3, False)]
+        return spark.createDataFrame([(day, s, n + 1, float(n)) for _, s in rows[:1 + n % 2]],
+                                     provenance.NEWEST).coalesce(1)
+
+    def current():
+        rows = provenance.current_daily_outcomes(spark, out).collect()
+        assert len({(r["day"], r["success"]) for r in rows}) == len(rows)
+        return {(r["day"], r["success"]): (r["query_count"], r["total_seconds"]) for r in rows}
+
+    assert current() == {}
+    before = None
+    for n in range(50):
+        if n == 30:  # a reader that planned before two batches and no compaction since
+            before = provenance.current_daily_outcomes(spark, out)
+            planned = dict(want)
+        provenance.keep_batch(batch(n), n, out, compact_every=5)
+        want.update({(r["day"], r["success"]): (r["query_count"], r["total_seconds"]) for r in batch(n).collect()})
+        names = os.listdir(out)
+        assert sum(x.startswith("batch=") for x in names) <= 10 and sum(x.startswith("base=") for x in names) <= 2
+        if n == 34:  # one compaction later its files are still there
+            assert {(r["day"], r["success"]): (r["query_count"], r["total_seconds"]) for r in before.collect()} == planned
+        if n in (3, 4, 5, 44, 49):
+            assert current() == want
+            provenance.keep_batch(batch(n), n, out, compact_every=5)  # the batch again
+            assert current() == want
+    with pytest.raises(ValueError, match="another checkpoint"):
+        provenance.keep_batch(batch(0), 0, out, compact_every=5)
+    assert current() == want
+
+
+def test_a_base_without_its_pointer_is_not_read(spark, tmp_path):
+    out = str(tmp_path / "out")
+    row = spark.createDataFrame([(dt.date(2024, 1, 1), True, 3, 1.0)], provenance.NEWEST)
+    provenance.keep_batch(row, 0, out, compact_every=5)
+    row.selectExpr("day", "success", "query_count + 90 AS query_count", "total_seconds", "9L AS batch").write.parquet(
+        f"{out}/base=9")
+    assert [r["query_count"] for r in provenance.current_daily_outcomes(spark, out).collect()] == [3]
