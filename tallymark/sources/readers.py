@@ -44,15 +44,34 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
             .select("path", "length", "modificationTime"))
 
 
+def tables_below(spark: SparkSession, folder: str, pattern: str = "*") -> list[str]:
+    """Paths of the tables below a folder, in order: files, or folders of part files.
+
+    The outermost name below ``folder`` that matches is the table, whatever the names
+    of the files in it; Spark's own marks (``_SUCCESS``) are not listed.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    root = system.makeQualified(path).toString().rstrip("/") + "/"
+    glob = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern)
+    found: dict[str, None] = {}
+    for row in list_files(spark, folder).select("path").orderBy("path").collect():
+        below = row["path"].removeprefix(root)
+        steps = below.split("/")
+        depth = next((i for i, step in enumerate(steps) if glob.matches(step)), None)
+        if depth is not None:
+            found[row["path"].removesuffix(below) + "/".join(steps[:depth + 1])] = None
+    return list(found)
+
+
 def register_folder(spark: SparkSession, folder: str, pattern: str = "*.parquet",
                     named: bool = False) -> list[str]:
-    """Register every matching file of a folder; unreadable ones are skipped.
+    """Register every matching file, or folder of part files, of a folder; unreadable ones are skipped.
 
     ``named`` keeps the whole file stem as view name.
     """
     views = []
-    for row in list_files(spark, folder, pattern).select("path").orderBy("path").collect():
-        path = row["path"]
+    for path in tables_below(spark, folder, pattern):
         stem = re.sub(r"\.parquet$", "", path.rsplit("/", 1)[-1])
         try:
             views.append(register_parquet(spark, path, stem if named else None))

@@ -59,6 +59,20 @@ def test_register_folder_of_files(spark, sf_dir):
     assert "lineitem" in views and len(views) == 14
 
 
+def test_a_folder_of_part_files_is_one_table(spark, tmp_path):
+    """Tables of one file, of many part files and of partitions are one view each."""
+    rows = spark.range(0, 100, 1, 5)
+    for name in ("visits.parquet", "more/claims.parquet"):
+        rows.write.parquet(str(tmp_path / name))
+    rows.selectExpr("id", "id % 3 AS part").write.partitionBy("part").parquet(str(tmp_path / "paid.parquet"))
+    single = next((tmp_path / "visits.parquet").glob("part-*.parquet"))
+    (tmp_path / "codes.parquet").write_bytes(single.read_bytes())
+    views = readers.register_folder(spark, str(tmp_path), named=True)
+    assert sorted(views) == ["claims", "codes", "paid", "visits"]
+    counts = {v: spark.table(v).count() for v in views}
+    assert counts == {"claims": 100, "codes": 20, "paid": 100, "visits": 100}
+
+
 def test_jdbc_options_are_read_only_and_partitioned():
     options = readers.jdbc_options("jdbc:mysql://db/billing", "SELECT * FROM payment;", user="u",
                                    partition_column="id", lower=1, upper=100, partitions=8)
