@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one reads:
 documents that fail the quality rules go, then those without a determined
-language, then all but one document of each near-duplicate group (shingles of
+language (no letter, or words of none of the learned languages), then all but one document of each near-duplicate group (shingles of
 five words, similarity 0.8 or more; op9 has its own contract); the rest is
 packed into sequences. All but the last return the columns of documents.
 """

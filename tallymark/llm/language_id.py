@@ -32,6 +32,7 @@ SAMPLE_DOCS = 400
 SAMPLE_STRETCHES = 2_400
 CHAIN_WORDS = 14  # longest stretch of one language in a training chain
 UNDETERMINED = "und"
+MIN_CERTAINTY = 1 / 3  # below, two thirds of the words are guesses
 WORDS = regex.compile(r"[\p{L}\p{M}]+|\n")  # marks belong to their letters
 
 
@@ -87,11 +88,15 @@ def fit(docs: DataFrame, texts_per_language: int = SAMPLE_DOCS,
 
 
 def identify(docs: DataFrame, model: Crf | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The struct ``row`` of the columns ``keep``, lang_pred, score, and the share of the second language."""
+    """The struct ``row`` of the columns ``keep``, lang_pred, score, the share of the second language, and certainty.
+
+    Certainty is 0 where no word favours a language and 1 where every word has one,
+    whichever it is: clean mixed text has a high one. One learned language is certain.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
     if model is None:
         return docs.select(row, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"),
-                           F.lit(0.0).alias("second_share"))
+                           F.lit(0.0).alias("second_share"), F.lit(0.0).alias("certainty"))
     sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights.astype(np.float32), model.transitions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +110,9 @@ def identify(docs: DataFrame, model: Crf | None, keep: tuple[str, ...] = ("doc_i
                 n = np.bincount(text, minlength=len(part))
                 shares = np.stack([np.bincount(text, weights=marginals[:, k], minlength=len(part))
                                    for k in range(len(labels))], axis=1) / np.maximum(n, 1)[:, None]
+                sure = np.bincount(text, weights=marginals.max(axis=1), minlength=len(part)) / np.maximum(n, 1)
+                chance = 1 / len(labels)
+                sure = (sure - chance) / (1 - chance) if chance < 1 else np.ones(len(part))
                 ranked = np.sort(shares, axis=1)
                 best = shares.argmax(axis=1)
                 # Signs such as superscript digits count as word characters but are no letters.
@@ -114,10 +122,11 @@ def identify(docs: DataFrame, model: Crf | None, keep: tuple[str, ...] = ("doc_i
                 second = np.where(silent | (len(labels) < 2), 0.0, ranked[:, -2] if len(labels) > 1 else 0.0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row").slice(at, len(part)), pa.array(names[best], pa.string()),
-                     pa.array(score), pa.array(second)], ["row", "lang_pred", "score", "second_share"])
+                     pa.array(score), pa.array(second), pa.array(np.where(silent, 0.0, np.clip(sure, 0, 1)))],
+                    ["row", "lang_pred", "score", "second_share", "certainty"])
     rows = docs.select(row, "text")
     return rows.mapInArrow(run, rows.select("row").schema.add("lang_pred", "string").add("score", "double")
-                           .add("second_share", "double"))
+                           .add("second_share", "double").add("certainty", "double"))
 
 
 def _learnable(docs: DataFrame) -> DataFrame:
@@ -132,11 +141,12 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score", "second_share")
 
 
-def filter_documents(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
+def filter_documents(docs: DataFrame, min_certainty: float = MIN_CERTAINTY) -> DataFrame:
     """The documents with a determined language, with their own columns.
 
-    ``min_score`` also drops those whose leading language has a smaller share.
+    Text of a language or script that was not learned has words without a likeliest
+    language, and goes; clean text mixed from several learned languages stays.
     """
     model = fit(_learnable(docs))
     return identify(docs, model, tuple(docs.columns)).where(
-        (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")
+        (F.col("lang_pred") != UNDETERMINED) & (F.col("certainty") >= min_certainty)).select("row.*")

@@ -356,3 +356,20 @@ def test_every_language_is_learned_whatever_is_hot(spark, case):
     found = language_id.identify(docs, language_id.fit(docs, 50, 200), ("doc_id", "lang"))
     right = found.select((F.col("row.lang") == F.col("lang_pred")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
     assert right > 0.95
+
+
+def test_language_filter_drops_unlearned_scripts_and_keeps_mixed_text(spark):
+    """The tagger has no ground to label words of a script it never saw; a mix of learned languages is clean."""
+    rng = random.Random(5)
+    letters = {"x": "abcde", "y": "fghij", "z": "klmno", "w": "pqrst"}
+
+    def words(lang, n):
+        return [" ".join("".join(rng.choices(letters[lang], k=rng.randint(2, 6))) for _ in range(n))]
+
+    learned = [(i, words(lang, 40)[0], lang) for i, lang in enumerate("xyzw" * 60)]
+    mixed = " ".join(w for lang in "xyzw" for w in words(lang, 12))
+    odd = ["Быстрая лиса прыгает через ленивую собаку " * 5, "η γρήγορη καφετιά αλεπού πηδά " * 5, "1234 5678"]
+    asked = [(10_000, mixed, None)] + [(10_001 + i, t, None) for i, t in enumerate(odd)]
+    docs = spark.createDataFrame(learned + asked, "doc_id bigint, text string, lang string")
+    left = {r["doc_id"] for r in language_id.filter_documents(docs).collect()}
+    assert left == {r[0] for r in learned} | {10_000}
