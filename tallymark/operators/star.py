@@ -2,7 +2,8 @@
 
 Filters here are plain SQL predicates and drop nulls, unlike the encounter
 filters. Measures are summed per join key before each join, so the rows that
-cross a shuffle are one per key however many lines or payments a key has.
+cross a shuffle are one per key however many lines or payments a key has. Sums per
+line are staged in small tasks: they hold every line of a task in memory.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import exprs as X
+from tallymark.session import stage_table
 
 Star = Mapping[str, DataFrame]
 
@@ -108,10 +110,11 @@ def payments_by_year(star: Star) -> DataFrame:
                  .groupBy("visit_id").agg(F.sum("amount").alias("amount"),
                                           F.sum("payment_count").alias("payment_count")))
     visits = kept_visits(star).select("id", "visit_date")
-    return (visits.join(per_visit, F.col("id") == F.col("visit_id"))
-            .groupBy(F.year("visit_date").alias("year"))
-            .agg(X.total(F.col("amount")).alias("payments"),
-                 F.sum("payment_count").alias("payment_count")))
+    by_year = (visits.join(per_visit, F.col("id") == F.col("visit_id"))
+               .groupBy(F.year("visit_date").alias("year"))
+               .agg(X.total(F.col("amount")).alias("payments"),
+                    F.sum("payment_count").alias("payment_count")))
+    return stage_table(by_year, "payments", small_tasks=True)
 
 
 def lines_left_payments(star: Star) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +24,14 @@ SESSION_CONF = {
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+# Steps that keep a row per key in memory: what one task reads stays this small while
+# the input grows. Spark's own 64 and 128 MB are of packed bytes; long keys take
+# twenty times that in a hash table.
+SMALL_TASKS = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
+    "spark.sql.files.maxPartitionBytes": "32MB",
+}
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
@@ -54,22 +63,32 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stage_table(df, label: str):
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Holds session settings while jobs run, and puts back what was there."""
+    held = {key: spark.conf.get(key) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+
+
+def stage_table(df, label: str, small_tasks: bool = False):
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several aggregations share an expensive input: the lineage is
     cut by files that outlive any executor. The files go when the driver ends.
+    ``small_tasks`` is for steps whose memory goes with the keys of a task.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     # What the write shuffled has served once it is done: its files need not wait
     # for the driver to collect its garbage.
-    held = spark.conf.get(FREE_SHUFFLES)
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
+    with settings(spark, {FREE_SHUFFLES: "true", **(SMALL_TASKS if small_tasks else {})}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(FREE_SHUFFLES, held)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallymark import session
 from tallymark.operators import denials as D
 from tallymark.operators import history as H
 from tallymark.operators import metrics as M
@@ -69,3 +71,27 @@ def test_date_presets_meet_visits_before_lines_are_summed(spark, sf_dir):
     plan = star.charges_in(V.star(spark, sf_dir), "week", "2001-08-01")._jdf.queryExecution()
     text = plan.optimizedPlan().toString()
     assert text.rindex("Aggregate") < text.index("Join")
+
+
+def test_steps_by_key_run_in_small_tasks(spark):
+    """Keys of 8 bytes and more: Spark's own 64 MB would put them all into one task."""
+    keys = spark.range(2_000_000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.lit(1), "id").alias("b"))
+    rows = keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    with session.settings(spark, {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}):
+        usual = len(session.stage_table(rows, "usual").inputFiles())
+        small = session.stage_table(rows, "small", small_tasks=True)
+    assert usual == 1 and len(small.inputFiles()) > 1
+    assert small.count() == 2_000_000
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+
+
+@pytest.mark.parametrize("build, label", [(star.payments_by_year, "payments-")])
+def test_payments_per_line_are_summed_in_small_tasks(spark, sf_dir, monkeypatch, build, label):
+    asked = []
+    def staged(df, name, small_tasks=False):
+        asked.append(small_tasks)
+        return session.stage_table(df, name, small_tasks)
+    monkeypatch.setattr(star, "stage_table", staged, raising=False)
+    assert label in build(V.star(spark, sf_dir)).inputFiles()[0]
+    assert asked == [True]
