@@ -127,11 +127,12 @@ def lines_left_payments(star: Star) -> DataFrame:
         F.count(F.lit(1)).alias("line_count"), F.count("encounter_id").alias("paid_lines"),
         F.sum("amount").alias("amount"))
     visits = kept_visits(star).select("id", "visit_date")
-    return (visits.join(per_visit, F.col("id") == F.col("visit_id"))
-            .groupBy(F.year("visit_date").alias("year"))
-            .agg(F.sum("line_count").alias("line_count"),
-                 F.sum("paid_lines").alias("paid_lines"),
-                 X.total(F.col("amount")).alias("payments")))
+    by_year = (visits.join(per_visit, F.col("id") == F.col("visit_id"))
+               .groupBy(F.year("visit_date").alias("year"))
+               .agg(F.sum("line_count").alias("line_count"),
+                    F.sum("paid_lines").alias("paid_lines"),
+                    X.total(F.col("amount")).alias("payments")))
+    return stage_table(by_year, "left_payments", small_tasks=True)
 
 
 def visits_by_status(star: Star) -> DataFrame:

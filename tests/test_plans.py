@@ -86,7 +86,7 @@ def test_steps_by_key_run_in_small_tasks(spark):
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
 
 
-@pytest.mark.parametrize("build, label", [(star.payments_by_year, "payments-")])
+@pytest.mark.parametrize("build, label", [(star.payments_by_year, "payments-"), (star.lines_left_payments, "left_payments-")])
 def test_payments_per_line_are_summed_in_small_tasks(spark, sf_dir, monkeypatch, build, label):
     asked = []
     def staged(df, name, small_tasks=False):
