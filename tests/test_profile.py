@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import statistics
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,26 @@ def test_samples_are_the_smallest_distinct_values(spark):
     rows = [("NA",), ("CA",), ("GA",), ("PA",), ("VA",), ("CA",), (None,)]
     got = P.sample_values(spark.createDataFrame(rows, "state string")).orderBy("position").collect()
     assert [r["value"] for r in got] == ["CA", "GA", "NA", "PA", "VA"]
+
+
+def test_distinct_keys_are_exact_for_every_kind_and_width(spark):
+    """Wide and narrow decimals, scales, signs, zeros of doubles, NaN, dates and texts, against DISTINCT."""
+    cents = [0, 1, -1, 10, 100, 12345, -99999, 2**62, 2**63 - 1]
+    rows = [(Decimal(c).scaleb(-2), Decimal(c * 10**k).scaleb(-8), Decimal(c * 10**k), c, c % 5, float(c) * (-1) ** k, str(c))
+            for c in cents for k in (0, 1, 12)]
+    rows += [(None,) * 7, (None,) * 7, (None, None, None, None, None, float("nan"), "")]
+    df = spark.createDataFrame(rows, "narrow decimal(21,2), scaled decimal(38,8), whole decimal(38,0), big bigint, "
+                                     "small int, double double, text string")
+    df = df.withColumn("fits", F.expr("try_cast(narrow AS decimal(12,2))")).withColumn("day", F.expr("date_add(DATE'2001-01-01', small)"))
+    found = {r["column_name"]: (r["unique_count"], r["null_count"]) for r in P.profile_nulls(df).collect()}
+    for name in df.columns:
+        c = F.when(~F.isnan("double"), F.col("double")) if name == "double" else F.col(name)
+        want = df.agg(F.count_distinct(c), F.count_if(c.isNull())).first()
+        assert found[name] == tuple(want), name
+
+
+def test_keys_of_numbers_are_their_values(spark):
+    """Not a hash, which would not pack: wide decimals too while they fit a long."""
+    df = spark.sql("SELECT CAST(12.34 AS decimal(21,2)) AS d, 7 AS i")
+    keys = {r["position"]: (r["a"], r["b"]) for r in P._key_counts(df, df.columns).collect()}
+    assert keys == {"0": (1234, 0), "1": (7, 0)}
