@@ -854,21 +854,22 @@ SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS null_count, CAST(MIN({c})
 def merged_profile(spark, sf):
     """States of thirteen parts of the encounters, merged; sketches are held against exact figures."""
     df = V.encounters(spark, sf).select("visit_id", "charge", "balance", "unit", "total_payment")
-    df = stage_table(df, "profiled")
+    df = stage_table(df, "profiled", small_tasks=True)
+    names = [c for c in df.columns if c != "visit_id"]
     parts = PS.states(df, "enc", (F.col("visit_id") % 13).cast("string"))
     rough = PS.profile(PS.merge(parts)).filter("column_name <> 'visit_id'")
-    exact = P.profile_nulls(df).select("column_name", F.col("unique_count").alias("exact_count"))
-    names = [c for c in df.columns if c != "visit_id"]
+    exact = P.profile_nulls(df.select(*names)).select("column_name", F.col("unique_count").alias("exact_count"))
     ranks = df.unpivot([], [F.col(c).cast("double").alias(c) for c in names], "column_name", "x").join(
         F.broadcast(rough.select("column_name", "median")), "column_name").groupBy("column_name").agg(
         (F.count_if(F.col("x") < F.col("median")) / F.count("x")).alias("below"),
         (F.count_if(F.col("x") <= F.col("median")) / F.count("x")).alias("up_to"))
     error = F.lit(PS.RANK_ERROR)
-    return rough.join(exact, "column_name").join(ranks, "column_name").select(
+    found = rough.join(exact, "column_name").join(ranks, "column_name").select(
         "column_name", "null_count", "min", "max",
         (F.abs(F.col("unique_count") - F.col("exact_count")) <= F.col("exact_count") * PS.DISTINCT_ERROR + 1)
         .alias("distinct_close"),
         ((F.col("below") <= 0.5 + error) & (F.col("up_to") >= 0.5 - error)).alias("median_close"))
+    return stage_table(found, "merged_profile", small_tasks=True)
 
 
 def _numeric_sql(table: str, columns) -> str:
