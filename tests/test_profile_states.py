@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import profile as P
 from tallymark.operators import profile_states as S
-from tallymark.workloads import views as V
+from tallymark.workloads import registry, views as V
 
 
 def table(spark):
@@ -94,3 +94,15 @@ def test_frequent_pieces_do_not_shuffle_every_value(spark):
     assert held.where("kind = 'value'").count() <= 100
     top = [r["n"] for r in P.top_pieces(df).where("kind = 'value'").orderBy("position").collect()]
     assert top == [5_000, 5_000, 5_000, 1, 1]
+
+
+def test_merged_profile_counts_only_what_it_compares(spark, sf_dir, monkeypatch):
+    """The unique visit ids are not counted, and both of its tables are made in small tasks."""
+    counted, staged = [], []
+    nulls, stage = registry.P.profile_nulls, registry.stage_table
+    monkeypatch.setattr(registry.P, "profile_nulls", lambda df: counted.append(df.columns) or nulls(df))
+    monkeypatch.setattr(registry, "stage_table", lambda df, label, small_tasks=False: staged.append(
+        (label, small_tasks)) or stage(df, label, small_tasks))
+    rows = registry.QUERIES["merged_profile"](spark, sf_dir).collect()
+    assert {r["column_name"] for r in rows} == {"charge", "balance", "unit", "total_payment"} == set(counted[0])
+    assert staged == [("profiled", True), ("merged_profile", True)]
