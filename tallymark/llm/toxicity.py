@@ -118,20 +118,21 @@ def toxic_words(labelled: DataFrame) -> DataFrame | None:
     texts = (labelled.select(F.col("toxic").cast("int").alias("toxic"), words.alias("w")).where("size(w) > 0")
              .withColumn("own", F.xxhash64("w")))
     kin = stage_table(families(texts), "families")
-    groups = kin.groupBy("toxic", "family").agg(F.sum("rows").alias("rows"))
+    groups = kin.groupBy("toxic", "family").agg(F.sum("rows").alias("members"))
     totals = {r["toxic"]: r["count"] for r in groups.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return None
-    # Only texts with copies have a family here; words of all others are just counted.
-    copied = (kin.join(groups.where("rows > 1").select("toxic", "family"), ["toxic", "family"])
-              .select("toxic", "own", "family"))
-    placed = (texts.join(copied, ["toxic", "own"], "left")
-              .select("toxic", "family", F.explode(F.array_distinct("w")).alias("word"))
-              .groupBy("word", "toxic", "family").count())
-    weight = F.when(F.col("family").isNull(), F.col("count")).otherwise(1)
-    words = placed.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, weight).otherwise(0)).alias("t"),
-                                       F.sum(F.when(F.col("toxic") == 0, weight).otherwise(0)).alias("n"))
+    # The words of all rows are counted where their texts lie. Only texts with copies are
+    # shuffled, to take off again what a family counts beyond one.
+    copied = stage_table(kin.join(groups, ["toxic", "family"]).select("toxic", "own", "family", "members"), "copied")
+    each = F.explode(F.array_distinct("w")).alias("word")
+    beyond = (texts.join(copied.where("members > 1"), ["toxic", "own"])
+              .select("toxic", "family", each).groupBy("word", "toxic", "family").agg((1 - F.count("*")).alias("c")))
+    words = (texts.select(each, "toxic", F.lit(1).cast("bigint").alias("c"))
+             .unionByName(stage_table(beyond.where("c < 0").drop("family"), "beyond", keys_first=True))
+             .groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("c")).otherwise(0)).alias("t"),
+                                  F.sum(F.when(F.col("toxic") == 0, F.col("c")).otherwise(0)).alias("n")))
     return (words.where(_marks_toxic(toxic, clean)).select("word", ((F.col("t") + 0.5) / (F.col("t") + F.col("n") + 1)).alias("p")))
 
 
@@ -253,12 +254,13 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: every document's toxicity, from a model that never saw the held-out labels."""
     docs = C.table(spark, sf_dir, "documents")
     held_out = C.is_held_out(F.col("doc_id"), 3, 1)
-    labels = (C.table(spark, sf_dir, "labels").where(~held_out & F.col("toxic").isin(0, 1))
-              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    # Joined once and written, since several statistics read it. Labels grow with the
-    # documents, so the join is one of two shuffles at every size.
+    known = F.col("toxic").isin(0, 1)
+    labels = stage_table(C.table(spark, sf_dir, "labels").where(~held_out & known)
+                         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
+    # Joined once and written, since several statistics read it. Said again, the condition
+    # shows Spark that labels may be few, and texts without one are not shuffled.
     labelled = stage_table(docs.select("doc_id", "text").where(~held_out)
-                           .join(labels.hint("merge"), "doc_id"), "labelled")
+                           .join(labels.where(known), "doc_id"), "labelled", keys_first=True)
     return score(docs, fit(labelled)).select(
         "doc_id", held_out.alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"),

@@ -32,6 +32,19 @@ SMALL_TASKS = {
     "spark.sql.files.maxPartitionBytes": "32MB",
 }
 
+# Joins that need few rows of a wide table: a Bloom filter of the other side's keys (8 MB at
+# most, whatever the size of the tables) keeps most others from being shuffled. Spark makes
+# one where a condition on the narrow side is likely to drop rows; by default only from 10 GB on.
+# The narrow side grows with the input too, so it is broadcast at no size.
+KEYS_FIRST = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "16GB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "67108864",
+}
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
@@ -76,18 +89,20 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.set(key, value)
 
 
-def stage_table(df, label: str, small_tasks: bool = False):
+def stage_table(df, label: str, small_tasks: bool = False, keys_first: bool = False):
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several aggregations share an expensive input: the lineage is
     cut by files that outlive any executor. The files go when the driver ends.
-    ``small_tasks`` is for steps whose memory goes with the keys of a task.
+    ``small_tasks`` is for steps whose memory goes with the keys of a task,
+    ``keys_first`` for joins that drop most rows of a wide side.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     # What the write shuffled has served once it is done: its files need not wait
     # for the driver to collect its garbage.
-    with settings(spark, {FREE_SHUFFLES: "true", **(SMALL_TASKS if small_tasks else {})}):
+    with settings(spark, {FREE_SHUFFLES: "true", **(SMALL_TASKS if small_tasks else {}),
+                          **(KEYS_FIRST if keys_first else {})}):
         df.write.parquet(path)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from reference_join import components as brute_components
 
+from tallymark import session
 from tallymark.llm import bpe, crf, jaccard_join, language_id, license_scan, merkle, packing, quality_qda
 from tallymark.llm import common, quality_rules, ring_shards, toxicity
 from tallymark.llm.components import components
@@ -291,6 +292,28 @@ def test_copies_hide_no_toxic_word(spark):
     assert toxicity.fit(_labelled(spark, copied, clean)) is not None
 
 
+def staged_plans(spark, monkeypatch, module):
+    """Plans of the tables that ``module`` writes from now on, by label, as they are written."""
+    plans, stage = {}, module.stage_table
+
+    def noted(df, label, **how):
+        with session.settings(spark, session.KEYS_FIRST if how.get("keys_first") else {}):
+            plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, label, **how)
+    monkeypatch.setattr(module, "stage_table", noted)
+    return plans
+
+
+def test_only_texts_that_count_are_shuffled(spark, sf_dir, monkeypatch):
+    """Texts without a label, and at the second join those without copies, stay where they are."""
+    plans = staged_plans(spark, monkeypatch, toxicity)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = toxicity.toxicity_query(spark, sf_dir)
+    assert rows.count() == docs.count()
+    for label in ("labelled", "beyond"):
+        assert "might_contain" in plans[label][0].split("FileScan")[0] and "Broadcast" not in plans[label][0]
+
+
 def test_unlike_documents_never_merge(spark):
     """Two words that every min-hash of one function picks do not make texts copies."""
     rng = random.Random(6)
