@@ -42,6 +42,7 @@ from tallymark.session import stage_table
 
 WORDS, PERCENT = 3, 90  # of op9
 SIFT = 10  # per cent of a set that step 1 asks to be shared
+PASSES = 4  # over ranges of tokens in step 1: the tokens of one range are on disk at a time
 CLASSES = 1 << 18  # hash classes of tokens: the table of their counts has 1 MB
 FREQUENT = 64  # members under one signature from which a token counts as frequent
 SHORT_PREFIX = 8  # longest prefix whose frequent tokens are indexed by pairs
@@ -80,12 +81,18 @@ def _nodes(docs: DataFrame, percent: int, words: int) -> DataFrame:
 
 
 def _sifted(nodes: DataFrame) -> DataFrame:
-    """Ids of one document for each set that may have a partner."""
-    tokens = nodes.where("size(head) > 0").select("key", "doc_id", "shared", F.explode("head").alias("token"))
-    common = (tokens.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b"))
-              .where("a <> b").select("token"))
-    return (tokens.join(common, "token").groupBy("key", "doc_id", "shared").count()
-            .where("count >= shared").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
+    """(key, doc_id) of one document for each set that may have a partner, among rows
+    with the tokens looked at (``seen``) and those that had to be (``shared``)."""
+    seen = None
+    for k in range(PASSES):
+        part = F.filter("head", lambda t: F.pmod(t, F.lit(PASSES)) == k)
+        tokens = nodes.where("size(head) > 0").select("key", "doc_id", "shared", F.explode(part).alias("token"))
+        common = (tokens.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+                  .where("a <> b").select("token"))
+        found = stage_table(tokens.join(common, "token").groupBy("key", "doc_id", "shared").count(), "sifted")
+        seen = found if seen is None else seen.unionAll(found)
+    return (seen.groupBy("key", "doc_id", "shared").agg(F.sum("count").alias("seen")).where("seen >= shared")
+            .groupBy("key").agg(F.min(F.struct("doc_id", "seen", "shared")).alias("d")).select("key", "d.*"))
 
 
 def _class_counts(sets: DataFrame) -> np.ndarray:
@@ -161,14 +168,14 @@ def links(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple[
     spark = docs.sparkSession
     nodes = _nodes(docs, percent, words)
     # Written before texts are shuffled, so that its own shuffles are gone by then.
-    chosen = stage_table(_sifted(nodes), "chosen")
-    # Written before it is filtered: as a condition of the join the set would be
+    chosen = stage_table(_sifted(nodes), "chosen").where("seen >= shared").select("key", "doc_id")
+    # Only texts of chosen ids are shuffled. Written before it is filtered: as a condition of the join the set would be
     # made for every document. Ids that repeat bring other sets, or a set twice.
     sets = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(chosen, "doc_id")
             .select("doc_id", "key", shingle_set(C.whole_text(), words).alias("s"))
             # The id leads, so rows stay where the join has put them.
             .withColumn("own", F.xxhash64("s", F.size("s").cast("bigint"))).dropDuplicates(["doc_id", "key", "own"]))
-    sets = stage_table(sets, "candidates").where("key = own").drop("doc_id", "own")
+    sets = stage_table(sets, "candidates", keys_first=True).where("key = own").drop("doc_id", "own")
     found = stage_table(_signatures(stage_table(
         _prefixes(sets, _class_counts(sets), percent), "prefixes"), percent), "signatures")
 

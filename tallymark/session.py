@@ -32,7 +32,7 @@ SMALL_TASKS = {
     "spark.sql.files.maxPartitionBytes": "32MB",
 }
 
-# Joins that need few rows of a wide table: a Bloom filter of the other side's keys (8 MB at
+# Joins that need few rows of a wide table: a Bloom filter of the other side's keys (4 MB at
 # most, whatever the size of the tables) keeps most others from being shuffled. Spark makes
 # one where a condition on the narrow side is likely to drop rows; by default only from 10 GB on.
 # The narrow side grows with the input too, so it is broadcast at no size.
@@ -42,7 +42,7 @@ KEYS_FIRST = {
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "16GB",
     "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
-    "spark.sql.optimizer.runtime.bloomFilter.numBits": "67108864",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "33554432",
 }
 
 

@@ -223,6 +223,23 @@ def test_join_equals_brute_force(spark, monkeypatch):
     assert found == brute_components(dict(enumerate(texts)))
 
 
+def test_sift_in_ranges_of_tokens(spark, monkeypatch):
+    """The ranges sift as one pass would, each holds its share of the tokens, and few texts move."""
+    rng = random.Random(9)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    base = [text() for _ in range(12)]
+    docs = frame(spark, [" ".join(b[:-1] + [f"z{i}"]) for i in range(2) for b in base] + [" ".join(text()) for _ in range(60)])
+    nodes = jaccard_join._nodes(docs, 90, 3)
+    chosen = {}
+    for passes in (1, jaccard_join.PASSES):
+        monkeypatch.setattr(jaccard_join, "PASSES", passes)
+        chosen[passes] = sorted(map(tuple, jaccard_join._sifted(nodes).select("key", "doc_id").collect()))
+    assert passes > 1 and chosen[1] == chosen[passes] and {d for _, d in chosen[1]} == set(range(24))
+    plans = staged_plans(spark, monkeypatch, jaccard_join)
+    jaccard_join.jaccard_components(docs).collect()
+    assert len(plans["sifted"]) == passes and "might_contain" in plans["candidates"][0]
+
+
 # --- 3, 8, 2 ---
 
 def test_chain_marginals_equal_enumeration():
