@@ -80,7 +80,13 @@ FILE_NAME_SQL = (f"concat(url, {choose_sql(f'CAST(page_id % {len(EXTENSIONS)} AS
 SHEET_SQL = choose_sql(
     f"CAST(page_id % {len(SHEETS)} AS INT)",
     [fill_sql(s, "{p}", "CAST(page_id AS STRING)") for s in SHEETS])
-SIZE_SQL = "CASE WHEN page_id % 17 = 0 THEN 0 ELSE length(html) * 20000 END"
+
+
+def size_sql(characters: str) -> str:
+    return f"CASE WHEN page_id % 17 = 0 THEN 0 ELSE {characters} * 20000 END"
+
+
+SIZE_SQL = size_sql("length(html)")
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +114,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upload manifest: one file per page, a minute apart."""
+    """Upload manifest: one file per page, a minute apart.
+
+    Spark's lengths are ints, which the bytes of a page over 107,374 characters exceed.
+    """
     return table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("file_id"), (F.col("page_id") % 40).alias("chat_id"),
         (F.col("page_id") % 8).alias("user_id"), F.expr(FILE_NAME_SQL).alias("original_name"),
-        F.expr(f"CAST({SIZE_SQL} AS BIGINT)").alias("size_bytes"),
+        F.expr(size_sql("CAST(length(html) AS BIGINT)")).alias("size_bytes"),
         F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(page_id AS INT))")
         .alias("uploaded_at"))
 
