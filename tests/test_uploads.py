@@ -18,6 +18,6 @@ def long_pages(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["quota_usage"])
+@pytest.mark.parametrize("name", ["quota_usage", "storage_usage"])
 def test_sizes_beyond_an_int(name, spark, long_pages):
     assert difference(registry.QUERIES[name](spark, long_pages), duck(long_pages), registry.ORACLE[name]) is None
