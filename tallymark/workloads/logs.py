@@ -122,7 +122,7 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").alias("file_id"), (F.col("page_id") % 40).alias("chat_id"),
         (F.col("page_id") % 8).alias("user_id"), F.expr(FILE_NAME_SQL).alias("original_name"),
         F.expr(size_sql("CAST(length(html) AS BIGINT)")).alias("size_bytes"),
-        F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(page_id AS INT))")
+        F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + page_id * INTERVAL '1' MINUTE")
         .alias("uploaded_at"))
 
 

@@ -18,6 +18,14 @@ def long_pages(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["quota_usage", "storage_usage"])
+@pytest.mark.parametrize("name", ["quota_usage", "storage_usage", "upload_manifest"])
 def test_sizes_beyond_an_int(name, spark, long_pages):
     assert difference(registry.QUERIES[name](spark, long_pages), duck(long_pages), registry.ORACLE[name]) is None
+
+
+def test_page_numbers_beyond_an_int(spark, tmp_path):
+    duckdb.sql(f"""COPY (
+        SELECT i * 100000000 AS page_id, 'http://a.example/' AS url, 'text' AS html FROM range(40) t(i))
+        TO '{tmp_path}/pages.parquet' (FORMAT PARQUET)""")
+    name = "upload_manifest"
+    assert difference(registry.QUERIES[name](spark, str(tmp_path)), duck(str(tmp_path)), registry.ORACLE[name]) is None
