@@ -18,7 +18,7 @@ def long_pages(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["quota_usage", "storage_usage", "upload_manifest"])
+@pytest.mark.parametrize("name", ["quota_usage", "storage_usage", "upload_manifest", "upload_validation"])
 def test_sizes_beyond_an_int(name, spark, long_pages):
     assert difference(registry.QUERIES[name](spark, long_pages), duck(long_pages), registry.ORACLE[name]) is None
 
